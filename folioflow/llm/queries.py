@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, toxicity
+from . import ann, decontaminate, html_extract, license_scan, pii, secrets, sentencepiece, simhash, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,14 +21,80 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(toxicity.fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), tox["score"].alias("score"), F.when(tox["score"] >= 0.3, 1).otherwise(0).alias("predicted"), tox["n_spans"].alias("n_spans"), tox["spans"].alias("spans"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece.encode_documents(docs).select("doc_id", "pieces")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return classes.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find_documents(docs).select("doc_id", "pii.*")
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.scan_documents(docs).select("doc_id", "secrets.*")
+
+
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_extract.extract_pages(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+def damaged(pages: DataFrame) -> DataFrame:
+    """A replica of a page table with a byte changed in about one page of 256, by a digest of its id."""
+    hit = F.md5(F.col("page_id").cast("string").cast("binary")).substr(1, 2) == "07"
+    return pages.withColumn("html", F.when(hit, F.concat(F.lit("~"), F.expr("substring(html, 2)"))).otherwise(F.col("html")))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.audit(pages, damaged(pages))
+
+
+OP9_SQL = f"""
+with rec as (
+  select page_id, page_id // {warc.SPAN} as archive,
+         octet_length(encode('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10)
+           || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || octet_length(encode(html)) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10))) as length
+  from pages),
+placed as (
+  select *, row_number() over w - 1 as seq, coalesce(sum(length) over (partition by archive order by page_id rows between unbounded preceding and 1 preceding), 0) as off
+  from rec window w as (partition by archive order by page_id))
+select archive, seq, 'changed' as fault, page_id, cast(off as bigint) as "offset", length
+from placed where md5(cast(page_id as varchar))[1:2] = '07'
+"""
+
+
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_decontaminate": op2_decontaminate,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_simhash": op4_simhash,
+    "op5_pii": op5_pii,
+    "op6_licenses": op6_licenses,
+    "op7_secrets": op7_secrets,
+    "op8_html": op8_html,
+    "op9_warc": op9_warc,
+    "op10_ann": op10_ann,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_licenses": license_scan.oracle(), "op9_warc": OP9_SQL}

@@ -106,11 +106,11 @@ ac as (select gl.page, gl.x from gl join sb using (page) left join hs on hs.page
 al_ as (select page, list(x order by x) as xs, count(*) as n from ac group by page),
 ls as (select al_.page, xs, least(n / len(vertical), 1) * 0.6::double + least(n_h / (nr + 1), 1) * 0.4::double as line_score from al_ join {_GRID} g using (page) join sb using (page))"""
 _WITH_GRID = "select page, coalesce(ls.xs, p.xs) as xs, ls.line_score from (select page, list(x order by x) as xs from se group by page) p full join ls using (page)"
-_DECIDE = 'select page, cast(coalesce(n_rows, 0) as bigint) as n_rows, cast(coalesce(n_cols, 0) as bigint) as n_cols, round(confidence, 6) as confidence, reason, coalesce(reason = \'lowConfidence\' and confidence >= 0.35::double, false) as near_miss, case when reason is null then header end as has_header from de'
+_DECIDE = 'select page, cast(coalesce(n_rows, 0) as bigint) as n_rows, cast(coalesce(n_cols, 0) as bigint) as n_cols, round(confidence + 1e-9::double, 6) as confidence, reason, coalesce(reason = \'lowConfidence\' and confidence >= 0.35::double, false) as near_miss, case when reason is null then header end as has_header from de'
 
 
 def _rounded(d):
-    return d.withColumn("confidence", F.round("confidence", 6)).withColumns({c: F.coalesce(F.col(c).cast("bigint"), F.lit(0).cast("bigint")) for c in ("n_cols", "n_rows")})
+    return d.withColumn("confidence", F.round(F.col("confidence") + 1e-9, 6)).withColumns({c: F.coalesce(F.col(c).cast("bigint"), F.lit(0).cast("bigint")) for c in ("n_cols", "n_rows")})
 
 
 def row_slope(spark, sf_dir):

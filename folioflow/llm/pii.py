@@ -253,7 +253,9 @@ def train(texts: list[str], rounds: int = 6) -> SegmentField:
                 head = b" ".join(x for x in left if x) + b" " if left else b""
                 line = head + form + b" " + b" ".join(x for x in right if x)
                 cases.append((line, kind, len(head), len(head) + len(form)))
-        for region in [r for r in regions(data) if not any(a < r[-1][1] and r[0][0] < b for _, a, b in base)][:5]:
+        clear = [r for r in regions(data) if not any(a < r[-1][1] and r[0][0] < b for _, a, b in base)]
+        # a region is a negative case only if no token of it would be an entity by itself, and nothing is spelled out
+        for region in [r for r in clear if not any(base_spans(data[a:b]) for a, b in r) and b" dot " not in data[r[0][0] : r[-1][1]].lower()][:5]:
             cases.append((data[region[0][0] : region[-1][1]], "", 0, 0))
     steps = []
     for line, kind, a, b in cases[:3000]:

@@ -106,7 +106,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     known = spark.createDataFrame(known_sentences(), "sentence string, sid int")
     rule = spark.createDataFrame(rules(), "license string, first int, pattern string, n_rule int")
-    cut = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.posexplode(sentences(F.col("text"))).alias("place", "sentence"))
+    # rows are numbered before their sentences are dealt out
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", sentences(F.col("text")).alias("sentences"))
+    cut = numbered.select("row", "doc_id", F.posexplode("sentences").alias("place", "sentence"))
     hits = cut.join(F.broadcast(known), "sentence").select("row", "doc_id", "place", "sid")
     # a group is one document's known sentences
     sequence = hits.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "sid"))).alias("known"))

@@ -6,7 +6,8 @@
    keyed by (host, hash), so a host with a third of all pages does not meet in one task.
 3. Subtrees on at least `SHARE` of a host's pages (and `LEAST` pages) are its template. A host
    has at most (subtrees per page) / SHARE of them, whatever its number of pages, so each host's
-   list is bounded; lists are joined back to pages with the host salted.
+   list is bounded. The lists go to every task if their checked size is small; beyond that they
+   are joined to pages with the host salted.
 4. A page is parsed again, template subtrees are deleted, what its tags, roles and class names
    call boilerplate is deleted too, and the blocks of the main container remain.
 
@@ -26,9 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ._runtime import ship_package
+from ._runtime import ship_package, written
 
-SHARE, LEAST, SALTS = 0.3, 5, 16
+SHARE, LEAST = 0.3, 5
+#: Template hashes and hosts sent to every task at most (about 50 bytes each), and pages of a host for each salt.
+SMALL, SALT_PAGES = 200_000, 20_000
 
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -259,12 +262,12 @@ def host_of(url: Column) -> Column:
 
 
 def templates(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """(host, template): the hashes of the subtrees that recur over a host's pages. Pages without a
+    """(host, template, n): the hashes of the subtrees that recur over a host's n pages. Pages without a
     host share no site and get none."""
     hosts = pages.select(host_of(F.col("url")).alias("host"), "html").where("host <> ''")
     sizes = hosts.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     counts = hosts.select("host", F.explode(hash_column(F.col("html"))).alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("k")).where(F.col("k") >= least)
-    return counts.join(sizes, "host").where(F.col("k") >= F.col("n") * share).groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("template"))
+    return counts.join(sizes, "host").where(F.col("k") >= F.col("n") * share).groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("template"), F.max("n").alias("n"))
 
 
 def extract_pages(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
@@ -272,6 +275,13 @@ def extract_pages(pages: DataFrame, share: float = SHARE, least: int = LEAST) ->
     repeated rows each count as a page and each report; an empty table stays empty. Other columns
     are not read."""
     ship_package(pages.sparkSession)
-    found = templates(pages, share, least).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"), F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int").alias("salt"))
-    return salted.join(found, ["host", "salt"], "left").select("page_id", "url", text_column(F.col("html"), F.col("template")).alias("text"))
+    found = written(templates(pages, share, least), "templates")
+    size, most = found.agg(F.coalesce(F.sum(F.size("template") + 1), F.lit(0)), F.max("n")).first()
+    sited = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
+    if size <= SMALL:
+        met = sited.join(F.broadcast(found.select("host", "template")), "host", "left")
+    else:
+        salts = -(-most // SALT_PAGES)
+        salted = found.select("host", "template", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+        met = sited.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(salted, ["host", "salt"], "left")
+    return met.select("page_id", "url", text_column(F.col("html"), F.col("template")).alias("text"))

@@ -304,7 +304,10 @@ def find_documents(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     all spans and the number of added ones. Null text counts
     as empty; each row on its own, so repeated rows agree and an empty table stays empty; a column
     named pii is replaced. The field is fitted on at most `sample` documents that have digits or an
-    at-sign, the first by a hash of their text."""
+    at-sign, the first distinct ones by a hash of their text."""
     ship_package(docs.sparkSession)
-    rows = docs.select("text").where(F.length("text") < 20000).where(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("text"), F.length("text")).limit(sample).collect()
-    return docs.withColumn("pii", find_column(train([r[0] for r in rows]), F.col("text")))
+    # two passes, so that tasks send hashes and only the chosen texts reach the driver; copies count once
+    known = docs.select("text", F.xxhash64("text").alias("h")).where((F.length("text") < 20000) & F.col("text").rlike("[0-9@]"))
+    chosen = [r.h for r in known.select("h").distinct().orderBy("h").limit(sample).collect()]
+    rows = known.where(F.col("h").isin(chosen)).groupBy("h").agg(F.min("text").alias("text")).orderBy("h").collect() if chosen else []
+    return docs.withColumn("pii", find_column(train([r.text for r in rows]), F.col("text")))

@@ -1,8 +1,8 @@
 """Toxicity by a linear-chain conditional random field over word tokens.
 
 Documents are labelled, tokens are not: token labels come from the training documents. A
-feature (the lower-cased word, or its first 3 to 6 letters) is a cue when its document counts
-in the two classes could hardly arise by chance (binomial tail under the base rate, corrected
+feature (the lower-cased word, or its first 3 to 8 letters if more follow) is a cue when its document counts
+in the two classes could hardly arise by chance (near copies counted once; binomial tail under the base rate, corrected
 for the number of features tried). Tokens of toxic training documents that carry a cue are
 labelled toxic, all others clean; the chain is then trained on those labelled tokens by
 maximum conditional likelihood. Forward-backward marginals give each token's probability, a
@@ -28,10 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ._runtime import ship_package
+from .simhash import fingerprint
 
 #: Bound of the training sample: so many labelled rows of either class at most.
 PER_CLASS = 1000
-PREFIXES = (3, 4, 5, 6)
+PREFIXES = (3, 4, 5, 6, 7, 8)
 #: Words of a slice that is scored at once, and words of a block of the scan.
 SLICE, BLOCK = 400_000, 256
 #: A worker forgets its word cache beyond this many words.
@@ -48,7 +49,7 @@ def tokens(text: bytes) -> list[bytes]:
 
 def features(token: bytes) -> list[str]:
     word = token.decode("utf-8", "replace").lower()
-    return ["=" + word, *("^" + word[:k] for k in PREFIXES if len(word) >= k)]
+    return ["=" + word, *("^" + word[:k] for k in PREFIXES if len(word) > k)]
 
 
 def scan(m00: np.ndarray, m01: np.ndarray, m10: np.ndarray, m11: np.ndarray) -> np.ndarray:
@@ -99,7 +100,7 @@ class ToxicityModel:
         word = token.decode("utf-8", "replace").lower()
         out, n = self.bias + self.words.get(word, 0.0), len(word)
         for k, starts in self.starts.items():
-            if n < k:
+            if n <= k:
                 break
             if (x := starts.get(word[:k])) is not None:
                 out += x
@@ -140,14 +141,22 @@ def _tail(k: int, n: int, p: float) -> float:
 
 
 def _cues(docs: list[list[list[str]]], toxic: list[int]) -> set[str]:
-    """docs: the features of each distinct word of each document."""
-    counts = {0: Counter(), 1: Counter()}
-    for lists, y in zip(docs, toxic, strict=True):
-        counts[y].update(set().union(*lists))
-    base = max(1, sum(toxic)) / max(2, len(toxic))
-    tried = max(1, sum(1 for f, n in counts[1].items() if n >= 3))
-    level = math.log(0.01 / tried)
-    return {f for f, k in counts[1].items() if k >= 3 and k >= 0.9 * (k + counts[0][f]) and _tail(k, k + counts[0][f], base) < level}
+    """docs: the features of each distinct word of each document, the word itself first. Prefixes
+    are counted over the words that are no cues themselves, so one frequent word makes no stem."""
+    base, found = max(1, sum(toxic)) / max(2, len(toxic)), set()
+    for part in (slice(0, 1), slice(1, None)):
+        counts = {0: Counter(), 1: Counter()}
+        for lists, y in zip(docs, toxic, strict=True):
+            counts[y].update({x for f in lists if f[0] not in found for x in f[part]})
+        level = math.log(0.01 / max(1, sum(1 for n in counts[1].values() if n >= 3)))
+        found |= {f for f, k in counts[1].items() if k >= 3 and k >= 0.9 * (k + counts[0][f]) and _tail(k, k + counts[0][f], base) < level}
+    return found
+
+
+def distinct(texts: list[bytes], radius: int = 8) -> list[bool]:
+    """Whether a text is the first of its near copies: copies are no independent evidence for a cue."""
+    prints = np.array([fingerprint(t) for t in texts], np.uint64)
+    return [not (np.bitwise_count(prints[:k] ^ x) <= radius).any() for k, x in enumerate(prints)]
 
 
 def fit(rows: list[tuple[str, int]], weight: dict[int, float] | None = None, rounds: int = 24) -> ToxicityModel:
@@ -160,9 +169,11 @@ def fit(rows: list[tuple[str, int]], weight: dict[int, float] | None = None, rou
         model.document = (-40.0 if not sum(toxic) else 40.0, 0.0, 0.0)
         return model
     texts = [tokens((t or "").encode("utf-8", "replace")) for t, _ in rows]
+    own_text = distinct([(t or "").encode("utf-8", "replace") for t, _ in rows])
     held = [i % 3 == 2 for i in range(len(rows))] if sum(toxic) >= 90 else [False] * len(rows)
     types: dict[bytes, list[str]] = {w: features(w) for ws in texts for w in ws}
-    cues = _cues([[types[w] for w in set(ws)] for ws, h in zip(texts, held, strict=True) if not h], [y for y, h in zip(toxic, held, strict=True) if not h])
+    seen = [k for k, (h, own) in enumerate(zip(held, own_text, strict=True)) if own and not h]
+    cues = _cues([[types[w] for w in set(texts[k])] for k in seen], [toxic[k] for k in seen])
     names = sorted(cues)
     place = {f: i for i, f in enumerate(names)}
     own = {w: [place[f] for f in fs if f in place] for w, fs in types.items()}

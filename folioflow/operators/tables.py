@@ -11,9 +11,12 @@ from __future__ import annotations
 
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from ..functions.chars import trim
 from .stages import settled
@@ -43,14 +46,29 @@ def center_x() -> Column:
     return (F.col("l") + F.col("r")) / 2
 
 
+def _fullest(x: np.ndarray, y: np.ndarray, bucket: float) -> int:
+    """Step of the tilt with the largest sum of squared bucket counts, the first of equals."""
+    v = (y - (MAX_SLOPE * np.arange(-SLOPE_STEPS, SLOPE_STEPS + 1) / SLOPE_STEPS)[:, None] * x) / bucket
+    whole = np.trunc(v)
+    keys = whole + np.where(np.abs(v - whole) >= 0.5, np.sign(v), 0.0)
+    if len(x) <= 64:
+        scores = (keys[:, :, None] == keys[:, None, :]).sum(axis=(1, 2))
+    else:
+        scores = np.array([(np.unique(k, return_counts=True)[1] ** 2).sum() for k in keys])
+    return int(scores.argmax()) - SLOPE_STEPS
+
+
 def slopes(words: DataFrame, stats: DataFrame) -> DataFrame:
-    """Per page the tilt whose horizontal buckets are fullest; of equals the most negative."""
-    met = words.join(stats.where(F.col("n") >= MIN_SLOPE_WORDS).select("page", F.greatest(F.col("h") * ROW_TOLERANCE, F.lit(0.001)).alias("bucket")), "page")
-    steps = met.select("page", "bucket", center_x().alias("cx"), center_y().alias("cy"), F.explode(F.sequence(F.lit(-SLOPE_STEPS), F.lit(SLOPE_STEPS))).alias("step"))
-    key = F.round((F.col("cy") - F.lit(MAX_SLOPE) * F.col("step") / SLOPE_STEPS * F.col("cx")) / F.col("bucket")).cast("bigint")
-    counts = steps.groupBy("page", "step", key.alias("key")).agg(F.count("*").alias("k"))
-    scores = counts.groupBy("page", "step").agg(F.sum(F.col("k") * F.col("k")).alias("score"))
-    best = scores.groupBy("page").agg(F.max_by("step", F.struct("score", -F.col("step"))).alias("step"))
+    """Per page the tilt whose horizontal buckets are fullest; of equals the most negative. One Arrow
+    batch of pages at a time: as rows, 49 tilts of every word would be grouped three times."""
+
+    @arrow_udf("int")
+    def steps(xs: pa.Array, ys: pa.Array, buckets: pa.Array) -> pa.Array:
+        return pa.array([_fullest(x.values.to_numpy(), y.values.to_numpy(), b.as_py()) for x, y, b in zip(xs, ys, buckets, strict=True)], pa.int32())
+
+    centres = words.groupBy("page").agg(F.collect_list(F.struct(center_x().alias("x"), center_y().alias("y"))).alias("c"))
+    met = centres.join(stats.where(F.col("n") >= MIN_SLOPE_WORDS).select("page", F.greatest(F.col("h") * ROW_TOLERANCE, F.lit(0.001)).alias("bucket")), "page")
+    best = met.select("page", steps(F.col("c")["x"], F.col("c")["y"], F.col("bucket")).alias("step"))
     return best.select("page", "step", (F.lit(MAX_SLOPE) * F.col("step") / SLOPE_STEPS).alias("slope"))
 
 

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shipping import shipped
+
 # Tolerance in seconds, the free plan's limits, products that grant the paid tier.
 TOLERANCE_S = 600
 DAILY = {"ocr": 10, "pdf": 3, "export": 2}
@@ -120,4 +122,4 @@ def interstitials(calls: DataFrame, every: int = EVERY, apart_s: int = APART_S)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shown)], [*batch.schema.names, "shown"])
 
     rows = calls.select("user", "seq", "at").repartition("user").sortWithinPartitions("user", "seq")
-    return rows.mapInArrow(fold, "user bigint, seq bigint, at double, shown boolean")
+    return shipped(rows).mapInArrow(fold, "user bigint, seq bigint, at double, shown boolean")

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shipping import shipped
+
 # The rules' constants.
 MEAN_RATIO, MEAN_RADIUS, MIN_LOCAL, CLIP_SHARE, MIN_RANGE, DARK_BIAS = 0.06, 3, 0.02, 0.02, 16, 0.90
 SKEW_MAX, SKEW_STEP, SKEW_DARK, SKEW_PIXELS, SKEW_ROTATE = 4.0, 0.5, 0.8, 50, 0.75
@@ -221,7 +223,7 @@ def _map(rasters: DataFrame, schema: str, row: Callable[[dict, np.ndarray], dict
             types = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
             yield pa.RecordBatch.from_arrays([pa.array([o[n] for o in out], types[f.split()[1]]) for n, f in zip(names, schema.split(", "), strict=True)], names)
 
-    return rasters.mapInArrow(run, schema)
+    return shipped(rasters).mapInArrow(run, schema)
 
 
 def filtered(rasters: DataFrame, step: Callable[[np.ndarray], np.ndarray]) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..functions.chars import trim
+from .shipping import shipped
 from .stages import settled
 
 # The detector's constants.
@@ -66,7 +67,7 @@ def slopes(words: DataFrame, stats: DataFrame) -> DataFrame:
     def steps(xs: pa.Array, ys: pa.Array, buckets: pa.Array) -> pa.Array:
         return pa.array([_fullest(x.values.to_numpy(), y.values.to_numpy(), b.as_py()) for x, y, b in zip(xs, ys, buckets, strict=True)], pa.int32())
 
-    centres = words.groupBy("page").agg(F.collect_list(F.struct(center_x().alias("x"), center_y().alias("y"))).alias("c"))
+    centres = shipped(words).groupBy("page").agg(F.collect_list(F.struct(center_x().alias("x"), center_y().alias("y"))).alias("c"))
     met = centres.join(stats.where(F.col("n") >= MIN_SLOPE_WORDS).select("page", F.greatest(F.col("h") * ROW_TOLERANCE, F.lit(0.001)).alias("bucket")), "page")
     best = met.select("page", steps(F.col("c")["x"], F.col("c")["y"], F.col("bucket")).alias("step"))
     return best.select("page", "step", (F.lit(MAX_SLOPE) * F.col("step") / SLOPE_STEPS).alias("slope"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.quota import DAILY, TOLERANCE_S
+from ..operators.shipping import shipped
 
 OUTPUT = "device bigint, seq bigint, rollback boolean, day string, used bigint"
 STATE = "latest timestamp, day string, ocr bigint, pdf bigint, export bigint"
@@ -40,7 +41,7 @@ def _track(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Ite
 
 def track(events: DataFrame) -> DataFrame:
     """events (device, seq, now, op, success), arriving in the order of seq per device."""
-    return events.groupBy("device").applyInPandasWithState(_track, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return shipped(events).groupBy("device").applyInPandasWithState(_track, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def drain(events: DataFrame, name: str, checkpoint: str) -> DataFrame:

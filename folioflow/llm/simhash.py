@@ -134,14 +134,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Filter: of each class one row stays, the one with the smallest id.
+    """Filter: of each component of near copies (five words, similarity 0.8 or more: `copies`) one
+    row stays. The radius and the shingles of near_duplicates() do not bind it."""
+    from . import copies
 
-    Where several rows carry that id, the least of them by its columns stays (only such rows
-    are grouped). Rows without id cannot be named and all stay.
-    """
-    classes = near_duplicates(docs, id_col, text_col)
-    kept = classes.where("id = component_id").groupBy("id").agg(F.count("*").alias("_n")).withColumnRenamed("id", "_id")
-    met = docs.join(kept, docs[id_col] == F.col("_id"))
-    once = met.where("_n = 1").select(*[met[c] for c in docs.columns])
-    again = met.where("_n > 1").groupBy("_id").agg(F.min(F.struct(*[met[c] for c in docs.columns])).alias("_row")).select("_row.*")
-    return once.unionByName(again).unionByName(docs.where(F.col(id_col).isNull()))
+    return copies.keep_one(docs, id_col, text_col)

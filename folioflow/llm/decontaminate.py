@@ -2,7 +2,7 @@
 
 Benchmark items are a query set: they are read in blocks of bounded size, and every block is
 compared with all documents in one scan. For an item of n words, every n-word window of a
-document is a candidate place. A window's 64-bit SimHash over weighted word shingles is looked
+document is a candidate place; a document of fewer words is one window as a whole. A window's 64-bit SimHash over weighted word shingles is looked
 up in a multi-index: eight byte tables per item length, each entry posted under every byte value
 within two flips. A fingerprint within `RADIUS` = 8 * 3 - 1 differing bits has at least one byte
 with two flips or fewer, so the tables return every item within the radius. The candidates'
@@ -113,7 +113,8 @@ class Items:
             for k, data in enumerate(prints.view(np.uint8).reshape(-1, 8)):
                 for b in range(8):
                     tables[b, near ^ data[b], k] = True
-            self.groups[length] = np.array([g for g, _ in group]), prints, tables
+            least = min(float(self.weights(c).sum()) for _, c in group)
+            self.groups[length] = np.array([g for g, _ in group]), prints, tables, least
 
     def weights(self, codes: np.ndarray) -> np.ndarray:
         if not len(self.known):
@@ -145,9 +146,18 @@ class Items:
         return [(self.ids[k], *x) for k, x in sorted(found.items())]
 
     def _windows(self, codes: np.ndarray, hits: np.ndarray, size: int, found: dict) -> None:
-        for length, (places, prints, tables) in self.groups.items():
+        whole = None
+        for length, (places, prints, tables, least) in self.groups.items():
             run = length - size + 1
-            if min(SHINGLE, length) != size or run > len(codes):
+            if min(SHINGLE, length) != size:
+                continue
+            if run > len(codes):
+                # fewer words than the item: the whole text is the window; its similarity is at most the ratio of the weights
+                if whole is None:
+                    weights = self.weights(codes)
+                    whole = float(weights.sum()), simhashes(codes, weights, len(codes))
+                if whole[0] >= THRESHOLD * least * (1 - 1e-9):
+                    self._look_up(codes, 0, len(codes), len(codes) + size - 1, whole[1], places, prints, tables, found)
                 continue
             # stretches of shingles that some window with a hit covers
             lo, hi = np.maximum(hits - run + 1, 0), np.minimum(hits + run, len(codes))
@@ -156,23 +166,25 @@ class Items:
                 part = codes[a:b]
                 if len(part) < run:
                     continue
-                marks = simhashes(part, self.weights(part), run)
-                data = marks.view(np.uint8).reshape(-1, 8)
-                near = tables[0, data[:, 0]]
-                for k in range(1, 8):
-                    near = near | tables[k, data[:, k]]
-                where, which = np.nonzero(near)
-                distance = np.bitwise_count(marks[where] ^ prints[which])
-                order = np.lexsort((where, distance, which))
-                self._verify(part, a, run, length, where[order], places[which[order]], distance[order], found)
-
-    def _verify(self, part, a, run, length, where, items, distance, found) -> None:
+                self._look_up(part, a, run, length, simhashes(part, self.weights(part), run), places, prints, tables, found)
+
+    def _look_up(self, part, a, run, n_words, marks, places, prints, tables, found) -> None:
+        data = marks.view(np.uint8).reshape(-1, 8)
+        near = tables[0, data[:, 0]]
+        for k in range(1, 8):
+            near = near | tables[k, data[:, k]]
+        where, which = np.nonzero(near)
+        distance = np.bitwise_count(marks[where] ^ prints[which])
+        order = np.lexsort((where, distance, which))
+        self._verify(part, a, run, n_words, where[order], places[which[order]], distance[order], found)
+
+    def _verify(self, part, a, run, n_words, where, items, distance, found) -> None:
         for s, k, d in zip(where.tolist(), items.tolist(), distance.tolist(), strict=True):
             if d > RADIUS or (k in found and found[k][0] >= 1.0):
                 continue
             x = similarity(Counter(part[s : s + run].tolist()), self.counts[k], self.weight)
             if x >= THRESHOLD and (k not in found or (-x, a + s) < (-found[k][0], found[k][2])):
-                found[k] = (x, d, a + s, length)
+                found[k] = (x, d, a + s, n_words)
 
 
 def leak_column(items: list[tuple[int, str]], text: Column) -> Column:

@@ -2,7 +2,9 @@
 
 Texts are cut into sentences (line ends, and full stops, exclamation and question marks or
 semicolons before white space), sentences are normalised to lower-case letters and digits, and
-those that equal a known license sentence become its identifier. A document's identifiers in
+those that equal a known license sentence become its identifier; so do consecutive lines that
+together equal one, as license texts are wrapped and commented out (not over a sentence mark or
+a blank line); their place is the first line's. A document's identifiers in
 order are matched against rules, ordered lists of identifiers: a rule holds if its sentences
 occur in that order, with anything between them. The two tables are small, fixed and
 broadcast; sentences of no license end at the join.
@@ -12,7 +14,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Sentences of public license texts and notices, by identifier.
@@ -88,11 +90,24 @@ def rules() -> list[tuple[str, int, str, int]]:
     return [(name, place[ids[0]], ",(?:[0-9]+,)*".join(f",{place[x]}" if k == 0 else str(place[x]) for k, x in enumerate(ids)) + ",", len(ids)) for name, ids in RULES]
 
 
+def fragments() -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """(run of words, its occurrences in known sentences as (identifier, first word, number of words of the sentence))."""
+    found: dict[str, list[tuple[int, int, int]]] = {}
+    for sentence, sid in known_sentences():
+        words = sentence.split(" ")
+        for a in range(len(words)):
+            for b in range(a + 1, len(words) + 1):
+                found.setdefault(" ".join(words[a:b]), []).append((sid, a, len(words)))
+    return list(found.items())
+
+
 def sentences(text: Column) -> Column:
-    """Normalised sentences, in order, without empty ones."""
-    cut = F.regexp_replace(F.lower(text), CUT, "$1\n")
+    """Normalised lines of sentences, in order, without empty ones; one that does not continue
+    the line before it (after a sentence mark or a blank line) has a bar in front."""
+    cut = F.regexp_replace(F.lower(text), r"[.!?;](?:[ \t\r\f]+|(?=\n))", "\n\n")
     plain = F.regexp_replace(cut, r"[^a-z0-9\n]+", " ")
-    return F.filter(F.transform(F.split(plain, "\n"), lambda s: F.trim(s)), lambda s: s != "")
+    barred = F.regexp_replace(plain, r"\n[ \n]*\n", "\n|")
+    return F.filter(F.transform(F.split(barred, "\n"), lambda s: F.trim(s)), lambda s: ~s.isin("", "|"))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -104,12 +119,21 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     columns are not read.
     """
     spark = docs.sparkSession
-    known = spark.createDataFrame(known_sentences(), "sentence string, sid int")
+    known = spark.createDataFrame(fragments(), "sentence string, at array<struct<sid: int, first: int, n: int>>")
     rule = spark.createDataFrame(rules(), "license string, first int, pattern string, n_rule int")
     # rows are numbered before their sentences are dealt out
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", sentences(F.col("text")).alias("sentences"))
-    cut = numbered.select("row", "doc_id", F.posexplode("sentences").alias("place", "sentence"))
-    hits = cut.join(F.broadcast(known), "sentence").select("row", "doc_id", "place", "sid")
+    cut = numbered.select("row", "doc_id", F.posexplode("sentences").alias("place", "line"))
+    lines = cut.select("row", "doc_id", "place", F.startswith("line", F.lit("|")).cast("int").alias("head"), F.ltrim("line", F.lit("| ")).alias("sentence"))
+    # only lines that are a run of words of a known sentence go on; one document's are a group
+    held = lines.join(F.broadcast(known), "sentence").withColumn("n_words", F.size(F.split("sentence", " ")))
+    order = Window.partitionBy("row").orderBy("place")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = held.select("row", "doc_id", "place", "at", "n_words", (F.col("place") - F.row_number().over(order)).alias("run"), F.sum("head").over(upto).alias("block"), (F.sum("n_words").over(upto) - F.col("n_words")).alias("before"))
+    # lines in one unbroken run whose words stand at the same distance from a sentence's start make it up
+    parts = runs.select("*", F.explode("at").alias("part")).select("row", "doc_id", "place", "run", "block", "n_words", "part.sid", "part.n", (F.col("before") - F.col("part.first")).alias("start"))
+    whole = parts.groupBy("row", "doc_id", "run", "block", "sid", "n", "start").agg(F.min("place").alias("place"), F.sum("n_words").alias("words")).where("words = n")
+    hits = whole.select("row", "doc_id", "place", "sid")
     # a group is one document's known sentences
     sequence = hits.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "sid"))).alias("known"))
     marked = sequence.select("row", "doc_id", "known", F.concat(F.lit(","), F.array_join(F.transform("known", lambda x: x["sid"].cast("string")), ","), F.lit(",")).alias("ids"), F.explode(F.array_distinct(F.transform("known", lambda x: x["sid"]))).alias("first"))

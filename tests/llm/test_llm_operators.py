@@ -424,3 +424,32 @@ def test_ann_recall(spark):
     few = table.where("vec_id in (0, 1, 2)")
     assert ann.search(few, few.where("vec_id = 0")).count() == 2
     assert ann.search(table.limit(0), table.limit(0)).count() == 0
+
+
+def test_ann_does_not_depend_on_partitions_blocks_or_scale(spark):
+    rng = np.random.default_rng(10)
+    centres = rng.normal(size=(20, 32))
+    x = centres[rng.integers(0, 20, 2000)] + 0.2 * rng.normal(size=(2000, 32))
+    power = 2.0 ** rng.choice([-1000, -600, 0, 600, 900], 2000)
+    table = spark.createDataFrame([(i, (v * p).tolist()) for i, (v, p) in enumerate(zip(x, power, strict=True))], "vec_id bigint, embedding array<double>")
+    asked = table.where("vec_id % 50 = 0")
+    answers = [sorted(map(tuple, ann.search(table.repartition(n), asked, block=b).collect())) for n, b in ((1, 4096), (3, 7), (20, 16))]
+    assert answers[0] == answers[1] == answers[2] and len(answers[0]) == 200
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    hits = 0
+    for q in range(0, 2000, 50):
+        s = u @ u[q]
+        s[q] = -9
+        mine = [r for r in answers[0] if r[0] == q]
+        assert all(abs(s[v] - c) < 1e-9 for _, _, v, c in mine)
+        hits += len({v for _, _, v, _ in mine} & set(np.argsort(-s)[:5].tolist()))
+    assert hits >= 0.9 * 200
+
+
+def test_footrule_by_inverted_files():
+    rng = np.random.default_rng(11)
+    listed = np.stack([rng.permutation(30)[:8] for _ in range(200)]).astype(np.int16)
+    shard = ann.Shard(listed, 30)
+    for q in listed[:20]:
+        far = [sum(abs((list(a).index(p) if p in a else 8) - (list(q).index(p) if p in q else 8)) for p in range(30)) for a in listed]
+        assert (72 - 2 * shard.shared(q) == np.array(far)).all()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import textwrap
 
 import pytest
@@ -47,7 +48,7 @@ def test_every_rule_at_every_width(spark):
     for width in (24, 50, 72, 79):
         for prefix in ("", "# ", " * "):
             for name, ids in RULES:
-                texts.append("Some words\n\n" + f"\n{prefix}\n".join(textwrap.fill(license_scan.SENTENCES[x], width, initial_indent=prefix, subsequent_indent=prefix) for x in ids) + "\n\nother words")
+                texts.append("Some words\n\n" + f"\n{prefix}\n".join(textwrap.fill(license_scan.SENTENCES[x], width, initial_indent=prefix, subsequent_indent=prefix, break_long_words=False) for x in ids) + "\n\nother words")
                 names.append(name)
     found = scan(spark, texts)
     assert [k for k, name in enumerate(names) if (k, name) not in found] == []
@@ -55,3 +56,32 @@ def test_every_rule_at_every_width(spark):
 
 def test_not_over_gaps_or_marks(spark):
     assert scan(spark, ["This work is licensed\n\nunder the GNU General Public License, version 3.", "Released under.\nthe MIT License.", "Released\nunder x\nthe MIT License.", "Released under\nunder the MIT License."]) == set()
+
+
+def test_against_sql(spark):
+    """Wrapped, commented, shuffled and interrupted sentences, against the SQL that finds them another way."""
+    duckdb, pd = pytest.importorskip("duckdb"), pytest.importorskip("pandas")
+    rng, texts = random.Random(3), [None, "", "\n\n", "mit"]
+    for _ in range(150):
+        ids = list(rng.choice(RULES)[1]) + [x for _ in range(rng.randint(0, 3)) for x in rng.choice(RULES)[1]]
+        if rng.random() < 0.5:
+            rng.shuffle(ids)
+        prefix, out = rng.choice(["", "# ", " * ", "// "]), []
+        for x in ids:
+            lines = textwrap.wrap(license_scan.SENTENCES[x], rng.choice([20, 40, 72, 500]), break_long_words=False)
+            if rng.random() < 0.1:
+                lines.insert(rng.randrange(len(lines) + 1), rng.choice(["", "other words", lines[0]]))
+            out += [prefix + y for y in lines] + rng.choice([[], [""], [prefix.rstrip()], ["Copyright 2020"]])
+        texts.append(rng.choice(["\n", "\n", "\r\n"]).join(out))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = sorted(tuple(r) for r in license_scan.scan_licenses(docs).collect())
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(list(enumerate(texts)), columns=["doc_id", "text"]))
+    want = con.execute(f"select doc_id, license, first_sentence, last_sentence, n_known from ({license_scan.oracle()})").fetchall()
+    assert len(got) > 60 and got == sorted(want)
+
+
+def test_a_notices_file_of_many_sentences(spark):
+    s = license_scan.SENTENCES
+    body = [s["bsd-use"], *[s["bsd-source"]] * 20_000, s["mit-short"], *[s["bsd-use"]] * 5_000, s["bsd-binary"]]
+    assert scan(spark, ["\n".join(body), "\n".join(reversed(body))]) == {(0, "BSD-2-Clause"), (0, "MIT"), (1, "MIT")}

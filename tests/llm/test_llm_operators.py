@@ -215,6 +215,33 @@ def test_leaks_against_every_window(spark):
     assert decontaminate.drop_leaks(docs(spark, texts), spark.createDataFrame(items, "item_id bigint, text string")).columns == empty(spark).columns
 
 
+def test_leaks_in_blocks_and_slices(spark, monkeypatch):
+    """Several blocks of items with boilerplate in common, several texts of an id, and documents of many slices."""
+    rng = random.Random(12)
+    common = prose(rng, 12)
+    items = [(k, f"{common} {prose(rng, rng.choice([20, 20, 33]))}" if k % 2 else prose(rng, 45)) for k in range(24)]
+    items += [(7, items[8][1]), (9, items[9][1] + " more words here")]
+    texts = [" ".join(x for _, x in items), " ".join(f"{prose(rng, 3)} {x}" for _, x in items[::-1]), common * 5]
+    texts += [f"{prose(rng, 30)} {items[k][1].replace(' th', ' xx', 1)} {prose(rng, 5)}" for k in range(20)]
+    monkeypatch.setattr(decontaminate, "WINDOWS", 64)
+    index = decontaminate.Items(items)
+    want = {}
+    for d, text in enumerate(texts):
+        h = decontaminate.word_hashes(decontaminate.words(text.encode()))
+        codes = decontaminate.shingle_hashes(h, 5).tolist()
+        for k, i in enumerate(index.ids):
+            run = int(index.lengths[k]) - 4
+            best = max((decontaminate.similarity(Counter(codes[s : s + run]), index.counts[k], index.weight) for s in range(len(codes) - run + 1)), default=0)
+            if best >= 0.8:
+                want[d, i] = max(round(best, 9), want.get((d, i), 0))
+    assert {(d, i): round(x, 9) for d, t in enumerate(texts) for i, x, *_ in index.leaks(t.encode())} == want
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    for most in (1000, 9):
+        got = decontaminate.find_leaks(docs(spark, texts), benchmark, most).collect()
+        assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got} == want and len(got) == len(want)
+    assert {r.doc_id for r in decontaminate.drop_leaks(docs(spark, texts), benchmark, 9).collect()} == set(range(len(texts))) - {d for d, _ in want}
+
+
 # --- sampled encoding --------------------------------------------------------------------
 
 

@@ -9,16 +9,20 @@
    list is bounded. The lists go to every task if their checked size is small; beyond that they
    are joined to pages with the host salted.
 4. A page is parsed again, template subtrees are deleted, what its tags, roles and class names
-   call boilerplate is deleted too, and the blocks of the main container remain.
+   call boilerplate is deleted too, and the blocks of the main containers remain: every `main` and every
+   `article` outside of them that is no comment or teaser; else the whole page.
 
-Inside the main container (article, main) only containers are deleted as template: a plain
-paragraph, heading or list item there is the page's own text even if other pages share it.
+Inside a main container (article, main) only containers are deleted as template: a plain
+paragraph, heading or list item there is the page's own text even if other pages share it. An element that
+only looks like boilerplate (a form, or a class such as `sidebar`) stays if it holds `main` or
+most of the page's text. Parsing takes time in proportion to the page, broken or not.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,6 +36,8 @@ from ._runtime import ship_package, written
 SHARE, LEAST = 0.3, 5
 #: Template hashes and hosts sent to every task at most (about 50 bytes each), and pages of a host for each salt.
 SMALL, SALT_PAGES = 200_000, 20_000
+#: Parts into which the counts of each host are dealt.
+HOST_SALTS = 16
 
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,100 +46,209 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th tr table tbody thead tfoot caption figcaption summary ul ol dl".split())
 DROP = frozenset("head nav footer aside form menu dialog button select input label fieldset script style noscript template iframe svg math canvas object textarea title audio video".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form toolbar".split())
-# Words of class and id names that mark boilerplate.
-MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense adbox sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert nav navbar navigation menu menus submenu breadcrumb breadcrumbs sidebar side footer header masthead topbar toolbar comment comments commentlist reply replies respond discussion disqus related recommended recommendations share sharing social follow newsletter subscribe subscription signup login search searchbox widget popup modal overlay pagination pager skip skiplink toc tags tagcloud metadata byline copyright legal disclaimer".split()
-)
+# Words of class and id names that mark boilerplate, by what they name whatever they hold, and by what
+# they name unless they hold the page.
+STRONG = frozenset("ad ads advert adverts advertisement advertising adsense adbox sponsor sponsored promo cookie cookies consent gdpr breadcrumb breadcrumbs comment comments commentlist reply replies respond discussion disqus related recommended recommendations share sharing newsletter subscribe login search searchbox popup pagination pager skiplink tagcloud byline copyright".split())
+MARKS = STRONG | frozenset("promotion banner notice notices alert nav navbar navigation menu menus submenu sidebar side footer header masthead topbar toolbar social follow subscription signup widget modal overlay skip toc tags metadata legal disclaimer".split())
+#: In a compound name (cookie-banner, comment_list): words that say what a mark is a part of, and words that only name a state or layout.
+PARTS = frozenset("area bar block body bottom box button buttons container content form holder inner item items left link links list menu outer panel right row section slot top unit widget wrap wrapper".split())
+STATES = frozenset("has have is no not with without hide hidden show js layout theme page post entry article story".split())
+#: On article and main, only these count.
+OWN = frozenset("comment comments reply replies related promo ad ads teaser".split())
 _CLOSED_BY = {
     **{t: frozenset(["p"]) for t in BLOCK - {"body", "html", "tr", "tbody", "thead", "tfoot", "option", "optgroup", "caption", "legend"}},
     "li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"]),
     "tbody": frozenset(["tr", "td", "th", "thead"]), "tfoot": frozenset(["tr", "td", "th", "tbody"]),
 }
 _SCOPE = frozenset("html body table ul ol dl div section article main aside nav footer header form td th blockquote".split())
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.DOTALL)
-_ATTR = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-_ATTR_OTHER = re.compile(r"(?:^|\s)(hidden|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.IGNORECASE)
-_WORDS = re.compile(r"[a-z]+")
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NAME = re.compile(r"/?[A-Za-z][A-Za-z0-9:-]*")
+_STOP = re.compile(r"""[>"']""")
+_PART = re.compile(r"[a-z]+")
+_HIDDEN = re.compile(r"display\s*:\s*none", re.IGNORECASE)
+_RAW_END = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in RAW}
 
 
 class Node:
+    """drop: 0 stays, 1 goes unless it holds the page, 2 goes."""
+
     __slots__ = ("children", "drop", "hash", "tag")
 
-    def __init__(self, tag: str, drop: bool = False) -> None:
+    def __init__(self, tag: str, drop: int = 0) -> None:
         self.tag, self.drop, self.children, self.hash = tag, drop, [], 0
 
 
-def _boilerplate(tag: str, attributes: str) -> bool:
-    if tag in DROP:
+def _marks(name: str, marks: frozenset[str]) -> bool:
+    """Whether a class or id name is a mark, or a compound that ends in one or names its part."""
+    if name in marks:
         return True
-    if not attributes or tag in ("html", "body"):
+    words = _PART.findall(name)
+    if len(words) < 2 or words[0] in STATES:
         return False
-    if _ATTR_OTHER.search(attributes):
-        return True
+    return words[-1] in marks or (words[0] in marks and words[-1] in PARTS)
+
+
+def _boilerplate(tag: str, attributes: str) -> int:
+    found = (1 if tag == "form" else 2) if tag in DROP else 0
+    if found == 2 or not attributes or tag in ("html", "body"):
+        return found
     for m in _ATTR.finditer(attributes):
-        value = (m[2] or m[3] or m[4] or "").lower()
-        if m[1].lower() == "role":
-            if value.strip() in ROLES:
-                return True
-        elif not MARKS.isdisjoint(_WORDS.findall(value)) and tag not in ("article", "main"):
-            return True
-        elif tag in ("article", "main") and not {"comment", "comments", "reply", "related", "promo", "ad", "teaser"}.isdisjoint(_WORDS.findall(value)):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name == "hidden" or (name == "aria-hidden" and value.strip() == "true") or (name == "style" and _HIDDEN.search(value)):
+            return 2
+        if name == "role" and value.strip() in ROLES:
+            found = max(found, 1)
+        elif name in ("class", "id"):
+            names = value.split()
+            if tag in ("article", "main"):
+                found = max(found, 2 * any(_marks(x, OWN) for x in names))
+            elif any(_marks(x, STRONG) for x in names):
+                return 2
+            elif any(_marks(x, MARKS) for x in names):
+                found = 1
+    return found
+
+
+def _pieces(page: str) -> Iterator[tuple[str, str, str, int, int]]:
+    """Markup of a page: (kind, tag, attributes, start, end), kind "+" a start tag, "-" an end tag, "!" neither.
+    An angle bracket that opens no markup is text. Quotes protect a bracket; where that leaves a
+    tag open to the page's end, tags from there on end at their first bracket."""
+    at, last, loose, missing = 0, page.rfind(">"), False, set()
+    while (a := page.find("<", at)) >= 0 and a < last:
+        if page.startswith("<!--", a):
+            end = page.find("-->", a + 4)
+            at = len(page) if end < 0 else end + 3
+            yield "!", "", "", a, at
+            continue
+        m = _NAME.match(page, a + 1)
+        if m is None:
+            if page[a + 1] in "!?":
+                at = page.index(">", a) + 1
+                yield "!", "", "", a, at
+            else:
+                at = a + 1
+            continue
+        end = m.end()
+        while not loose:
+            stop = _STOP.search(page, end)
+            if stop is None:
+                loose = True
+            elif stop[0] == ">":
+                break
+            else:
+                close = -1 if stop[0] in missing else page.find(stop[0], stop.end())
+                if close < 0:
+                    missing.add(stop[0])
+                end = stop.end() if close < 0 else close + 1
+        end = page.index(">", m.end()) if loose else stop.start()
+        name, at = m[0].lower(), end + 1
+        at = (yield ("-", name[1:], "", a, at) if name[0] == "/" else ("+", name, page[m.end() : end], a, at)) or at
+
+
+class _Stack:
+    """Open elements, and how many of each tag are open in all and since the innermost scope."""
+
+    def __init__(self, root: Node) -> None:
+        self.nodes, self.all, self.scopes = [root], Counter(), [Counter()]
+
+    def push(self, node: Node) -> None:
+        self.nodes.append(node)
+        self.all[node.tag] += 1
+        if node.tag in _SCOPE:
+            self.scopes.append(Counter())
+        else:
+            self.scopes[-1][node.tag] += 1
+
+    def pop_to(self, tags: frozenset[str]) -> None:
+        """Close elements up to the innermost one with one of these tags."""
+        while True:
+            tag = self.nodes.pop().tag
+            self.all[tag] -= 1
+            if tag in _SCOPE:
+                self.scopes.pop()
+            else:
+                self.scopes[-1][tag] -= 1
+            if tag in tags:
+                return
+
+    def near(self, tags: frozenset[str]) -> bool:
+        """Whether one of these is open within the innermost scope, or is that scope."""
+        inner = self.scopes[-1]
+        if any(inner[t] for t in tags):
             return True
-    return False
+        if len(self.scopes) == 1 or tags.isdisjoint(_SCOPE):
+            return False
+        k = len(self.nodes) - 1 - sum(inner.values())
+        return self.nodes[k].tag in tags
 
 
-def parse(page: str) -> Node:
+def parse(page: str, hashed: bool = True) -> Node:
     """Element tree of a page, broken or not: end tags without a start are skipped, open elements
     end with their parents, and a raw-text element runs to its own end tag."""
     root = Node("html")
-    stack, at = [root], 0
-    n = len(page)
-    while at < n:
-        m = _TAG.search(page, at)
-        if m is None:
-            stack[-1].children.append(page[at:])
+    stack, at, n = _Stack(root), 0, len(page)
+    pieces, go = _pieces(page), None
+    while True:
+        try:
+            kind, tag, attributes, start, end = pieces.send(go)
+        except StopIteration:
             break
-        if m.start() > at:
-            stack[-1].children.append(page[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if name is None:
-            continue
-        tag = name.lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in _SCOPE and tag not in BLOCK:
-                    break
-            continue
-        if tag in ("html", "body"):
-            continue
-        closes = _CLOSED_BY.get(tag)
-        if closes:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in closes:
-                    del stack[k:]
-                    break
-                if stack[k].tag in _SCOPE:
-                    break
-        attributes = m[3]
-        node = Node(tag, _boilerplate(tag, attributes))
-        if tag == "header" and any(x.tag in ("article", "main") for x in stack):
-            node.tag = "div"  # an article's own header holds its title
-        stack[-1].children.append(node)
-        if tag in VOID or attributes.endswith("/"):
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else n
-            continue
-        stack.append(node)
-    _hash(root)
+        go = None
+        if start > at:
+            stack.nodes[-1].children.append(page[at:start])
+        at = end
+        if kind == "-":
+            if stack.all[tag] and (tag in BLOCK or tag in _SCOPE or stack.scopes[-1][tag]):
+                stack.pop_to(frozenset([tag]))
+        elif kind == "+" and tag not in ("html", "body"):
+            closes = _CLOSED_BY.get(tag)
+            if closes and stack.near(closes):
+                stack.pop_to(closes)
+            node = Node(tag, _boilerplate(tag, attributes))
+            if tag == "header" and (stack.all["article"] or stack.all["main"]):
+                node.tag, node.drop = "div", _boilerplate("div", attributes)  # an article's own header holds its title
+            stack.nodes[-1].children.append(node)
+            if tag in VOID or attributes.endswith("/"):
+                continue
+            if tag in RAW:
+                close = _RAW_END[tag].search(page, at)
+                at = go = close.end() if close else n
+                continue
+            stack.push(node)
+    if at < n:
+        stack.nodes[-1].children.append(page[at:])
+    if hashed:
+        _hash(root)
+    _keep_page(root)
     return root
 
 
+def _keep_page(root: Node) -> None:
+    """Elements that only look like boilerplate stay if they hold `main`, most of the page's text, or, if
+    forms, an article."""
+    held: dict[int, tuple[int, bool, bool]] = {}
+    todo, doubtful = [(root, False)], []
+    while todo:
+        node, ready = todo.pop()
+        if not ready:
+            todo.append((node, True))
+            todo += [(c, False) for c in node.children if type(c) is Node and c.drop < 2]
+            continue
+        below = [held.pop(id(c)) for c in node.children if type(c) is Node and c.drop < 2]
+        size = sum(len(c) - c.count(" ") for c in node.children if type(c) is str) + sum(x[0] for x in below)
+        held[id(node)] = size, node.tag == "main" or any(x[1] for x in below), node.tag == "article" or any(x[2] for x in below)
+        if node.drop == 1:
+            doubtful.append((node, *held[id(node)]))
+    whole = held[id(root)][0]
+    for node, size, main, article in doubtful:
+        if not (main or 2 * size > whole or (node.tag == "form" and article)):
+            node.drop = 2
+        elif node.tag in ("form", "header", "footer", "nav", "aside"):
+            node.drop, node.tag = 0, "div"
+        else:
+            node.drop = 0
+
+
 def _hash(root: Node) -> None:
     """Content hash of every subtree: its tag, its texts and its children's hashes, in order."""
     todo = [(root, False)]
@@ -168,24 +283,19 @@ def subtree_hashes(page: str) -> list[int]:
     return sorted({n.hash for n, inside in _walk(parse(page)) if _may_go(n, inside) and n.children})
 
 
-def _main(root: Node) -> Node:
-    """The container of the main text: the article with most text, else main, else the page."""
-    best: dict[str, tuple[int, Node]] = {}
+def _main(root: Node) -> list[Node]:
+    """The containers of the main text: every outermost main or article that has text, else the page."""
+    found: list[Node] = []
     todo = [root]
     while todo:
         node = todo.pop()
         if node.drop:
             continue
         if node.tag in ("article", "main"):
-            size = sum(map(len, blocks(node)))
-            if node.tag not in best or size > best[node.tag][0]:
-                best[node.tag] = (size, node)
-            if node.tag == "article":
-                continue
-        todo += [c for c in reversed(node.children) if type(c) is Node]
-    if "article" in best and best["article"][0]:
-        return best["article"][1]
-    return best["main"][1] if "main" in best and best["main"][0] else root
+            found.append(node)
+        else:
+            todo += [c for c in reversed(node.children) if type(c) is Node]
+    return found if any(blocks(x) for x in found) else [root]
 
 
 def blocks(root: Node) -> list[str]:
@@ -223,12 +333,12 @@ def blocks(root: Node) -> list[str]:
 
 def main_text(page: str, template: set[int] | frozenset[int] = frozenset()) -> str:
     """Main text of one page, given its host's template subtrees."""
-    root = parse(page)
+    root = parse(page, bool(template))
     if template:
         for node, inside in _walk(root):
             if node.hash in template and _may_go(node, inside):
-                node.drop = True
-    return "\n".join(blocks(_main(root)))
+                node.drop = 2
+    return "\n".join(b for x in _main(root) for b in blocks(x))
 
 
 def hash_column(page: Column) -> Column:
@@ -267,10 +377,13 @@ def templates(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> Dat
     hosts = pages.select(host_of(F.col("url")).alias("host"), "html").where("host <> ''")
     sizes = hosts.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     counts = hosts.select("host", F.explode(hash_column(F.col("html"))).alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("k")).where(F.col("k") >= least)
-    return counts.join(sizes, "host").where(F.col("k") >= F.col("n") * share).groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("template"), F.max("n").alias("n"))
+    # the counts of one host are dealt out; what is left of them behind the filter is bounded
+    salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(HOST_SALTS - 1))))
+    met = counts.withColumn("salt", F.pmod("hash", F.lit(HOST_SALTS)).cast("int")).join(salted, ["host", "salt"])
+    return met.where(F.col("k") >= F.col("n") * share).groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("template"), F.max("n").alias("n"))
 
 
-def extract_pages(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
+def extract_pages(pages: DataFrame, share: float = SHARE, least: int = LEAST, small: int = SMALL, salt_pages: int = SALT_PAGES) -> DataFrame:
     """page_id, url, text for every row. Null html and pages without main text give an empty text;
     repeated rows each count as a page and each report; an empty table stays empty. Other columns
     are not read."""
@@ -278,10 +391,10 @@ def extract_pages(pages: DataFrame, share: float = SHARE, least: int = LEAST) ->
     found = written(templates(pages, share, least), "templates")
     size, most = found.agg(F.coalesce(F.sum(F.size("template") + 1), F.lit(0)), F.max("n")).first()
     sited = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    if size <= SMALL:
+    if size <= small:
         met = sited.join(F.broadcast(found.select("host", "template")), "host", "left")
     else:
-        salts = -(-most // SALT_PAGES)
+        salts = -(-most // salt_pages)
         salted = found.select("host", "template", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
         met = sited.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(salted, ["host", "salt"], "left")
     return met.select("page_id", "url", text_column(F.col("html"), F.col("template")).alias("text"))

@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -398,6 +399,61 @@ def test_deep_page():
     assert html_extract.main_text("<div>" * 5000 + "x" + "</div>" * 5000) == "x"
 
 
+def test_page_rules():
+    text = html_extract.main_text
+    assert text('<div class="content has-sidebar"><p>body</p></div>') == "body"
+    assert text('<div class="layout no-sidebar"><article><p>body</p></article></div>') == "body"
+    assert text('<div class="legal-news"><p>body</p></div>') == "body"
+    assert text("<form><main><p>body</p><input></main></form>") == "body"
+    assert text("<form><div><p>body</p><select><option>a</select></div></form>") == "body"
+    assert text('<p title="not hidden here">a</p><p data-x="a hidden b">b</p><p hidden>no</p><p aria-hidden=true>no<p style="display: none">no') == "a\nb"
+    assert text('<article><p>one</article><article><p>two</article><section class=comments><article>no</article></section><article class="comment">no</article>') == "one\ntwo"
+    assert text("<main><h1>T</h1><article><p>x</p></article></main><aside><article>no</article></aside>") == "T\nx"
+    assert text('<div id="sidebar">s</div><div class="cookie-banner">c</div><div class="site-footer">f</div><form>f</form><div>long enough to be most</div>') == "long enough to be most"
+    assert text("<div>text<section class=comments><p>many more words of readers than the text has</p></section></div>") == "text"
+    assert text('a < b and c > d <p>x "<"</p> <a href="x>y">link</a> 5<6') == 'a < b and c > d\nx "<"\nlink 5<6'
+    assert text("") == "" and text("<") == "<" and text("<p") == "<p" and text("</p></div>x") == "x"
+
+
+@pytest.mark.parametrize("unit", ["<b>", "<!", '<a "', "<li><b>", "<div></b>", "<table><tr><td>", "<!-- ", "<script>", "<p>", '"<x >"', "<form><div class=sidebar>", "</i>", "<ul></li>", "= "])
+def test_broken_pages_take_time_in_proportion(unit):
+    for head in ("<b>" * 3000, "<x '", ""):
+        began, n = time.process_time(), 3000
+        html_extract.subtree_hashes(head + unit * n)
+        small = time.process_time() - began
+        began = time.process_time()
+        html_extract.subtree_hashes(head + unit * (8 * n))
+        assert time.process_time() - began < 30 * small + 0.3
+
+
+def test_templates_against_counting(spark):
+    """Template lists recounted in Python, and the salted join against the one that sends them."""
+    rng = random.Random(13)
+    rows = []
+    for k in range(160):
+        host = rng.choice(["a.example", "A.example", "b.example", "c.example"]) if k < 150 else "few.example"
+        parts = [f"<div><p>{rng.choice('uvwxyz')} box</p></div>" for _ in range(rng.randint(0, 4))] + [f"<p>own {rng.randrange(40)}</p>" for _ in range(3)] + ["<ul><li>menu</li></ul>"]
+        rng.shuffle(parts)
+        rows.append((k, f"https://u@{host}:80/{k}", "".join(parts)))
+    rows += [(rows[3]), (200, None, "<p>x"), (201, "nohost", "<p>x"), (202, "http://a.example", None)]
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    pages, counts = Counter(), {}
+    for _, url, html in rows:
+        host = url.split("@")[-1].split("/")[2 if "@" not in url and "//" in url else 0].split(":")[0].lower() if url and "//" in url else ""
+        if host:
+            pages[host] += 1
+            counts.setdefault(host, Counter()).update(set(html_extract.subtree_hashes(html or "")))
+    want = {h: sorted(x for x, k in counts[h].items() if k >= 5 and k >= 0.3 * pages[h]) for h in counts}
+    assert {r.host: r.template for r in html_extract.templates(table).collect()} == {h: t for h, t in want.items() if t}
+    sent = sorted(map(tuple, html_extract.extract_pages(table).collect()), key=repr)
+    salted = sorted(map(tuple, html_extract.extract_pages(table, small=0, salt_pages=7).collect()), key=repr)
+    assert sent == salted and len(sent) == len(rows)
+    by_id = {r[0]: r[2] for r in sent}
+    for k, url, html in rows[:150]:
+        host = url.split("@")[1].split(":")[0].lower()
+        assert by_id[k] == html_extract.main_text(html, set(want[host])) and "menu" not in by_id[k]
+
+
 # --- WARC --------------------------------------------------------------------------------
 
 

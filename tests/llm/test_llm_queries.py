@@ -7,7 +7,8 @@ import os
 import pytest
 
 import corpus_pipeline
-from folioflow.llm import decontaminate, queries, secrets, simhash, toxicity
+from folioflow.llm import decontaminate, queries, secrets, toxicity
+from test_near_copies import near, shingles
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the small tables")
@@ -28,11 +29,12 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     model = toxicity.train(read, labels)
     clean = {i for i, r in docs.items() if model.score(*toxicity.summary(model, [toxicity.tokens(r.text.encode())]))[0] < 0.3}
     assert kept[0] == clean
-    prints = {i: simhash.fingerprint(docs[i].text.encode()) for i in clean}
+    # near copies: five-word shingle sets of similarity 0.8 or more
+    sets = {i: shingles(docs[i].text) for i in clean}
     root = {i: i for i in clean}
     for _ in range(8):
         for i in clean:
-            root[i] = min(root[j] for j in clean if (prints[i] ^ prints[j]).bit_count() <= 2)
+            root[i] = min(root[j] for j in clean if i == j or near(sets[i], sets[j]))
     assert kept[1] == {i for i in clean if root[i] == i}
     items = decontaminate.Items([(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
     assert kept[2] == {i for i in kept[1] if not items.leaks(docs[i].text.encode())}

@@ -150,14 +150,49 @@ def test_pivot_bounds_and_keys(spark):
         for b in rng.sample(range(64), rng.choice([0, 1, 2])):
             y ^= 1 << b
         pairs.append((x, y))
-    flat = spark.createDataFrame([(simhash.signed(v), k) for k, p in enumerate(pairs) for v in p], "fp bigint, rep bigint")
-    table = {(r.fp, r.rep): r for r in simhash.pivot_table(flat).collect()}
-    for k, (x, y) in enumerate(pairs):
-        a, b = table[simhash.signed(x), k], table[simhash.signed(y), k]
-        assert max(abs(p - q) for p, q in zip(a.near, b.near, strict=True)) <= 2
+    flat = spark.createDataFrame([(simhash.signed(v),) for p in pairs for v in p], "fp bigint")
+    table = {r.fp: r for r in simhash.pivot_table(flat).collect()}
+
+    def distances(row):
+        return [row.near >> 7 * k & 127 for k in range(len(simhash.DENSE_REFERENCES))]
+
+    for x, y in pairs:
+        a, b = table[simhash.signed(x)], table[simhash.signed(y)]
+        assert distances(a) == [(x ^ r % (1 << 64)).bit_count() for r in simhash.DENSE_REFERENCES]
+        assert max(abs(p - q) for p, q in zip(distances(a), distances(b), strict=True)) <= 2
         assert set(a["keys"]) & set(b["keys"])
 
 
+def test_pivot_distances_discard_pairs(spark):
+    """Fingerprints that share keys but lie further apart: the dense references discard most of them."""
+    rng = random.Random(14)
+    base = rng.getrandbits(64)
+    prints = {base ^ sum(1 << b for b in rng.sample(range(10), rng.choice([1, 2, 5, 6]))) for _ in range(60)} | {rng.getrandbits(64) for _ in range(500)}
+    table = simhash.pivot_table(spark.createDataFrame([(simhash.signed(x),) for x in prints], "fp bigint"))
+    met = simhash.met_pairs(simhash.shared(table)).collect()
+    assert all((r.a ^ r.b) % (1 << 64) and r.near for r in met if r.same)
+    want = {tuple(sorted(map(simhash.signed, (x, y)))) for x in prints for y in prints if x != y and (x ^ y).bit_count() <= 2}
+    assert {(r.a, r.b) for r in met if r.near and r.same} == want
+    far = [r for r in met if not r.same]
+    assert far and sum(r.near for r in far) < 0.5 * len(far)
+
+
+def test_simhash_links_through_rows_without_id(spark):
+    """Two documents a row without id links, by fingerprints that two edits part."""
+    rng = random.Random(15)
+    words = prose(rng, 400).split()
+    texts = [" ".join(words)]
+    while len(texts) < 3:  # edits that flip one or two bits each
+        copy = texts[-1].split()
+        copy[rng.randrange(400)] = prose(rng, 1)
+        if 1 <= (brute_fingerprint(" ".join(copy)) ^ brute_fingerprint(texts[-1])).bit_count() <= 2 and (len(texts) < 2 or (brute_fingerprint(" ".join(copy)) ^ brute_fingerprint(texts[0])).bit_count() > 2):
+            texts.append(" ".join(copy))
+    got = simhash.near_duplicates(docs(spark, texts, [9, None, 4])).collect()
+    assert {r.component_id for r in got} == {4}
+    counts = simhash.report(docs(spark, texts)).first()
+    assert (counts.fingerprints, counts.verified >= 2, counts.crowded) == (3, True, 0)
+
+
 def test_simhash_edges(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
     twice = docs(spark, ["same text here now", "same text here now", "same text here now", None], [3, 3, 5, None])

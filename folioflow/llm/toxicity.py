@@ -108,9 +108,24 @@ class ToxicityModel:
 
     def marginals(self, emissions: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Probability of the toxic label for each token of concatenated documents."""
+        e, first, forward, back = self._passes(emissions, sizes)
+        both = forward * back
+        return both / (1 + both)
+
+    def pairs(self, emissions: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities that a token is toxic behind a clean one (or at a document's start), and that it is
+        toxic behind a toxic one: the forward-backward marginals of neighbouring labels."""
+        e, first, forward, back = self._passes(emissions, sizes)
+        before = np.where(first, 0.0, np.concatenate([[0.0], forward[:-1]]))
+        enter, stay = math.exp(self.enter) * e * back, math.exp(self.stay) * e * back * before
+        whole = enter + stay + 1 + before
+        return enter / whole, stay / whole
+
+    def _passes(self, emissions: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Odds of each token, whether it begins a document, and the forward and backward odds of the toxic label."""
         n = len(emissions)
         if not n:
-            return np.zeros(0)
+            return (np.zeros(0),) * 4
         e = np.exp(np.clip(emissions, -30, 30))
         ot, tt = math.exp(self.enter), math.exp(self.stay)
         sizes = sizes[sizes > 0]
@@ -123,8 +138,7 @@ class ToxicityModel:
         last[ends - 1] = True
         after = np.where(last, 0.0, np.concatenate([e[1:], [0.0]]))[::-1]
         back = scan(after * tt, np.ones(n), after * ot, np.ones(n))[::-1]
-        both = forward * back
-        return both / (1 + both)
+        return e, first, forward, back
 
     def score(self, peak: np.ndarray, total: np.ndarray) -> np.ndarray:
         b0, b1, b2 = self.document
@@ -159,6 +173,19 @@ def distinct(texts: list[bytes], radius: int = 8) -> list[bool]:
     return [not (np.bitwise_count(prints[:k] ^ x) <= radius).any() for k, x in enumerate(prints)]
 
 
+def gradient(model: ToxicityModel, theta: np.ndarray, token: np.ndarray, feature: np.ndarray, gold: np.ndarray, prior: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Gradient of the labels' conditional log-likelihood: features, bias, enter and stay, as they occur in gold
+    less as the chain expects them. theta holds those weights; token and feature are the pairs that
+    occur, prior is gold of the token before in its document."""
+    n = len(gold)
+    model.bias, model.enter, model.stay = theta[-3:]
+    e = model.bias + (np.bincount(token, theta[feature], n) if len(feature) else np.zeros(n))
+    enter, stay = model.pairs(e, sizes)
+    off = gold - (enter + stay)
+    features = np.bincount(feature, off[token], len(theta) - 3) if len(feature) else np.zeros(len(theta) - 3)
+    return np.concatenate([features, [off.sum(), (gold & ~prior).sum() - enter.sum(), (gold & prior).sum() - stay.sum()]])
+
+
 def fit(rows: list[tuple[str, int]], weight: dict[int, float] | None = None, rounds: int = 24) -> ToxicityModel:
     """rows: (text, toxic 0 or 1). weight: rows of the corpus that a row of either class stands
     for. Without both classes the model scores the base rate."""
@@ -192,14 +219,7 @@ def fit(rows: list[tuple[str, int]], weight: dict[int, float] | None = None, rou
     follows[ends - sizes_in] = False
     prior = np.concatenate([[False], gold[:-1]]) & follows
     for _ in range(rounds):
-        model.bias, model.enter, model.stay = theta[-3:]
-        e = model.bias + np.bincount(token, theta[feature], len(lists)) if len(feature) else np.full(len(lists), model.bias)
-        p = model.marginals(e, sizes)
-        off = gold - p
-        # expected transitions, by the mean-field product of neighbouring marginals, which is exact
-        # where either is near 0 or 1, as it is here
-        before_p = np.concatenate([[0.0], p[:-1]]) * follows
-        grad = np.concatenate([np.bincount(feature, off[token], len(names)) if len(feature) else np.zeros(len(names)), [off.sum(), ((gold & ~prior) - p * (1 - before_p)).sum(), ((gold & prior) - p * before_p).sum()]]) - 0.02 * theta
+        grad = gradient(model, theta, token, feature, gold, prior, sizes) - 0.02 * theta
         same = grad * before
         step = np.clip(np.where(same > 0, step * 1.2, np.where(same < 0, step * 0.5, step)), 1e-4, 1.0)
         before = np.where(same < 0, 0.0, grad)

@@ -84,6 +84,47 @@ def test_marginals_against_enumeration():
         at += n
 
 
+def test_toxicity_pairs_and_gradient_against_enumeration():
+    """Marginals of neighbouring labels, and the training gradient against differences of the log-likelihood."""
+    rng = np.random.default_rng(16)
+    sizes, n_features = np.array([4, 0, 1, 6]), 3
+    n = int(sizes.sum())
+    token, feature = np.repeat(np.arange(n), 2), rng.integers(0, n_features, 2 * n)
+    gold = rng.random(n) < 0.4
+    first = np.zeros(n, bool)
+    first[[0, 4, 5]] = True
+    prior = np.concatenate([[False], gold[:-1]]) & ~first
+    theta = rng.normal(size=n_features + 3)
+
+    def enumerate_chain(theta):
+        """(log-likelihood of gold, expected toxic labels behind clean and behind toxic ones)."""
+        e = theta[-3] + np.bincount(token, theta[feature], n)
+        like, enter, stay, at = 0.0, np.zeros(n), np.zeros(n), 0
+        for size in (4, 1, 6):
+            z, own, a, b = 0.0, 0.0, np.zeros(size), np.zeros(size)
+            for code in range(1 << size):
+                y = [bool(code >> k & 1) for k in range(size)]
+                s = sum(e[at + k] + (theta[-1] if k and y[k - 1] else theta[-2]) for k in range(size) if y[k])
+                z += math.exp(s)
+                a += [math.exp(s) * (y[k] and not (k and y[k - 1])) for k in range(size)]
+                b += [math.exp(s) * (y[k] and bool(k and y[k - 1])) for k in range(size)]
+                own = s if y == gold[at : at + size].tolist() else own
+            like += own - math.log(z)
+            enter[at : at + size], stay[at : at + size] = a / z, b / z
+            at += size
+        return like, enter, stay
+
+    model = toxicity.ToxicityModel()
+    got = toxicity.gradient(model, theta, token, feature, gold, prior, sizes)
+    _, enter, stay = enumerate_chain(theta)
+    e = theta[-3] + np.bincount(token, theta[feature], n)
+    assert np.allclose(model.pairs(e, sizes), [enter, stay]) and np.allclose(model.marginals(e, sizes), enter + stay)
+    for k in range(len(theta)):
+        step = np.zeros(len(theta))
+        step[k] = 1e-5
+        assert abs((enumerate_chain(theta + step)[0] - enumerate_chain(theta - step)[0]) / 2e-5 - got[k]) < 1e-6
+
+
 def test_scan_over_many_blocks():
     rng = np.random.default_rng(2)
     a, b, c, d = (rng.uniform(0.1, 2, 1000) for _ in range(4))

@@ -2,8 +2,8 @@
 
 Documents are labelled, tokens are not: token labels come from the training documents. A
 feature (the lower-cased word, or its first 3 to 8 letters if more follow) is a cue when its document counts
-in the two classes could hardly arise by chance (near copies counted once; binomial tail under the base rate, corrected
-for the number of features tried). Tokens of toxic training documents that carry a cue are
+in the two classes could hardly arise by chance (near copies counted once; binomial tail under the base rate, false
+discoveries held to a small share). Tokens of toxic training documents that carry a cue are
 labelled toxic, all others clean; the chain is then trained on those labelled tokens by
 maximum conditional likelihood. Forward-backward marginals give each token's probability, a
 document's score is a logistic map of their largest value and their sum, and runs of tokens
@@ -33,6 +33,8 @@ from .simhash import fingerprint
 #: Bound of the training sample: so many labelled rows of either class at most.
 PER_CLASS = 1000
 PREFIXES = (3, 4, 5, 6, 7, 8)
+#: Share of cues that may be there by chance, and least share of toxic documents among those that hold a cue.
+FALSE, PURE = 0.02, 0.5
 #: Words of a slice that is scored at once, and words of a block of the scan.
 SLICE, BLOCK = 400_000, 256
 #: A worker forgets its word cache beyond this many words.
@@ -156,14 +158,16 @@ def _tail(k: int, n: int, p: float) -> float:
 
 def _cues(docs: list[list[list[str]]], toxic: list[int]) -> set[str]:
     """docs: the features of each distinct word of each document, the word itself first. Prefixes
-    are counted over the words that are no cues themselves, so one frequent word makes no stem."""
+    are counted over the words that are no cues themselves, so one frequent word makes no stem.
+    Of the cues a share of `FALSE` at most is expected to be there by chance (step-up over the sorted tails)."""
     base, found = max(1, sum(toxic)) / max(2, len(toxic)), set()
     for part in (slice(0, 1), slice(1, None)):
         counts = {0: Counter(), 1: Counter()}
         for lists, y in zip(docs, toxic, strict=True):
             counts[y].update({x for f in lists if f[0] not in found for x in f[part]})
-        level = math.log(0.01 / max(1, sum(1 for n in counts[1].values() if n >= 3)))
-        found |= {f for f, k in counts[1].items() if k >= 3 and k >= 0.9 * (k + counts[0][f]) and _tail(k, k + counts[0][f], base) < level}
+        tried = sorted((_tail(k, k + counts[0][f], base), f) for f, k in counts[1].items() if k >= 3)
+        last = max((r for r, (tail, _) in enumerate(tried, 1) if tail <= math.log(FALSE * r / len(tried))), default=0)
+        found |= {f for _, f in tried[:last] if counts[1][f] >= PURE * (counts[1][f] + counts[0][f])}
     return found
 
 

@@ -412,6 +412,100 @@ def test_pii_query_columns(spark):
     assert pii.find_documents(empty(spark)).count() == 0
 
 
+def segmentations(cells, n):
+    """Every segmentation of n tokens: (score, entities as (start, end, kind))."""
+    if not n:
+        yield 0.0, ()
+        return
+    for score, found in segmentations(cells, n - 1):
+        yield score, found
+    for i, _, scores in cells[n]:
+        for score, found in segmentations(cells, i):
+            for kind, s in zip(pii.KINDS, scores, strict=True):
+                yield score + s, (*found, (i, n, kind))
+
+
+def test_pii_field_against_enumeration():
+    """Best segmentation, partition function, expectations and gradient over all segmentations of a region."""
+    rng = random.Random(17)
+    data = b"12 555-1234 (at) 4111 1111 x9"
+    region = next(pii.regions(data))
+    field = pii.SegmentField()
+    names = {x for cells in field.scores(data, region) for _, f, _ in cells for x in f}
+    field.weights = {k: {x: rng.uniform(-1, 1) for x in sorted(names)} for k in pii.KINDS}
+    cells = field.scores(data, region)
+    ways = list(segmentations(cells, len(region)))
+    best = max(ways)[1]
+    assert field.decode(data, region) == [(k, region[i][0], region[j - 1][1]) for i, j, k in best]
+    whole = math.log(sum(math.exp(s) for s, _ in ways))
+    got, chances = field.expected(cells)
+    assert abs(got - whole) < 1e-9
+    for i, j, _, row in chances:
+        for kind, chance in zip(pii.KINDS, row, strict=True):
+            assert abs(chance - sum(math.exp(s - whole) for s, found in ways if (i, j, kind) in found)) < 1e-9
+    gold = {(best[0][0], best[0][1]): best[0][2]}
+    own = next(s for s, found in ways if found == (best[0],))
+    kind, name = best[0][2], f"tokens={best[0][1] - best[0][0]}"
+
+    def like(w):
+        field.weights[kind][name] = w
+        c = field.scores(data, region)
+        every = list(segmentations(c, len(region)))
+        return next(s for s, found in every if found == (best[0],)) - math.log(sum(math.exp(s) for s, _ in every))
+
+    w = field.weights[kind][name]
+    slope = (like(w + 1e-5) - like(w - 1e-5)) / 2e-5
+    field.weights[kind][name] = w
+    expected = sum(row[pii.KINDS.index(kind)] for i, j, f, row in chances if name in f)
+    assert abs(own - whole - like(w)) < 1e-9 and abs(slope - (1 - expected)) < 1e-6
+    field.weights[kind][name] = w
+    field.gradient(data, region, gold, 1e-3)
+    assert like(field.weights[kind][name]) > like(w)
+
+
+def test_pii_finds_forms_of_unseen_entities():
+    """Trained on some values, held against others in all forms, and against numbers that are no entities."""
+    rng = random.Random(18)
+
+    def card():
+        head = [rng.randrange(10) for _ in range(15)]
+        return next(x for x in ("".join(map(str, [*head, d])) for d in range(10)) if pii.luhn(x.encode())).encode()
+
+    def entity(kind):
+        if kind == "card":
+            return card()
+        if kind == "ip":
+            return ".".join(str(rng.randrange(256)) for _ in range(4)).encode()
+        if kind == "phone":
+            return f"+{rng.randint(1, 99)} ({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}".encode()
+        return f"{prose(rng, 1)}.{rng.randint(1, 99)}@{prose(rng, 1)}{rng.randint(1, 9)}.example.com".encode()
+
+    known = [c for _ in range(60) for k in pii.KINDS for c in pii.cases(prose(rng, 3).encode() + b" " + entity(k) + b" " + prose(rng, 3).encode())]
+    field = pii.train(known)
+    hits = tried = 0
+    for _ in range(25):
+        for kind in pii.KINDS:
+            for form in pii.forms(kind, entity(kind)):
+                head = prose(rng, 3).encode() + b" "
+                tried += 1
+                hits += (kind, len(head), len(head) + len(form)) in pii.find(field, head + form + b" " + prose(rng, 2).encode())[1]
+    assert hits >= 0.9 * tried
+    plain = [f"{prose(rng, 2)} {x} {prose(rng, 2)}" for x in ("1999-12-31", "17.06.2021", "3,400.50", "12:45", "pages 77-83", "1.4.2", "2001-2009", "0.75", "40 000 000")]
+    assert sum(bool(pii.find(field, x.encode())[1]) for x in plain) <= 1
+    assert pii.find(pii.train([]), b"+1 (851) 555-9673 or 851-555-9673")[1] == [("phone", 0, 17)]
+
+
+def test_pii_reads_whole_spans_and_long_texts(spark):
+    """Digits far behind the start of a token count, and long documents teach the field too."""
+    region = [(0, 3), (4, 3004)]
+    near, far = (pii.span_features(b"abc " + b"x" * 2000 + c + b"y" * 999, region, 1, 2) for c in (b"z", b"7"))
+    assert "n=0" in near and "n=1" in far
+    rng = random.Random(19)
+    long = [f"{prose(rng, 6000)} reach +1 (851) 555-{k} now" for k in range(1000, 1040)]
+    got = pii.find_documents(docs(spark, [*long, "call 1 (851) 555-9674 now"])).collect()
+    assert next(r.pii.n_added for r in got if r.text.startswith("call")) == 1
+
+
 def test_entropy_windows():
     data = b"aaaaaaaaaaaaaaaaaaaaaaaaq8Zr5Kx1Lw9Tn3Vb7Ydaaaaaaaaaaaaaaaaaaaaaa"
 

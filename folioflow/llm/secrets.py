@@ -3,8 +3,9 @@
 The entropy part looks at candidate strings, maximal runs of key-like characters. Within one,
 every maximal run of a character class (hexadecimal, base64) is swept by a window of fixed
 width whose character counts are updated as it moves, so each step costs one table look-up.
-Windows at or above the class's threshold merge into spans; spans that an allow-list pattern
-covers (identifiers that merely look random) are suppressed. Base spans always stay.
+Windows at or above the class's threshold merge into spans. The allow-list (what merely looks random) is
+applied to a whole candidate, to the parts of a path at its ends, which are cut off before the sweep, and to
+each merged span, never to a candidate because of a part of it. Base spans always stay.
 """
 
 from __future__ import annotations
@@ -40,15 +41,17 @@ class EntropyClass:
 
 
 CLASSES = (EntropyClass("hex", b"0123456789abcdefABCDEF", 20, 2.8), EntropyClass("base64", _KEYLIKE, 20, 3.75))
-#: What looks random and is no secret: UUIDs, plain numbers, digests named as such, counting
-#: sequences, documentation samples, and words without any digit.
+#: What looks random and is no secret: UUIDs, plain numbers, digests named as such, and words without any digit.
 ALLOWED = (
     rb"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",
     rb"[0-9_+/=-]+",
     rb"(?i)(sha1|sha256|sha384|sha512|md5)[-=].*",
-    rb"(?i).*(0123456789|abcdefghij|example|placeholder|changeme).*",
     rb"[A-Za-z_+/=-]+",
 )
+#: Counting sequences and documentation samples: a part of a path, or a span, that holds one is allowed.
+SAMPLES = rb"(?i).*(0123456789|abcdefghij|example|placeholder|changeme).*"
+#: A part of a path is made of words if its letter runs are this long on average.
+WORD = 3.0
 
 
 def _members(characters: bytes) -> bytes:
@@ -58,6 +61,7 @@ def _members(characters: bytes) -> bytes:
 _KEY_TABLE, _HEX_TABLE = _members(_KEYLIKE), _members(b"0123456789abcdef")
 _CLASS_TABLES = tuple(_members(c.characters) for c in CLASSES)
 _ALLOWED = tuple(re.compile(p, re.DOTALL) for p in ALLOWED)
+_SAMPLE, _RUN = re.compile(SAMPLES, re.DOTALL), re.compile(rb"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _CLOGC = [0.0] + [k * math.log2(k) for k in range(1, 1 + max(c.window for c in CLASSES))]
 
 
@@ -117,24 +121,52 @@ def base_spans(data: bytes) -> list[Span]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def allowed(data: bytes) -> bool:
+    return any(p.fullmatch(data) for p in _ALLOWED)
+
+
+def plain_part(part: bytes) -> bool:
+    """Whether a part of a path is allowed, or a name made of words, digits only at its end."""
+    if not part or allowed(part) or _SAMPLE.fullmatch(part):
+        return True
+    pieces = _RUN.findall(part.rstrip(b"0123456789"))
+    return not any(x[:1].isdigit() for x in pieces) and sum(map(len, pieces)) >= WORD * len(pieces)
+
+
+def swept(whole: bytes) -> tuple[int, int]:
+    """The stretch of a candidate that windows sweep: without plain parts at its ends."""
+    a, b = 0, len(whole)
+    while a < b:
+        cut = whole.find(b"/", a, b)
+        if not plain_part(whole[a : cut if cut >= 0 else b]):
+            break
+        a = cut + 1 if cut >= 0 else b
+    while a < b:
+        cut = whole.rfind(b"/", a, b)
+        if not plain_part(whole[cut + 1 if cut >= 0 else a : b]):
+            break
+        b = cut if cut >= 0 else a
+    return a, b
+
+
 def entropy_spans(data: bytes) -> list[Span]:
-    found: list[tuple[int, int]] = []
+    out: list[Span] = []
     for a, b in runs(data.translate(_KEY_TABLE), CANDIDATE):
-        whole = data[a:b]
-        if any(p.fullmatch(whole) for p in _ALLOWED):
+        if allowed(data[a:b]):
             continue
+        lo, hi = swept(data[a:b])
+        part, found = data[a + lo : a + hi], []
         for kind, members in zip(CLASSES, _CLASS_TABLES, strict=True):
-            for x, y in runs(whole.translate(members), kind.window):
-                for s, e in hot_windows(whole[x:y], kind.window, kind.bits):
-                    if not any(p.fullmatch(whole[x + s : x + e]) for p in _ALLOWED):
-                        found.append((a + x + s, a + x + e))
-    merged: list[tuple[int, int]] = []
-    for s, e in sorted(found):
-        if merged and s <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(e, merged[-1][1]))
-        else:
-            merged.append((s, e))
-    return [("entropy", s, e) for s, e in merged]
+            for x, y in runs(part.translate(members), kind.window):
+                found += [(x + s, x + e) for s, e in hot_windows(part[x:y], kind.window, kind.bits) if not allowed(part[x + s : x + e])]
+        merged: list[tuple[int, int]] = []
+        for s, e in sorted(found):
+            if merged and s <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(e, merged[-1][1]))
+            else:
+                merged.append((s, e))
+        out += [("entropy", a + lo + s, a + lo + e) for s, e in merged if not (allowed(part[s:e]) or _SAMPLE.fullmatch(part[s:e]))]
+    return out
 
 
 def redact(data: bytes, spans: list[Span]) -> str:

@@ -531,6 +531,31 @@ def test_secrets(spark):
     assert secrets.scan_documents(empty(spark)).count() == 0
 
 
+def test_allow_list_keeps_to_its_part():
+    rng = random.Random(20)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    found = 0
+    for _ in range(200):
+        key = "".join(rng.choice(letters) for _ in range(20)) + rng.choice("+/") + "".join(rng.choice(letters) for _ in range(19))
+        alone = secrets.entropy_spans(key.encode())
+        for text in (f"/srv/example/{key}", f"/opt/src/main/{key}", f"{key}/placeholder", f"url=/abcdefghij/{key} x"):
+            spans = secrets.entropy_spans(text.encode())
+            at = text.index(key)
+            assert bool(spans) == bool(alone), text
+            assert all(at - 4 <= a and b <= at + 44 for _, a, b in spans)
+        found += bool(alone)
+    assert found >= 195
+    for plain in ("src/main/java/com/acme2/Widget/FactoryBuilder", "/usr/local/lib/python3/site-packages/numpy_core12", "https/docs/Reference/getting-started-v2/index", "node_modules/lib/EventEmitter3/example0123456789abcdefghij", "key-example-placeholder-0123456789"):
+        assert not secrets.entropy_spans(plain.encode()), plain
+
+
+def test_entropy_of_long_texts_is_linear():
+    for text in ("a/" * 300_000, "aB3/" * 100_000, "q8Zr5Kx1Lw9Tn3Vb7Yd" * 20_000, "/" * 400_000, "A1" * 200_000):
+        began = time.process_time()
+        secrets.entropy_spans(text.encode())
+        assert time.process_time() - began < 20
+
+
 # --- licenses ----------------------------------------------------------------------------
 
 

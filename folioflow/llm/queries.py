@@ -74,7 +74,7 @@ with rec as (
 placed as (
   select *, row_number() over w - 1 as seq, coalesce(sum(length) over (partition by archive order by page_id rows between unbounded preceding and 1 preceding), 0) as off
   from rec window w as (partition by archive order by page_id))
-select archive, seq, 'changed' as fault, page_id, cast(off as bigint) as "offset", length
+select archive, 0 as part, seq, 'changed' as fault, page_id, cast(off as bigint) as "offset", length
 from placed where md5(cast(page_id as varchar))[1:2] = '07'
 """
 

@@ -665,6 +665,57 @@ def test_warc(spark):
     assert warc.audit(ours.where("page_id < 10"), ours.limit(0)).count() == 11
 
 
+def test_warc_insertions_and_hot_archives(spark):
+    """Inserted, lost, moved and lengthened records are located alone; rows without id and repeated ids are dealt out."""
+    rows = [(k, f"http://a/{k}", f"<p>{k}</p>") for k in range(2000)] + [(5, f"http://a/5/{k}", "same id") for k in range(300)] + [(None, f"http://n/{k}", f"no id {k}") for k in range(400)]
+    schema = "page_id bigint, url string, html string"
+    ours = spark.createDataFrame(rows, schema)
+    lost = [r for r in rows if r[0] != 1030]
+    longer = [(i, u, h + " longer" if i == 40 else h) for i, u, h in lost]
+    theirs = spark.createDataFrame([*longer, (1100, "http://a/new", "new"), (None, "http://n/new", "new")], schema)
+    for most in (1 << 20, 100):
+        got = warc.audit(ours, theirs, span=1024, most=most)
+        assert sorted((r.fault, r.page_id or -1) for r in got.collect()) == [("changed", 40), ("extra", -1), ("extra", 1100), ("missing", 1030)]
+    parts = {(r.archive, r.parts) for r in warc.parts_of(ours, 64, 100).collect()}
+    assert parts == {(0, 4), (None, 4)}
+    dealt = warc.archives(ours, 64, warc.parts_of(ours, 64, 100)).where("archive is null or archive = 0").groupBy("archive", "part").count().collect()
+    assert len(dealt) == 8 and max(r["count"] for r in dealt) < 200
+
+
+def test_warc_offsets_are_in_the_tree(spark):
+    """Equal digests over other ranges make another root."""
+    nodes = "archive bigint, part int, seq bigint, length bigint, digest string"
+    a, b = ([(0, 0, k, n, f"d{k}") for k, n in enumerate(sizes)] for sizes in ((10, 20, 30), (10, 30, 20)))
+    roots = [warc.parents(spark.createDataFrame(x, nodes)).first() for x in (a, b)]
+    assert roots[0].length == roots[1].length == 60 and roots[0].digest != roots[1].digest
+    want = hashlib.sha256(b"d0:10,d1:30,d2:60,").hexdigest()
+    assert roots[0].digest == want
+
+
+def test_warc_damaged_and_compressed_files(spark, tmp_path):
+    import gzip
+
+    def record(k, body):
+        return f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Target-URI: http://a/{k}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+    records = [record(k, b"body %d" % k) for k in range(5)]
+    broken = records[1].replace(b"Content-Length: 6", b"Content-Length: x")
+    for name in ("ours", "theirs"):
+        (tmp_path / name).mkdir()
+    (tmp_path / "ours" / "a.warc").write_bytes(b"".join(records))
+    (tmp_path / "theirs" / "a.warc").write_bytes(b"".join([records[0], broken, *records[2:4], records[4][:-7]]))
+    packed = [gzip.compress(r) for r in records]
+    (tmp_path / "ours" / "b.warc.gz").write_bytes(b"".join(packed))
+    (tmp_path / "theirs" / "b.warc.gz").write_bytes(b"".join([packed[0], packed[1][:12] + bytes(8) + packed[1][20:], *packed[2:]]))
+    got = [r for r in warc.read_records(spark, str(tmp_path / "theirs")).orderBy("archive", "seq").collect()]
+    plain, gz = ([r for r in got if r.archive.endswith(x)] for x in (".warc", ".gz"))
+    assert [r.error for r in plain] == [None, "no content length", None, None, "record is cut off"]
+    assert [(r.offset, r.length) for r in plain[:2]] == [(0, len(records[0])), (len(records[0]), len(records[1]))]
+    assert [r.error is None for r in gz] == [True, False, True, True, True] and gz[2].offset == len(packed[0]) + len(packed[1])
+    found = warc.audit_files(spark, str(tmp_path / "ours"), str(tmp_path / "theirs")).collect()
+    assert {(r.archive, r.seq) for r in found} == {("a.warc", 1), ("a.warc", 4), ("b.warc.gz", 1)}
+
+
 def test_warc_files(spark, tmp_path):
     from pyspark.sql import functions as F
 

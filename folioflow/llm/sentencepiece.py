@@ -3,7 +3,8 @@
 A text becomes a lattice: spaces turn into the marker, one marker is put in front, and every
 vocabulary piece that fits at a place is an edge; a character outside the vocabulary is an edge
 of its UTF-8 bytes. No piece holds a marker behind another character, so the lattice falls
-apart at every space behind a word, and equal chunks have equal lattices. Per batch each
+apart at every space behind a word, and equal chunks have equal lattices. A chunk of over `LONG` characters
+is cut further wherever no piece holds the two characters side by side, which changes no probability. Per batch each
 distinct chunk's forward sums are filtered once; then all its occurrences draw their last
 piece, the piece before it and so on by the forward probabilities (forward filtering,
 backward sampling). Every draw is a hash of the row's key and the draw's place, so a row's
@@ -32,6 +33,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 1.0
 #: Characters of the texts that are worked on at once in a task.
 SLICE = 3_000_000
+#: Characters of a chunk that is not cut further.
+LONG = 32
 #: Columns of the dense part of the prefix tree.
 DENSE = 128
 MARK = "▁"
@@ -114,6 +117,8 @@ class Lattice:
                 self.dense[at, k] = nxt
             else:
                 rare[at << 16 | k] = nxt
+        # pairs of characters that stand side by side in some piece
+        self.joints = np.unique(np.array([self.letters[a] << 16 | self.letters[b] for p, _ in normal for a, b in zip(p, p[1:], strict=False)] or [-1], np.int64))
         self.rare_keys = np.array(sorted(rare) or [-1], np.int64)
         self.rare_next = np.array([rare[k] for k in sorted(rare)] or [0], np.int32)
 
@@ -127,20 +132,40 @@ class Lattice:
             out[far] = np.where(self.rare_keys[at] == keys, self.rare_next[at], np.where(letter[far] == DENSE - 1, out[far], 0))
         return out
 
+    def parts(self, text: str) -> list[str | tuple[str]]:
+        """Chunks of a text: those of split(), without their first space, and in tuples what is cut off from
+        long ones, which have none."""
+        chunks = split(text)
+        if max(map(len, chunks)) <= LONG:
+            return chunks
+        out: list[str | tuple[str]] = []
+        for c in chunks:
+            if len(c) <= LONG:
+                out.append(c)
+                continue
+            whole = " " + c
+            codes = self.code[np.frombuffer(whole.encode("utf-32-le"), np.uint32)].astype(np.int64)
+            keys = codes[:-1] << 16 | codes[1:]
+            at = np.minimum(np.searchsorted(self.joints, keys), len(self.joints) - 1)
+            cuts = [0, *(np.flatnonzero(self.joints[at] != keys) + 1).tolist(), len(whole)]
+            out.append(whole[1 : cuts[1]])
+            out += [(whole[a:b],) for a, b in zip(cuts[1:], cuts[2:], strict=False)]
+        return out
+
     def filtered(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Forward filtering of distinct chunks (given without their leading space), longest first.
+        """Forward filtering of distinct chunks, longest first.
 
         Returns base: node (j, t), the place behind character j of chunk t, is base[j - 1] + t; and
         for every node its first edge, then for the edges their piece (-1: an unknown character),
         length, and cumulative probability given the node, longer pieces first.
         """
-        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         n, longest = len(chunks), int(sizes[0])
         flat = self.code[np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)]
-        begin = np.cumsum(sizes - 1) - (sizes - 1)
+        begin = np.cumsum(sizes) - sizes
         live = np.searchsorted(-sizes, -np.arange(longest + 1), "right")  # live[j]: chunks of j characters or more
         base = np.cumsum(live[1:]) - live[1:]
-        letters = [np.full(n, self.letters.get(" ", 0), np.int16)] + [flat[begin[: live[j + 1]] + j - 1] for j in range(1, longest)]
+        letters = [flat[begin[: live[j + 1]] + j] for j in range(longest)]
         found: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(longest + 1)]
         for i in range(longest):
             at = np.arange(live[i + 1])
@@ -202,16 +227,16 @@ class Lattice:
     def encode(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sampled piece ids of all texts, one after another, and where each text's ids end.
         keys: an unsigned number per text that seeds its draws. An empty text has no pieces."""
-        types: dict[str, int] = {}
+        types: dict[str | tuple[str], int] = {}
         kinds, owners = [], np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
             if text:
-                parts = split(text)
+                parts = self.parts(text)
                 owners[k] = len(parts)
                 kinds.append(np.fromiter((types.setdefault(c, len(types)) for c in parts), np.int32, len(parts)))
         if not kinds:
             return np.zeros(0, np.int32), owners
-        names = list(types)
+        names = [" " + c if type(c) is str else c[0] for c in types]
         order = np.argsort(-np.fromiter(map(len, names), np.int64, len(names)), kind="stable")
         names = [names[k] for k in order.tolist()]
         renamed = np.empty(len(names), np.int32)
@@ -222,7 +247,7 @@ class Lattice:
         # backward sampling: all chunks together, one piece of each per step
         live = np.arange(len(kind))
         seeds = mix(keys.astype(np.uint64)[doc] + (live - (np.cumsum(owners) - owners)[doc]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        place = (np.fromiter(map(len, names), np.int64, len(names)) + 1)[kind]
+        place = np.fromiter(map(len, names), np.int64, len(names))[kind]
         drawn, k = [], 0
         while len(live):
             u = (mix(seeds + np.uint64(k * 0xD1342543DE82EF95 & (1 << 64) - 1)) >> np.uint64(11)) * 2.0**-53
@@ -234,7 +259,7 @@ class Lattice:
             place = place - lengths[at]
             drawn.append((live, pieces[at]))
             for x in np.flatnonzero(drawn[-1][1] < 0).tolist():  # an unknown character: its code point, marked
-                drawn[-1][1][x] = -2 - ord(names[kind[x]][place[x] - 1])
+                drawn[-1][1][x] = -2 - ord(names[kind[x]][place[x]])
             rest = np.flatnonzero(place > 0)
             live, seeds, place, kind, k = live[rest], seeds[rest], place[rest], kind[rest], k + 1
         return self._in_order(drawn, owners)
@@ -263,6 +288,8 @@ class Lattice:
 
     def decode(self, ids: list[int]) -> str:
         """The text of a piece sequence: pieces and runs of bytes, without the leading marker."""
+        if self.byte_of.keys().isdisjoint(ids):
+            return "".join([self.names[i] for i in ids])[1:]
         out, held = [], bytearray()
         for i in ids:
             if (byte := self.byte_of.get(i)) is not None:
@@ -343,12 +370,12 @@ def read_model(path: str = MODEL) -> bytes:
         return f.read()
 
 
-def encode_documents(docs: DataFrame, model_path: str = MODEL, alpha: float = ALPHA) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str = MODEL, alpha: float = ALPHA, text_col: str = "text") -> DataFrame:
     """All columns of docs and `pieces`, the sampled ids of text, seeded by doc_id. Null text has
     null pieces, empty text an empty list; repeated rows agree; an empty table stays empty; a
     column named pieces is replaced."""
     ship_package(docs.sparkSession)
-    return docs.withColumn("pieces", encode_column(read_model(model_path), F.col("doc_id"), F.col("text"), alpha))
+    return docs.withColumn("pieces", encode_column(read_model(model_path), F.col("doc_id"), F.col(text_col), alpha))
 
 
 def decode_documents(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:

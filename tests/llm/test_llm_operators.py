@@ -360,6 +360,30 @@ def test_samples_follow_the_lattice(lattice):
         assert abs(seen[way] / n - w / total) < 0.02
 
 
+def test_long_chunks_are_cut_where_no_piece_crosses(lattice):
+    """Unspaced texts: the cuts join back to the text, no piece of it reaches over a cut, and time is in proportion."""
+    rng = random.Random(21)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = ["".join(rng.choice(letters) for _ in range(3000)), "".join(chr(rng.randrange(0x4E00, 0x5200)) for _ in range(3000)), "x" * 500 + "日" + "thethethe" * 30, "word " + "🙂" * 200 + "end  " + "Q9" * 300]
+    pieces = {p for k, p in enumerate(lattice.names) if k not in lattice.byte_of}
+    longest = max(map(len, pieces))
+    for text in texts:
+        parts = [c if type(c) is tuple else (" " + c,) for c in lattice.parts(text)]
+        whole = "".join(c[0] for c in parts)
+        assert whole == " " + text and len(parts) > 2
+        at = 0
+        for c in parts[:-1]:
+            at += len(c[0])
+            for a in range(max(0, at - longest), at):
+                assert not any(whole[a:b] in pieces for b in range(at + 1, min(len(whole), a + longest) + 1) if " " not in whole[a + 1 : b] or not whole[a + 1 : b].strip(" "))
+        ids, ends = lattice.encode([text], np.array([3], np.uint64))
+        assert lattice.decode(ids.tolist()) == text
+    big = "".join(rng.choice(letters) for _ in range(300_000))
+    began = time.process_time()
+    lattice.encode([big], np.array([1], np.uint64))
+    assert time.process_time() - began < 30
+
+
 # --- personal data and secrets -----------------------------------------------------------
 
 

@@ -34,6 +34,18 @@ def prose(rng, n):
     return " ".join("".join(rng.choice(["th", "er", "on", "an", "re", "ti"]) for _ in range(rng.randint(1, 4))) for _ in range(n))
 
 
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from folioflow.llm import _runtime
+
+    session = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        _runtime.shared_folder(session)
+    session.conf["spark.checkpoint.dir"] = "s3a://shared/x/"
+    assert _runtime.shared_folder(session) == "s3a://shared/x"
+
+
 # --- toxicity ----------------------------------------------------------------------------
 
 

@@ -21,11 +21,18 @@ WIDE = "[\\x{10000}-\\x{10FFFF}]"
 
 TRIM = f"^[{TRIM_WS}]+|[{TRIM_WS}]+\\z"
 TRIM_RIGHT = f"[{TRIM_WS}]+\\z"
+#: The characters of TRIM_WS one by one.
+TRIM_CHARS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff\u0085"
 
 
 def trim(s: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(s, TRIM, "")
+    return F.btrim(s, F.lit(TRIM_CHARS))
+
+
+def trim_right(s: Column) -> Column:
+    """Without white space at the end."""
+    return F.rtrim(s, F.lit(TRIM_CHARS))
 
 
 def collapse(s: Column) -> Column:

@@ -7,11 +7,11 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .chars import REGEX_WS, STATS_WS, TRIM_RIGHT, collapse, trim, utf16_clip, utf16_length
+from .chars import REGEX_WS, STATS_WS, collapse, trim, trim_right, utf16_clip, utf16_length
 
 # What folding maps; the last source character is deleted.
 FOLD_FROM, FOLD_TO = "ışğüöçâîû\u0307", "isguocaiu"
-TITLE_MAX, PREVIEW_MAX, SHARE_AS_FILE = 80, 120, 100_000
+TITLE_MAX, PREVIEW_MAX = 80, 120
 
 
 def fold(s: Column) -> Column:
@@ -20,9 +20,11 @@ def fold(s: Column) -> Column:
 
 
 def matches(query: Column, *fields: Column) -> Column:
-    """Every folded term of the query is a substring of the folded fields; a blank query matches."""
+    """Every folded term of the query is a substring of the folded fields; a blank query matches. The
+    fields are folded once a row, whatever the number of terms."""
     text = reduce(lambda a, b: F.concat(a, F.lit("\n"), b), [fold(f) for f in fields])
-    return F.forall(F.filter(F.split(fold(query), " "), lambda t: t != ""), lambda t: F.contains(text, t))
+    terms = F.filter(F.split(fold(query), " "), lambda t: t != "")
+    return F.exists(F.array(text), lambda whole: F.forall(terms, lambda t: F.contains(whole, t)))
 
 
 def word_count(s: Column) -> Column:
@@ -37,7 +39,7 @@ def visible_chars(s: Column) -> Column:
 def preview(s: Column) -> Column:
     """One line of at most 120 units, with an ellipsis if cut."""
     line = trim(collapse(s))
-    cut = F.concat(F.regexp_replace(utf16_clip(line, PREVIEW_MAX), TRIM_RIGHT, ""), F.lit("…"))
+    cut = F.concat(trim_right(utf16_clip(line, PREVIEW_MAX)), F.lit("…"))
     return F.when(utf16_length(line) > PREVIEW_MAX, cut).otherwise(line)
 
 
@@ -68,7 +70,7 @@ def normalize_layout(s: Column) -> Column:
     """Line ends as LF, no white space at line ends, at most one empty line, trimmed."""
     lf = F.regexp_replace(s, "\\r\\n?", "\n")
     # per line, as the class for white space holds the line end itself
-    right = F.array_join(F.transform(F.split(lf, "\n"), lambda x: F.regexp_replace(x, TRIM_RIGHT, "")), "\n")
+    right = F.array_join(F.transform(F.split(lf, "\n"), trim_right), "\n")
     return trim(F.regexp_replace(right, "\\n{3,}", "\n\n"))
 
 

@@ -1,7 +1,8 @@
 """Tables from word boxes: tilt, rows, free strips, columns, cells and confidence.
 
-A page is the unit: words are dealt out by page once, and every later grouping and join has the
-page among its keys. Stages that several branches read are computed once and cut the lineage.
+A page is the unit: words are gathered by page once, one Arrow pass over pages gives tilt, rows, coverage and free
+strips, and columns are functions of a page's row. From there cells and scores are groupings of a page's
+words. What several branches read, the pages and their cells, is computed once and cuts the lineage.
 
 words: page, word_no, text, l, t, r, b, conf (null where unknown). Ties of equal row keys go to
 the left word, then to word_no.
@@ -9,6 +10,8 @@ the left word, then to word_no.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
@@ -39,14 +42,6 @@ def page_stats(words: DataFrame) -> DataFrame:
     return words.groupBy("page").agg(F.count("*").alias("n"), F.median(F.abs(F.col("b") - F.col("t"))).alias("h"), F.min("l").alias("x_min"), F.max("r").alias("x_max"), F.avg("conf").alias("mean_conf"))
 
 
-def center_y() -> Column:
-    return (F.col("t") + F.col("b")) / 2
-
-
-def center_x() -> Column:
-    return (F.col("l") + F.col("r")) / 2
-
-
 def _fullest(x: np.ndarray, y: np.ndarray, bucket: float) -> int:
     """Step of the tilt with the largest sum of squared bucket counts, the first of equals."""
     v = (y - (MAX_SLOPE * np.arange(-SLOPE_STEPS, SLOPE_STEPS + 1) / SLOPE_STEPS)[:, None] * x) / bucket
@@ -59,100 +54,147 @@ def _fullest(x: np.ndarray, y: np.ndarray, bucket: float) -> int:
     return int(scores.argmax()) - SLOPE_STEPS
 
 
-def slopes(words: DataFrame, stats: DataFrame) -> DataFrame:
-    """Per page the tilt whose horizontal buckets are fullest; of equals the most negative. One Arrow
-    batch of pages at a time: as rows, 49 tilts of every word would be grouped three times."""
-
-    @arrow_udf("int")
-    def steps(xs: pa.Array, ys: pa.Array, buckets: pa.Array) -> pa.Array:
-        return pa.array([_fullest(x.values.to_numpy(), y.values.to_numpy(), b.as_py()) for x, y, b in zip(xs, ys, buckets, strict=True)], pa.int32())
-
-    centres = shipped(words).groupBy("page").agg(F.collect_list(F.struct(center_x().alias("x"), center_y().alias("y"))).alias("c"))
-    met = centres.join(stats.where(F.col("n") >= MIN_SLOPE_WORDS).select("page", F.greatest(F.col("h") * ROW_TOLERANCE, F.lit(0.001)).alias("bucket")), "page")
-    best = met.select("page", steps(F.col("c")["x"], F.col("c")["y"], F.col("bucket")).alias("step"))
-    return best.select("page", "step", (F.lit(MAX_SLOPE) * F.col("step") / SLOPE_STEPS).alias("slope"))
-
-
-def row_groups(words: DataFrame, stats: DataFrame, tilt: DataFrame) -> DataFrame:
-    """Words with their row (from 0): in the order of the tilted centre, a word joins the row if
-    it is within the tolerance of the row's mean so far. A fold per page, in the JVM."""
-    key = center_y() - F.coalesce("slope", F.lit(0.0)) * center_x()
-    keyed = words.join(stats.select("page", "h"), "page").join(tilt.select("page", "slope"), "page", "left").withColumn("key", key)
-    pages = keyed.groupBy("page").agg(F.first("h").alias("h"), F.array_sort(F.collect_list(F.struct("key", "l", "word_no", "text", "t", "r", "b", "conf"))).alias("words"))
-    start = F.struct(F.array().cast("array<int>").alias("ids"), F.lit(-1).alias("row"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
-
-    def fold(state: Column, word: Column) -> Column:
-        same = (state["n"] > 0) & (F.abs(word["key"] - state["sum"] / state["n"]) <= F.col("h") * ROW_TOLERANCE)
-        row = F.when(same, state["row"]).otherwise(state["row"] + 1)
-        return F.struct(F.concat(state["ids"], F.array(row)).alias("ids"), row.alias("row"), F.when(same, state["sum"] + word["key"]).otherwise(word["key"]).alias("sum"), F.when(same, state["n"] + 1).otherwise(F.lit(1)).alias("n"))
-
-    ids = F.aggregate("words", start, fold, lambda s: s["ids"])
-    return pages.withColumn("row", ids).select("page", F.inline(F.arrays_zip(F.col("row"), F.col("words")))).select("page", "row", "words.*")
-
-
-def coverage(rows: DataFrame, stats: DataFrame) -> DataFrame:
-    """Steps (page, from, to, count): how many merged word intervals, over all rows, cover the bins
-    from to to. With the page's bin width, number of bins, free limit and extent."""
-    pad, width = F.col("h") * PAD, F.col("x_max") - F.col("x_min")
-    bw = F.greatest(F.col("h") * BIN, F.greatest(width / 4000, F.lit(0.001)))
-    limits = rows.groupBy("page").agg((F.max("row") + 1).alias("n_rows"))
-    sizes = stats.join(limits, "page").select("page", "h", "x_min", "x_max", "n_rows", bw.alias("bw"), F.greatest(F.lit(1), F.floor(width / bw) + 1).cast("int").alias("bins"), F.floor(F.col("n_rows") * F.lit(FREE_SHARE)).alias("free"), pad.alias("pad"))
-    spans = rows.join(sizes, "page").select("page", "row", "x_min", "bw", "bins", (F.col("l") - F.col("pad")).alias("a"), (F.col("r") + F.col("pad")).alias("z"))
-    order = W.partitionBy("page", "row").orderBy("a", "z")
-    fresh = spans.withColumn("new", F.when(F.col("a") <= F.max("z").over(order.rowsBetween(W.unboundedPreceding, -1)), 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
-    merged = fresh.groupBy("page", "row", "run").agg(F.min("a").alias("a"), F.max("z").alias("z"), F.first("x_min").alias("x_min"), F.first("bw").alias("bw"), F.first("bins").alias("bins"))
-    lo = F.greatest(F.lit(0), F.floor((F.col("a") - F.col("x_min")) / F.col("bw")))
-    hi = F.least(F.col("bins") - 1, F.floor((F.col("z") - F.col("x_min")) / F.col("bw")))
-    ends = merged.select("page", "bins", F.explode(F.array(F.struct(lo.alias("from"), F.lit(1).alias("d")), F.struct((hi + 1).alias("from"), F.lit(-1).alias("d")))).alias("e")).select("page", "bins", "e.*")
-    deltas = ends.where("from < bins").groupBy("page", "bins", "from").agg(F.sum("d").alias("d"))
-    along = W.partitionBy("page").orderBy("from")
-    steps = deltas.select("page", "from", (F.coalesce(F.lead("from").over(along), F.col("bins")) - 1).alias("to"), F.sum("d").over(along).alias("count"))
-    return steps.join(sizes, "page")
-
-
-def separators(steps: DataFrame) -> DataFrame:
-    """(page, x): middles of free strips wide enough to part columns, not at the table's edge."""
-    along = W.partitionBy("page").orderBy("from")
-    busy = F.col("count") > F.col("free")
-    runs = steps.withColumn("run", F.sum(F.when(busy, 1).otherwise(0)).over(along)).where(~busy)
-    strips = runs.groupBy("page", "run").agg(F.min("from").alias("from"), F.max("to").alias("to"), *[F.first(c).alias(c) for c in ("x_min", "bw", "bins", "h", "pad")])
-    left, right = F.col("x_min") + F.col("from") * F.col("bw"), F.col("x_min") + (F.col("to") + 1) * F.col("bw")
-    inner = (F.col("from") > 0) & (F.col("to") < F.col("bins") - 1)
-    return strips.where(inner & ((right - left) + F.col("pad") * 2 >= F.col("h") * SEPARATOR)).select("page", ((left + right) / 2).alias("x"))
-
-
-def ruled(steps: DataFrame, grid: DataFrame) -> DataFrame:
-    """(page, x): vertical ruling lines that fall on free bins inside the extent; pages with fewer
-    than two vertical lines have none. grid: page, vertical, horizontal (arrays)."""
-    lines = grid.where(F.size("vertical") >= 2).select("page", F.explode("vertical").alias("x"))
-    met = lines.join(steps, "page")
-    at = F.floor((F.col("x") - F.col("x_min")) / F.col("bw"))
-    return met.where((F.col("x") > F.col("x_min")) & (F.col("x") < F.col("x_max")) & (at >= F.col("from")) & (at <= F.col("to")) & (F.col("count") <= F.col("free"))).select("page", "x")
-
-
-def columns(steps: DataFrame, grid: DataFrame | None = None) -> DataFrame:
-    """Per page the column edges, from accepted ruling lines if any, else from free strips, and the
+def _tilt(x: np.ndarray, y: np.ndarray, h: float) -> int | None:
+    return _fullest(x, y, max(h * ROW_TOLERANCE, 0.001)) if len(x) >= MIN_SLOPE_WORDS else None
+
+
+def _rows(keys: list[float], order: list[int], tolerance: float) -> list[int]:
+    """Row of each word: in the given order, a word joins the row if it is within the tolerance of the row's mean so far."""
+    out, row, total, n = [0] * len(keys), -1, 0.0, 0
+    for k in order:
+        key = keys[k]
+        if n and abs(key - total / n) <= tolerance:
+            total, n = total + key, n + 1
+        else:
+            row, total, n = row + 1, key, 1
+        out[k] = row
+    return out
+
+
+def _coverage(rows: list[int], left: list[float], right: list[float], pad: float, x_min: float, bw: float, bins: int) -> list[tuple[int, int, int]]:
+    """Steps (from, to, count): how many merged word intervals, over all rows, cover the bins from to to."""
+    change: dict[int, int] = {}
+
+    def add(a: float, z: float) -> None:
+        lo, hi = max(0, math.floor((a - x_min) / bw)), min(bins - 1, math.floor((z - x_min) / bw))
+        change[lo] = change.get(lo, 0) + 1
+        change[hi + 1] = change.get(hi + 1, 0) - 1
+
+    held: tuple[int, float, float] | None = None
+    for row, a, z in sorted((r, x - pad, y + pad) for r, x, y in zip(rows, left, right, strict=True)):
+        if held and held[0] == row and a <= held[2]:
+            held = row, held[1], max(held[2], z)
+        else:
+            if held:
+                add(*held[1:])
+            held = row, a, z
+    if held:
+        add(*held[1:])
+    starts, out, count = sorted(x for x in change if x < bins), [], 0
+    for x, nxt in zip(starts, [*starts[1:], bins], strict=True):
+        count += change[x]
+        out.append((x, nxt - 1, count))
+    return out
+
+
+def _strips(steps: list[tuple[int, int, int]], free: int, pad: float, h: float, x_min: float, bw: float, bins: int) -> list[float]:
+    """Middles of free strips wide enough to part columns, not at the table's edge."""
+    out, first = [], None
+    for lo, hi, count in [*steps, (bins, bins, free + 1)]:
+        if count <= free:
+            first = lo if first is None else first
+        elif first is not None:
+            left, right = x_min + first * bw, x_min + lo * bw
+            if first > 0 and lo < bins and (right - left) + pad * 2 >= h * SEPARATOR:
+                out.append((left + right) / 2)
+            first = None
+    return out
+
+
+LAYOUT = "struct<step:int,slope:double,rows:array<int>,n_rows:int,bw:double,bins:int,free:int,pad:double,steps:array<struct<from:int,to:int,count:int>>,strips:array<double>>"
+
+
+def _layout(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    kind = pa.struct(
+        [("step", pa.int32()), ("slope", pa.float64()), ("rows", pa.list_(pa.int32())), ("n_rows", pa.int32()), ("bw", pa.float64()), ("bins", pa.int32()), ("free", pa.int32()), ("pad", pa.float64()),
+         ("steps", pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32()), ("count", pa.int32())]))), ("strips", pa.list_(pa.float64()))]
+    )
+    for words, heights, lefts, rights in batches:
+        ends, flat = words.offsets.to_pylist(), words.values
+        number, box = flat.field("word_no").to_pylist(), {c: flat.field(c).to_numpy(zero_copy_only=False) for c in "ltrb"}
+        out = []
+        for k, (h, x_min, x_max) in enumerate(zip(heights.to_pylist(), lefts.to_pylist(), rights.to_pylist(), strict=True)):
+            at = slice(ends[k], ends[k + 1])
+            l, t, r, b = (box[c][at] for c in "ltrb")
+            if h is None or h <= 0 or len(l) < MIN_ROWS * MIN_COLUMNS:
+                out.append(None)
+                continue
+            x, y = (l + r) / 2, (t + b) / 2
+            step = _tilt(x, y, h)
+            slope = None if step is None else MAX_SLOPE * step / SLOPE_STEPS
+            keys, left, right, no = (y - (slope or 0.0) * x).tolist(), l.tolist(), r.tolist(), number[at]
+            rows = _rows(keys, sorted(range(len(keys)), key=lambda i: (keys[i], left[i], no[i])), h * ROW_TOLERANCE)
+            n_rows, pad = max(rows) + 1, h * PAD
+            bw = max(h * BIN, (x_max - x_min) / 4000, 0.001)
+            bins, free = max(1, math.floor((x_max - x_min) / bw) + 1), math.floor(n_rows * FREE_SHARE)
+            steps = _coverage(rows, left, right, pad, x_min, bw, bins)
+            named = [dict(zip(("from", "to", "count"), s, strict=True)) for s in steps]
+            out.append({"step": step, "slope": slope, "rows": rows, "n_rows": n_rows, "bw": bw, "bins": bins, "free": free, "pad": pad, "steps": named, "strips": _strips(steps, free, pad, h, x_min, bw, bins)})
+        yield pa.array(out, kind)
+
+
+def laid_out(words: DataFrame) -> DataFrame:
+    """One row per page, those without a usable word too: the statistics of page_stats(), words (the usable ones as an array) and, if
+    they suffice for a table, step and slope (the tilt whose horizontal buckets are fullest; of equals the most negative; null for few words),
+    rows (of each word, from 0), n_rows, the bins of coverage (bw, bins, free, pad), its steps, and strips, the middles of free strips."""
+    use = (trim(F.col("text")) != "") & (F.col("r") != F.col("l")) & (F.col("b") != F.col("t"))
+    own = lambda c: F.when(use, c)
+    pages = shipped(words).groupBy("page").agg(
+        F.count_if(use).alias("n"), F.median(own(F.abs(F.col("b") - F.col("t")))).alias("h"), F.min(own(F.col("l"))).alias("x_min"), F.max(own(F.col("r"))).alias("x_max"),
+        F.avg(own(F.col("conf"))).alias("mean_conf"), F.collect_list(own(F.struct("word_no", "text", "l", "t", "r", "b", "conf"))).alias("words"),
+    )
+    return pages.withColumn("_", arrow_udf(_layout, LAYOUT)("words", "h", "x_min", "x_max")).select(*pages.columns, "_.*")
+
+
+def ruled(pages: DataFrame, grid: DataFrame) -> DataFrame:
+    """(page, lines, n_vertical, n_horizontal): of laid-out pages the vertical ruling lines that fall on free bins inside the
+    extent, in order; pages with fewer than two vertical lines have none. grid: page, vertical, horizontal (arrays)."""
+    met = pages.join(grid.select("page", "vertical", "horizontal"), "page")
+
+    def accepted(x: Column) -> Column:
+        at = F.floor((x - F.col("x_min")) / F.col("bw"))
+        return (x > F.col("x_min")) & (x < F.col("x_max")) & F.exists("steps", lambda s: (at >= s["from"]) & (at <= s["to"]) & (s["count"] <= F.col("free")))
+
+    lines = F.when(F.size("vertical") >= 2, F.array_sort(F.filter("vertical", accepted)))
+    return met.select("page", lines.alias("lines"), F.size("vertical").alias("n_vertical"), F.size("horizontal").alias("n_horizontal"))
+
+
+def columns(pages: DataFrame, grid: DataFrame | None = None) -> DataFrame:
+    """Laid-out pages with their column edges, from accepted ruling lines if any, else from free strips, and the
     share of ruling evidence (null without)."""
-    size = steps.select("page", "h", "x_min", "x_max", "n_rows").distinct()
-    own = separators(steps).groupBy("page").agg(F.array_sort(F.collect_list("x")).alias("strips"))
-    out = size.join(own, "page", "left")
+    out = pages.where("rows is not null")
     if grid is None:
-        out = out.withColumn("lines", F.lit(None).cast("array<double>")).withColumn("line_score", F.lit(None).cast("double"))
+        out = out.withColumn("line_score", F.lit(None).cast("double"))
+        inner = F.col("strips")
     else:
-        accepted = ruled(steps, grid).groupBy("page").agg(F.array_sort(F.collect_list("x")).alias("lines"))
-        out = out.join(accepted, "page", "left").join(grid.select("page", F.size("vertical").alias("_v"), F.size("horizontal").alias("_h")), "page", "left")
+        out = out.join(ruled(out, grid), "page", "left")
         clamp = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
-        fit = F.when(F.col("_v") > 0, clamp(F.size("lines") / F.col("_v"))).otherwise(0.0)
-        rows = F.when(F.col("_h") > 0, clamp(F.col("_h") / (F.col("n_rows") + 1))).otherwise(0.0)
-        out = out.withColumn("line_score", F.when(F.size("lines") >= 1, fit * 0.6 + rows * 0.4)).drop("_v", "_h")
-    inner = F.coalesce(F.when(F.size("lines") >= MIN_COLUMNS - 1, F.col("lines")), F.col("strips"), F.array().cast("array<double>"))
-    return out.withColumn("edges", F.concat(F.array(F.col("x_min") - 1), inner, F.array(F.col("x_max") + 1))).withColumn("n_cols", F.size("edges") - 1).drop("strips", "lines")
+        fit = F.when(F.col("n_vertical") > 0, clamp(F.size("lines") / F.col("n_vertical"))).otherwise(0.0)
+        rows = F.when(F.col("n_horizontal") > 0, clamp(F.col("n_horizontal") / (F.col("n_rows") + 1))).otherwise(0.0)
+        out = out.withColumn("line_score", F.when(F.size("lines") >= 1, fit * 0.6 + rows * 0.4))
+        inner = F.coalesce(F.when(F.size("lines") >= MIN_COLUMNS - 1, F.col("lines")), F.col("strips"))
+    return out.withColumn("edges", F.concat(F.array(F.col("x_min") - 1), inner, F.array(F.col("x_max") + 1))).withColumn("n_cols", F.size("edges") - 1)
+
+
+def allowed(cols: DataFrame) -> DataFrame:
+    """Pages with an allowed number of columns."""
+    return cols.where((F.col("n_cols") >= MIN_COLUMNS) & (F.col("n_cols") <= MAX_COLUMNS))
 
 
-def cells(rows: DataFrame, cols: DataFrame) -> DataFrame:
+def cells(cols: DataFrame) -> DataFrame:
     """Filled cells (page, row, col, text, l, t, r, b). Words with narrow gaps form a segment; a
-    segment goes to the column it overlaps most, the first of equals."""
-    met = rows.join(cols.where((F.col("n_cols") >= MIN_COLUMNS) & (F.col("n_cols") <= MAX_COLUMNS)).select("page", "edges", "h"), "page")
+    segment goes to the column it overlaps most, the first of equals. Dealt out by page and row once."""
+    met = allowed(cols).select("page", "edges", "h", F.inline(F.arrays_zip(F.col("rows").alias("row"), F.col("words").alias("word")))).select("page", "edges", "h", "row", "word.*")
     order = W.partitionBy("page", "row").orderBy("l", "word_no")
     new = F.when(F.col("l") - F.lag("r").over(order) < F.col("h") * SEPARATOR, 0).otherwise(1)
     parts = met.withColumn("new", new).withColumn("segment", F.sum("new").over(order))
@@ -169,21 +211,25 @@ def has_digit(s: Column) -> Column:
     return s.rlike("[0-9]")
 
 
-def scores(found: DataFrame, cols: DataFrame, stats: DataFrame) -> DataFrame:
+def scores(found: DataFrame, cols: DataFrame) -> DataFrame:
     """Per page with an allowed number of columns: confidence and the header rule."""
-    shape = cols.where((F.col("n_cols") >= MIN_COLUMNS) & (F.col("n_cols") <= MAX_COLUMNS)).join(stats.select("page", "mean_conf"), "page")
-    by_row = found.groupBy("page", "row").agg(F.count("*").alias("k"), F.bool_or(has_digit(F.col("text"))).alias("digit"))
+    shape = allowed(cols).select("page", "h", "n_rows", "n_cols", "line_score", "mean_conf")
+    by_row = found.groupBy("page", "row").agg(F.count("*").alias("k"), F.bool_or(has_digit(F.col("text"))).alias("digit"), F.collect_list(F.struct("col", "l")).alias("lefts"))
     rows = by_row.groupBy("page").agg(
         F.sum("k").alias("filled"), F.count(F.when(F.col("k") >= MIN_COLUMNS, 1)).alias("consistent"), F.max(F.when(F.col("row") == 0, F.col("k"))).alias("first_filled"),
         F.bool_or(F.when(F.col("row") == 0, F.col("digit"))).alias("first_digit"), F.coalesce(F.bool_or(F.when(F.col("row") > 0, F.col("digit"))), F.lit(False)).alias("body_digit"),
+        F.flatten(F.collect_list("lefts")).alias("lefts"),
     )
-    by_col = found.groupBy("page", "col").agg(F.count("*").alias("k"), (F.max("l") - F.min("l")).alias("spread")).join(shape.select("page", "h", "n_rows"), "page")
+    met = shape.join(rows, "page")
+    # of each column the left edges of its cells, at most one in a row
+    of_column = F.transform(F.sequence(F.lit(0), F.col("n_cols") - 1), lambda c: F.transform(F.filter("lefts", lambda x: x["col"] == c), lambda x: x["l"]))
+    fit = F.transform(F.filter(F.col("columns"), lambda x: F.size(x) >= 2), lambda x: F.greatest(F.lit(0.0), 1.0 - (F.array_max(x) - F.array_min(x)) / F.col("h") / 3.0))
     need = F.greatest(F.lit(2), F.ceil(F.col("n_rows") * F.lit(0.6)))
-    columns_of = by_col.groupBy("page").agg(F.count(F.when(F.col("k") >= need, 1)).alias("used"), F.avg(F.when(F.col("k") >= 2, F.greatest(F.lit(0.0), 1.0 - F.col("spread") / F.col("h") / 3.0))).alias("alignment"))
-    met = shape.join(rows, "page").join(columns_of, "page")
+    met = met.withColumn("columns", of_column).withColumn("fit", fit).withColumn("used", F.size(F.filter("columns", lambda x: F.size(x) >= need)))
+    alignment = F.when(F.size("fit") > 0, F.aggregate("fit", F.lit(0.0), lambda total, x: total + x) / F.size("fit")).otherwise(0.0)
     n, m = F.col("n_rows"), F.col("n_cols")
     score = (
-        F.col("filled") / (n * m) * WEIGHTS["fill"] + F.col("consistent") / n * WEIGHTS["consistency"] + F.coalesce("alignment", F.lit(0.0)) * WEIGHTS["alignment"]
+        F.col("filled") / (n * m) * WEIGHTS["fill"] + F.col("consistent") / n * WEIGHTS["consistency"] + alignment * WEIGHTS["alignment"]
         + F.col("used") / m * WEIGHTS["columns"] + F.least(F.lit(1.0), (n - 1) / F.lit(3.0)) * WEIGHTS["depth"]
     )
     score = F.when(F.col("line_score").isNotNull(), score + (1 - score) * F.col("line_score") * 0.5).otherwise(score)
@@ -197,47 +243,48 @@ class Analysis:
     """All stages over one table of words; each attribute is a DataFrame, made when first asked for."""
 
     def __init__(self, words: DataFrame, grid: DataFrame | None = None) -> None:
-        self.words, self.grid = settled(words.repartition("page")), grid
-
-    @cached_property
-    def usable(self) -> DataFrame:
-        return usable(self.words)
+        self.words, self.grid = words, grid
 
     @cached_property
-    def all_stats(self) -> DataFrame:
-        return settled(page_stats(self.usable))
+    def pages(self) -> DataFrame:
+        return settled(laid_out(self.words))
 
     @cached_property
-    def stats(self) -> DataFrame:
-        return self.all_stats.where((F.col("n") >= MIN_ROWS * MIN_COLUMNS) & (F.col("h") > 0))
+    def laid(self) -> DataFrame:
+        """Pages with enough words for a table."""
+        return self.pages.where("rows is not null")
 
-    @cached_property
+    @property
     def slopes(self) -> DataFrame:
-        return slopes(self.usable, self.stats)
+        return self.laid.where("step is not null").select("page", "step", "slope")
 
-    @cached_property
+    @property
     def rows(self) -> DataFrame:
-        return settled(row_groups(self.usable, self.stats, self.slopes))
+        return self.laid.select("page", F.inline(F.arrays_zip(F.col("rows").alias("row"), F.col("words").alias("word")))).select("page", "row", "word.*")
 
-    @cached_property
+    @property
     def steps(self) -> DataFrame:
-        return settled(coverage(self.rows, self.stats))
+        return self.laid.select("page", F.inline("steps"))
+
+    @property
+    def separators(self) -> DataFrame:
+        return self.laid.select("page", F.explode("strips").alias("x"))
 
     @cached_property
     def columns(self) -> DataFrame:
-        return settled(columns(self.steps, self.grid))
+        return columns(self.pages, self.grid)
 
     @cached_property
     def cells(self) -> DataFrame:
-        return settled(cells(self.rows, self.columns))
+        return settled(cells(self.columns))
 
-    @cached_property
+    @property
     def scores(self) -> DataFrame:
-        return scores(self.cells, self.columns, self.stats)
+        return scores(self.cells, self.columns)
 
     def decisions(self) -> DataFrame:
         """Per page: rows, columns, confidence, why there is no table (null if there is), near miss and header."""
-        met = self.words.select("page").distinct().join(self.all_stats.select("page", "n", "h"), "page", "left").join(self.columns.select("page", "n_rows", "n_cols"), "page", "left").join(self.scores, "page", "left")
+        met = self.pages.select("page", "n", "h").join(self.columns.select("page", "n_rows", "n_cols"), "page", "left").join(self.scores, "page", "left")
         few = F.coalesce(F.col("n"), F.lit(0)) < MIN_ROWS * MIN_COLUMNS
         reason = (
             F.when(few | F.coalesce(F.col("h") <= 0, F.lit(False)), "tooFewWords").when(F.col("n_rows") < MIN_ROWS, "tooFewRows").when(F.col("n_cols") < MIN_COLUMNS, "tooFewColumns")

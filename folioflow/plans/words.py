@@ -131,15 +131,15 @@ def row_groups(spark, sf_dir):
 def coverage_histogram(spark, sf_dir):
     """Bins that any interval covers, and by how many."""
     s = tables.Analysis(words(spark, sf_dir)).steps.where("count > 0")
-    return s.select("page", F.explode(F.sequence("from", "to")).alias("bin"), "count").select("page", F.col("bin").cast("bigint").alias("bin"), F.col("count").alias("n"))
+    return s.select("page", F.explode(F.sequence("from", "to")).alias("bin"), "count").select("page", F.col("bin").cast("bigint").alias("bin"), F.col("count").cast("bigint").alias("n"))
 
 
 def column_separators(spark, sf_dir):
-    return tables.separators(tables.Analysis(words(spark, sf_dir)).steps).select("page", F.round("x", 6).alias("x"))
+    return tables.Analysis(words(spark, sf_dir)).separators.select("page", F.round("x", 6).alias("x"))
 
 
 def ruling_boundaries(spark, sf_dir):
-    return tables.ruled(tables.Analysis(words(spark, sf_dir)).steps, grid(spark, sf_dir))
+    return tables.ruled(tables.Analysis(words(spark, sf_dir)).laid, grid(spark, sf_dir)).select("page", F.explode("lines").alias("x"))
 
 
 def table_cells(spark, sf_dir):

@@ -96,3 +96,13 @@ def has_raw_difference(text: Column, raw: Column) -> Column:
 
 def is_partial(units: Column, source_pages: Column) -> Column:
     return F.coalesce(source_pages > units, F.lit(False))
+
+
+def primary_tables(tables: DataFrame, key: str, order: str) -> DataFrame:
+    """The first table of each document, from one row per table."""
+    return tables.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")
+
+
+def can_build_searchable(pages: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, searchable): whether any page of a document has text to lay over its image."""
+    return pages.groupBy(key).agg(F.coalesce(F.bool_or(trim(F.col(text)) != ""), F.lit(False)).alias("searchable"))

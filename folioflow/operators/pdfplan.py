@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.chars import is_blank
+from ..functions.chars import is_blank, trim
+from ..functions.dates import short
 from ..functions.geometry import clamp
+from ..functions.text import sanitize
 
 # Line heights, the page, overlay fonts and limits.
 LINE, SPACER, A4_W, A4_H, MIN_FONT, MAX_FONT, FONT_SHARE, LANDSCAPE_COLUMNS = 11.0, 6.0, 595.275590551181, 841.889763779528, 2.0, 72.0, 0.85, 5
@@ -49,3 +51,20 @@ def kinds(text: Column, has_table: Column, searchable: Column) -> tuple[Column,
     """Which exports are offered: searchable, table, text, and whether there is anything at all."""
     some = ~is_blank(text) | has_table | searchable
     return some & searchable, some & has_table, some, some
+
+
+def document_title(title: Column, app: str = "Folio") -> Column:
+    """Title of an exported document: the application's name where there is none."""
+    return F.when(is_blank(title), F.lit(app)).otherwise(trim(title))
+
+
+def suggested_name(title: Column, day: Column, app: str = "Folio") -> Column:
+    """File name offered for an export: title and date."""
+    return sanitize(F.concat(document_title(title, app), F.lit(" "), short(day)))
+
+
+def page_marks(pages: DataFrame, page: str, title: Column) -> DataFrame:
+    """Adds header and footer of each page, numbered from 1: the trimmed title on the first one (null if blank, and on
+    others), and the page's number."""
+    header = F.when((F.col(page) <= 1) & ~is_blank(title), trim(title))
+    return pages.withColumns({"header": header, "footer": F.col(page).cast("string")})

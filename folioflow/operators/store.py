@@ -32,9 +32,11 @@ def replay(log: DataFrame) -> DataFrame:
 
 
 def since_truncate(log: DataFrame) -> DataFrame:
-    """The log behind its last "delete_all" (one row, joined to every other)."""
-    last = log.where("op = 'delete_all'").agg(F.coalesce(F.max("at"), F.lit(-1)).alias("_from"))
-    return log.join(F.broadcast(last)).where("at > _from and op <> 'delete_all'").drop("_from")
+    """The log behind its last "delete_all" in the order of (at, seq), so of entries of one instant those with a greater
+    seq stay (one row, joined to every other)."""
+    last = log.where("op = 'delete_all'").agg(F.max(F.struct("at", "seq")).alias("_from"))
+    behind = F.col("_from").isNull() | (F.struct("at", "seq") > F.col("_from"))
+    return log.join(F.broadcast(last)).where(behind & (F.col("op") != "delete_all")).drop("_from")
 
 
 def in_order(docs: DataFrame, *tie: str) -> DataFrame:
@@ -57,6 +59,13 @@ def parse(json: Column) -> Column:
     return F.coalesce(bare, wrapped, F.from_json(F.lit("[]"), SCHEMA))
 
 
+def unreadable(stored: DataFrame, json: str) -> DataFrame:
+    """The rows to set aside: stored text that is no JSON, or neither an object nor a list. load() takes them as empty
+    stores, so they are to be kept before anything is written over them; null is no store at all."""
+    shape = F.schema_of_variant(F.try_parse_json(json))
+    return stored.where(F.col(json).isNotNull() & ~F.coalesce(shape.startswith("ARRAY") | shape.startswith("OBJECT"), F.lit(False)))
+
+
 def load(stored: DataFrame, json: str, now: Column) -> DataFrame:
     """Rows of stored JSON with the tolerant defaults; rows without an id are skipped."""
     rows = stored.select(*[c for c in stored.columns if c != json], F.explode(parse(F.col(json))).alias("d"))

@@ -178,7 +178,7 @@ STORE_STATE = f"select id, cast(generation as bigint) as generation, title, text
 def store_truncate(spark, sf_dir):
     """State where everything was deleted once, halfway through the log."""
     entries = log(spark, sf_dir)
-    half = entries.agg(F.floor(F.max("at") / 2).cast("bigint").alias("at")).select(F.lit(None).cast("bigint").alias("id"), F.lit(0).cast("bigint").alias("seq"), "at", F.lit("delete_all").alias("op"), *[F.lit(None).cast("string").alias(c) for c in ("title", "text", "source")])
+    half = entries.agg(F.floor(F.max("at") / 2).cast("bigint").alias("at")).select(F.lit(None).cast("bigint").alias("id"), F.lit(1 << 30).cast("bigint").alias("seq"), "at", F.lit("delete_all").alias("op"), *[F.lit(None).cast("string").alias(c) for c in ("title", "text", "source")])
     return store.replay(store.since_truncate(entries.unionAll(half))).select("id", "generation", "created_at", "updated_at", "source")
 
 

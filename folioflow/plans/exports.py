@@ -116,6 +116,29 @@ def share_routes(spark, sf_dir):
 SHARE_ROUTES = "select doc_id, case when length(text) * 20 > 100000 then 'file' else 'inline' end as route from documents"
 
 
+def pdf_page_marks(spark, sf_dir):
+    """Header, footer, title and file name of conversations exported as documents, a turn a page."""
+    title = F.when(F.col("conv_id") % 4 == 0, "  ").otherwise(F.concat(F.lit("  Belge: "), F.col("conv_id").cast("string"), F.lit(" ")))
+    pages = table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") + 1).alias("page"), title.alias("t"), F.to_timestamp(F.lit("2026-09-11 10:00:00")).alias("day"))
+    marked = pdfplan.page_marks(pages, "page", F.col("t"))
+    return marked.select("conv_id", F.col("page").cast("bigint").alias("page"), "header", "footer", pdfplan.document_title(F.col("t")).alias("title"), pdfplan.suggested_name(F.col("t"), F.col("day")).alias("file_name"))
+
+
+PDF_PAGE_MARKS = """select conv_id, turn + 1 as page, case when turn = 0 and conv_id % 4 <> 0 then 'Belge: ' || conv_id end as header, cast(turn + 1 as varchar) as footer,
+case when conv_id % 4 = 0 then 'Folio' else 'Belge: ' || conv_id end as title, case when conv_id % 4 = 0 then 'Folio' else 'Belge_ ' || conv_id end || ' 11.09.2026' as file_name from conversations"""
+
+
+def result_flags(spark, sf_dir):
+    """Whether a document of photographed pages can become a searchable one, and its first table (-1: none)."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, F.col("text")).otherwise(" \t").alias("text"))
+    found = extract.primary_tables(c.where("(conv_id * 5 + turn) % 7 = 3"), "conv_id", "turn").select("conv_id", F.col("turn").cast("bigint").alias("primary_table"))
+    return extract.can_build_searchable(c.where("turn < 2"), "conv_id", "text").join(found, "conv_id", "left").select("conv_id", "searchable", F.coalesce("primary_table", F.lit(-1).cast("bigint")).alias("primary_table"))
+
+
+RESULT_FLAGS = f"""select a.conv_id, searchable, coalesce(primary_table, -1) as primary_table from (select conv_id, bool_or((conv_id + turn) % 3 = 0 and {q.trim('text')} <> '') as searchable from conversations where turn < 2 group by conv_id) a
+left join (select conv_id, min(turn) as primary_table from conversations where (conv_id * 5 + turn) % 7 = 3 group by conv_id) b using (conv_id)"""
+
+
 def page_pipeline(spark, sf_dir):
     """Pages from recognition to text and table, some without lines and some without any text."""
     w = words.words(spark, sf_dir).withColumn("text", F.when(F.col("word_no") == 201, "ME2AR").when(F.col("word_no") == 302, "5elam").otherwise(F.col("text")))
@@ -137,5 +160,7 @@ QUERIES = {
     "pdf_signature": (pdf_signature, PDF_SIGNATURE),
     "image_headers": (image_headers, IMAGE_HEADERS),
     "share_routes": (share_routes, SHARE_ROUTES),
+    "pdf_page_marks": (pdf_page_marks, PDF_PAGE_MARKS),
+    "result_flags": (result_flags, RESULT_FLAGS),
     "page_pipeline": (page_pipeline, None),
 }

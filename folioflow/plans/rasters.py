@@ -177,6 +177,19 @@ def document_quads(spark, sf_dir):
     return q.select("img_id", *[f"{a}{k}" for k in range(4) for a in "xy"], ok.alias("plausible"), (ok & ~quad.nearly_full(w, h)).alias("rectify"), tw.alias("target_width"), th.alias("target_height"))
 
 
+#: The pages' pixels are one component each, so corners are the pixels of least and greatest x + y and x - y; of
+#: equal ones the lower, for the least difference the upper.
+DOCUMENT_QUADS = """with px as (select n_nationkey::bigint as img_id, i % 64 as x, i // 64 as y from nation, range(64 * 48) as r(i)),
+b as (select * from px where x >= 4 + img_id % 6 + y * (img_id % 3) / 24 and x <= 58 - img_id % 5 + y * (img_id % 3) / 24 and y >= 3 + img_id % 4 + x * (img_id % 2) / 32 and y <= 42 - img_id % 3 and img_id % 8 <> 7),
+c as (select img_id, arg_min(x, 100 * (x + y) - y)::double as x0, arg_min(y, 100 * (x + y) - y)::double as y0, arg_max(x, 100 * (x - y) + y)::double as x1, arg_max(y, 100 * (x - y) + y)::double as y1,
+ arg_max(x, 100 * (x + y) + y)::double as x2, arg_max(y, 100 * (x + y) + y)::double as y2, arg_min(x, 100 * (x - y) + y)::double as x3, arg_min(y, 100 * (x - y) + y)::double as y3 from b group by img_id having count(*) between 64 * 48 * 0.35::double and 64 * 48 * 0.97::double),
+s as (select *, sqrt((x0-x1)*(x0-x1)+(y0-y1)*(y0-y1)) as t, sqrt((x3-x2)*(x3-x2)+(y3-y2)*(y3-y2)) as b, sqrt((x0-x3)*(x0-x3)+(y0-y3)*(y0-y3)) as l, sqrt((x1-x2)*(x1-x2)+(y1-y2)*(y1-y2)) as r,
+ abs((x0*y1-x1*y0)+(x1*y2-x2*y1)+(x2*y3-x3*y2)+(x3*y0-x0*y3))/2 as a, greatest(x0,x1,x2,x3)-least(x0,x1,x2,x3) as bw, greatest(y0,y1,y2,y3)-least(y0,y1,y2,y3) as bh from c),
+d as (select *, t >= 64*0.3::double and b >= 64*0.3::double and l >= 48*0.3::double and r >= 48*0.3::double and t <= 2*b and b <= 2*t and l <= 2*r and r <= 2*l
+ and (t+b)/2/greatest((l+r)/2,1) between 0.35::double and 3 and bw > 0 and bh > 0 and a >= bw*bh*0.55::double as plausible,
+ greatest(abs(x0), abs(y0), abs(x1-63), abs(y1), abs(x2-63), abs(y2-47), abs(x3), abs(y3-47)) <= 48*0.02::double as full_frame from s)
+select img_id, x0, y0, x1, y1, x2, y2, x3, y3, plausible, plausible and not full_frame as rectify, least(greatest(cast(round((t+b)/2) as bigint), 32), 64) as target_width, least(greatest(cast(round((l+r)/2) as bigint), 32), 48) as target_height from d"""
+
 QUERIES = {
     "integral_mean": (integral_mean, INTEGRAL_MEAN),
     "illumination": (illumination, ILLUMINATION),
@@ -187,5 +200,5 @@ QUERIES = {
     "otsu": (otsu, OTSU),
     "skew_estimate": (skew_estimate, SKEW),
     "ruling_lines": (ruling_lines, RULING),
-    "document_quads": (document_quads, None),
+    "document_quads": (document_quads, DOCUMENT_QUADS),
 }

@@ -1,27 +1,29 @@
 """The usage tracker over a stream of operations, with state per device.
 
 An extension: the batch operators in operators.quota say the same over a finished log. State is
-the latest clock, the effective day and three counters, whatever the length of the stream.
+the latest clock, the effective day and a counter of each kind of operation on it (kinds without a daily limit
+too), whatever the length of the stream.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.quota import DAILY, TOLERANCE_S
+from ..operators.quota import TOLERANCE_S
 from ..operators.shipping import shipped
 
 OUTPUT = "device bigint, seq bigint, rollback boolean, day string, used bigint"
-STATE = "latest timestamp, day string, ocr bigint, pdf bigint, export bigint"
+STATE = "latest timestamp, day string, used string"
 
 
 def _track(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    latest, day, *counts = state.get if state.exists else (None, "", 0, 0, 0)
-    used = dict(zip(DAILY, counts, strict=True))
+    latest, day, counts = state.get if state.exists else (None, "", "{}")
+    used = json.loads(counts)
     slack = pd.Timedelta(seconds=TOLERANCE_S)
     rows = pd.concat(list(frames)).sort_values("seq")
     out = []
@@ -31,11 +33,12 @@ def _track(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Ite
             latest = r.now if latest is None else max(latest, r.now)
             today = r.now.strftime("%Y-%m-%d")
             if today > day:
-                day, used = today, dict.fromkeys(DAILY, 0)
+                day, used = today, {}
+        op = r.op or ""
         if r.success:
-            used[r.op] += 1
-        out.append((key[0], r.seq, behind, day, used[r.op]))
-    state.update((latest, day, *(used[k] for k in DAILY)))
+            used[op] = used.get(op, 0) + 1
+        out.append((key[0], r.seq, behind, day, used.get(op, 0)))
+    state.update((latest, day, json.dumps(used)))
     yield pd.DataFrame(out, columns=["device", "seq", "rollback", "day", "used"])
 
 

@@ -122,6 +122,30 @@ def test_quota_stream_equals_batch(spark, tmp_path):
     assert got == {(r.device, r.seq): (r.rollback, r.used) for r in quota.tracked(frame).collect()}
 
 
+def test_quota_stream_takes_operations_without_a_limit(spark, tmp_path):
+    rows = [(1, k, 1_000_000 + k, op, True) for k, op in enumerate(["share", "ocr", "share", None, None, "ocr"])]
+    frame = spark.createDataFrame(rows, "device bigint, seq bigint, t bigint, op string, success boolean").select("device", "seq", F.timestamp_seconds("t").alias("now"), "op", "success")
+    frame.coalesce(1).write.parquet(f"{tmp_path}/in")
+    got = {(r.device, r.seq): (r.rollback, r.used) for r in quota_stream.drain(spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/in"), "usage_other", f"{tmp_path}/state").collect()}
+    assert got == {(r.device, r.seq): (r.rollback, r.used) for r in quota.tracked(frame).collect()}
+    assert [got[1, k][1] for k in range(6)] == [1, 1, 2, 1, 2, 2]
+
+
+def test_truncation_ties(spark):
+    """Of entries of one instant those behind the deletion stay."""
+    log = [("a", 1, 10, "save"), (None, 2, 20, "delete_all"), ("b", 1, 20, "save"), ("c", 3, 20, "save"), ("d", 1, 30, "save")]
+    frame = spark.createDataFrame(log, "id string, seq int, at bigint, op string")
+    assert sorted(r.id for r in store.since_truncate(frame).collect()) == ["c", "d"]
+    assert store.since_truncate(frame.where("op = 'save'")).count() == 4
+
+
+def test_unreadable_stores(spark):
+    texts = ['{"version":1,"documents":[]}', "[]", "{broken", "", "12", None, '"text"', '{"documents":[{"id":"a"}]}']
+    frame = spark.createDataFrame(list(enumerate(texts)), "n int, json string")
+    assert sorted(r.n for r in store.unreadable(frame, "json").collect()) == [2, 3, 4, 6]
+    assert store.load(frame, "json", F.current_timestamp()).count() == 1
+
+
 def test_interstitials(spark):
     calls = [(1, k, float(t)) for k, t in enumerate([0, 10, 20, 30, 40, 50, 400, 410, 420, 1000])]
     got = [r.shown for r in quota.interstitials(spark.createDataFrame(calls, "user bigint, seq bigint, at double")).orderBy("seq").collect()]
@@ -179,6 +203,30 @@ def test_document_corners():
 
 def test_image_size(spark):
     png = bytes.fromhex("89504E470D0A1A0A0000000D49484452000002800000012C")
+    def jpeg(w, h, before=b""):
+        return b"\xff\xd8\xff\xe0\x00\x10" + bytes(14) + before + b"\xff\xc2\x00\x11\x08" + h.to_bytes(2, "big") + w.to_bytes(2, "big") + bytes(12)
+
+    exif = b"\xff\xe1\xff\xfe" + b"\xff\xc0" * 32766 + b"\xff\xff\xd0" + b"\xff\xc4\x00\x04ab"
+    webp = [b"VP8X" + bytes(8) + (639).to_bytes(3, "little") + (299).to_bytes(3, "little"), b"VP8L" + bytes(4) + b"\x2f" + (639 | 299 << 14 | 1 << 28).to_bytes(4, "little"), b"VP8 " + bytes(10) + (640 | 1 << 14).to_bytes(2, "little") + (300 | 2 << 14).to_bytes(2, "little")]
+    others = [jpeg(640, 300), jpeg(640, 300, exif), *(b"RIFF" + bytes(4) + b"WEBP" + x + bytes(4) for x in webp), jpeg(0, 300), jpeg(9, 9)[:21] + b"\xff\xda" + bytes(20), b"\xff\xd8\xff" + b"\xff" * 40, b"RIFF" + bytes(4) + b"WEBPVP8Z" + bytes(20)]
+    got = [r.s for r in spark.createDataFrame([(k, bytearray(b)) for k, b in enumerate(others)], "k int, c binary").select("k", files.image_size(F.col("c")).alias("s")).orderBy("k").collect()]
+    assert [tuple(s) if s else None for s in got] == [(640, 300)] * 5 + [None] * 4
     rows = [(png,), (png[:10],), (b"BM" + bytes(16) + (640).to_bytes(4, "little") + (300).to_bytes(4, "little"),), (b"x" * 40,)]
     got = [r.s for r in spark.createDataFrame([(bytearray(b),) for (b,) in rows], "c binary").select(files.image_size(F.col("c")).alias("s")).collect()]
     assert [tuple(s) if s else None for s in got] == [(640, 300), None, (640, 300), None]
+
+
+def test_share_route_counts_utf16_units(spark):
+    texts = ["a" * 100_000, "a" * 100_001, "🙂" * 50_000, "🙂" * 50_001]
+    got = spark.createDataFrame(list(enumerate(texts)), "n int, t string").orderBy("n").select(files.share_route(F.col("t")).alias("r")).collect()
+    assert [r.r for r in got] == ["inline", "file", "inline", "file"]
+
+
+def test_stages_need_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from folioflow.operators import stages
+
+    session = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        stages._folder(session)

@@ -32,7 +32,7 @@ from ._runtime import ship_package
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 1.0
 #: Characters of the texts that are worked on at once in a task.
-SLICE = 3_000_000
+SLICE = 1_000_000
 #: Characters of a chunk that is not cut further.
 LONG = 32
 #: Columns of the dense part of the prefix tree.
@@ -91,6 +91,8 @@ class Lattice:
             raise ValueError("the model needs byte pieces, and no marker behind another character")
         self.byte_ids[list(of_byte)] = list(of_byte.values())
         self.byte_of = {i: b for b, i in of_byte.items()}
+        self.is_byte, self.name_of = np.zeros(len(pieces), bool), np.array(self.names, object)
+        self.is_byte[list(self.byte_of)] = True
         # prefix tree: state 0 is dead, 1 the root; columns of `dense` are the commonest characters
         children: dict[tuple[int, str], int] = {}
         self.piece, weight = [-1, -1], [0.0, 0.0]
@@ -286,12 +288,13 @@ class Lattice:
             text_ends = np.concatenate([[0], ends])[text_ends]
         return out, text_ends
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text of a piece sequence: pieces and runs of bytes, without the leading marker."""
-        if self.byte_of.keys().isdisjoint(ids):
-            return "".join([self.names[i] for i in ids])[1:]
+        ids = np.asarray(ids, np.int64)
+        if not self.is_byte[ids].any():
+            return "".join(self.name_of[ids])[1:]
         out, held = [], bytearray()
-        for i in ids:
+        for i in ids.tolist():
             if (byte := self.byte_of.get(i)) is not None:
                 held.append(byte)
                 continue
@@ -359,7 +362,7 @@ def decode_column(model: bytes, ids: Column) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = lattice(model, ALPHA)
         for batch in batches:
-            yield pa.array([None if x is None else table.decode(x) for x in batch.to_pylist()], pa.string())
+            yield pa.array([table.decode(x.values.to_numpy()) if x.is_valid else None for x in batch], pa.string())
 
     return run(ids)
 

@@ -12,6 +12,8 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch at most.
+ROWS, _BATCH = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 _TABLES: list[tuple[SparkSession, str]] = []
 
 
@@ -19,8 +21,11 @@ def ship_package(spark: SparkSession) -> None:
     """Make this package importable by Python workers that have no copy of it.
 
     The archive goes through Spark's own file server, so it needs no folder that
-    driver and executors share.
+    driver and executors share. Texts go to the workers at most `ROWS` at a time, so that batches of long
+    texts stay small.
     """
+    if int(spark.conf.get(_BATCH, "10000")) > ROWS:
+        spark.conf.set(_BATCH, str(ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_folioflow_shipped", False):
         return

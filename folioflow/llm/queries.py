@@ -27,8 +27,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = sentencepiece.encode_documents(docs.withColumnRenamed("text", "was"), text_col="was")
-    return sentencepiece.decode_documents(encoded).select("doc_id", "pieces", F.col("text").eqNullSafe(F.col("was")).alias("lossless"))
+    return sentencepiece.round_trip_documents(docs).select("doc_id", "pieces", "lossless")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

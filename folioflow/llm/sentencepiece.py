@@ -266,6 +266,20 @@ class Lattice:
             live, seeds, place, kind, k = live[rest], seeds[rest], place[rest], kind[rest], k + 1
         return self._in_order(drawn, owners)
 
+    def encoded(self, keys: pa.Array, texts: pa.Array) -> pa.Array:
+        """Lists of sampled ids of a batch of texts, `SLICE` characters at a time."""
+        seeds, parts, offsets, end, start, size = keys.to_numpy(zero_copy_only=False).view(np.uint64), [], [np.zeros(1, np.int64)], 0, 0, 0
+        rows = texts.to_pylist()
+        for k, text in enumerate(rows):
+            size += len(text or "")
+            if size >= SLICE or k == len(rows) - 1:
+                ids, ends = self.encode([x or "" for x in rows[start : k + 1]], seeds[start : k + 1])
+                parts.append(ids)
+                offsets.append(ends + end)
+                end, start, size = end + len(ids), k + 1, 0
+        values = pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(offsets).astype(np.int32)), values, mask=texts.is_null())
+
     def _in_order(self, drawn: list[tuple[np.ndarray, np.ndarray]], owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Draws, which come last piece first, in text order; unknown characters as bytes."""
         n = np.zeros(int(owners.sum()), np.int64)
@@ -339,18 +353,21 @@ def encode_column(model: bytes, key: Column, text: Column, alpha: float = ALPHA)
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         table = lattice(model, alpha)
         for keys, texts in batches:
-            seeds, parts, offsets, end, start, size = keys.to_numpy(zero_copy_only=False).view(np.uint64), [], [np.zeros(1, np.int64)], 0, 0, 0
-            rows = texts.to_pylist()
-            for k, text in enumerate(rows):
-                size += len(text or "")
-                if size >= SLICE or k == len(rows) - 1:
-                    ids, ends = table.encode([x or "" for x in rows[start : k + 1]], seeds[start : k + 1])
-                    parts.append(ids)
-                    offsets.append(ends + end)
-                    end, start, size = end + len(ids), k + 1, 0
-            offsets = pa.array(np.concatenate(offsets).astype(np.int32))
-            values = pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32))
-            yield pa.ListArray.from_arrays(offsets, values, mask=texts.is_null())
+            yield table.encoded(keys, texts)
+
+    return run(F.xxhash64(key.cast("string")), text)
+
+
+def round_trip_column(model: bytes, key: Column, text: Column, alpha: float = ALPHA) -> Column:
+    """Sampled piece ids as encode_column() gives them, and whether they decode to the text (null for null text), in one pass."""
+
+    @arrow_udf("struct<pieces:array<int>,lossless:boolean>")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        table = lattice(model, alpha)
+        for keys, texts in batches:
+            pieces = table.encoded(keys, texts)
+            same = [table.decode(p.values.to_numpy()) == t.as_py() if t.is_valid else None for p, t in zip(pieces, texts, strict=True)]
+            yield pa.StructArray.from_arrays([pieces, pa.array(same, pa.bool_())], ["pieces", "lossless"])
 
     return run(F.xxhash64(key.cast("string")), text)
 
@@ -373,12 +390,19 @@ def read_model(path: str = MODEL) -> bytes:
         return f.read()
 
 
-def encode_documents(docs: DataFrame, model_path: str = MODEL, alpha: float = ALPHA, text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str = MODEL, alpha: float = ALPHA) -> DataFrame:
     """All columns of docs and `pieces`, the sampled ids of text, seeded by doc_id. Null text has
     null pieces, empty text an empty list; repeated rows agree; an empty table stays empty; a
     column named pieces is replaced."""
     ship_package(docs.sparkSession)
-    return docs.withColumn("pieces", encode_column(read_model(model_path), F.col("doc_id"), F.col(text_col), alpha))
+    return docs.withColumn("pieces", encode_column(read_model(model_path), F.col("doc_id"), F.col("text"), alpha))
+
+
+def round_trip_documents(docs: DataFrame, model_path: str = MODEL, alpha: float = ALPHA) -> DataFrame:
+    """encode_documents() and `lossless`, whether decoding the pieces returned the text (null for null text)."""
+    ship_package(docs.sparkSession)
+    both = docs.withColumn("_both", round_trip_column(read_model(model_path), F.col("doc_id"), F.col("text"), alpha))
+    return both.withColumns({"pieces": F.col("_both.pieces"), "lossless": F.col("_both.lossless")}).drop("_both")
 
 
 def decode_documents(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:

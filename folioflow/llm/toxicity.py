@@ -36,9 +36,9 @@ PREFIXES = (3, 4, 5, 6, 7, 8)
 #: Share of cues that may be there by chance, and least share of toxic documents among those that hold a cue.
 FALSE, PURE = 0.02, 0.5
 #: Words of a slice that is scored at once, and words of a block of the scan.
-SLICE, BLOCK = 400_000, 256
+SLICE, BLOCK = 100_000, 256
 #: A worker forgets its word cache beyond this many words.
-CACHE = 400_000
+CACHE = 100_000
 SPAN_RESULT = "score double, n_spans int, spans string"
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import random
 import re
@@ -224,7 +225,24 @@ def test_token_bytes_are_those_of_the_text():
     text = "".join(map(chr, [*range(1, 0x250), 0x4E00, 0x1F642]))
     assert both.encode([text.encode()])[0] is not None
     assert both.encode([b"\xff broken"])[0] is None
-    assert both.a.entries[both.first.token_to_id("<|endoftext|>")] == b"<|endoftext|>"
+    assert both.a.entries[50256] == b"<|endoftext|>"
+
+
+def test_rank_encoder_is_the_file_s_encoder():
+    from tokenizers import Tokenizer
+
+    file = token_alignment._read(token_alignment.BYTE_BPE)
+    both = token_alignment.pair_of(file, token_alignment._read(token_alignment.PIECES))
+    plain = Tokenizer.from_buffer(file)
+    plain.encode_special_tokens = True
+    rng = random.Random(4)
+    texts = [" " + (t or "") for t in ODD] + ["".join(chr(rng.choice([rng.randint(1, 127), 32, 10, rng.randint(1, 0xD7FF), rng.randint(0xE000, 0x10FFFF)])) for _ in range(rng.randint(1, 80))) for _ in range(3000)]
+    assert both.first(texts) == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    # a file of another kind goes the general way
+    other = json.loads(file)
+    other["pre_tokenizer"]["add_prefix_space"] = True
+    other = json.dumps(other).encode()
+    assert token_alignment.byte_encoder(other, both.a.entries)(["word", " word"]) == both.first([" word", " word"])
 
 
 def test_interval_index_against_all_pairs():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import os
 import shutil
 import tempfile
@@ -77,6 +78,26 @@ def discard(df: DataFrame) -> None:
             _TABLES.remove(entry)
 
 
+def tables() -> int:
+    """How many tables of written() there are now; a mark for discard_since()."""
+    return len(_TABLES)
+
+
+def discard_since(mark: int, kept: DataFrame) -> None:
+    """Delete the tables written since the mark, but for the one that kept reads."""
+    own = {os.path.basename(os.path.dirname(f)) for f in kept.inputFiles()[:1]}
+    for entry in _TABLES[mark:]:
+        if os.path.basename(entry[1]) not in own:
+            _delete(*entry)
+            _TABLES.remove(entry)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished rounds: it does so when the driver's JVM collects what stands for them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the session may be gone: the folder is the cluster's to clean
         jvm = spark.sparkContext._jvm

@@ -38,6 +38,15 @@ def settled(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of our own in the shared folder, deleted as the tables of settled() are."""
+    path = f"{_folder(spark)}/folioflow-{name}-{uuid.uuid4().hex}"
+    if not _TABLES:
+        atexit.register(clear)
+    _TABLES.append((spark, path))
+    return path
+
+
 def clear() -> None:
     """Delete the tables of all stages; DataFrames over them are not to be used any more."""
     for spark, path in _TABLES:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..functions.chars import utf16_length
+from . import textfiles
+from .snapshots import Snapshots
 
 # Signature window, the least size of an image, the length that is shared as a file.
 PDF_WINDOW, MIN_IMAGE_BYTES, SHARE_AS_FILE = 1024, 16, 100_000
@@ -107,11 +109,17 @@ def share_route(text: Column) -> Column:
     return F.when(utf16_length(text) > SHARE_AS_FILE, "file").otherwise("inline")
 
 
-def write_texts(docs: DataFrame, path: str, text: str = "text") -> None:
-    """UTF-8 text files; a text's line ends stay its own."""
-    docs.select(F.col(text).alias("value")).write.mode("error").text(path)
+def write_texts(docs: DataFrame, path: str, title: str = "title", id_col: str = "doc_id", text: str = "text") -> None:
+    """One UTF-8 file for each document, named by its title, as a whole or not at all; a text's line ends stay its own."""
+    textfiles.write(textfiles.named(docs, title, id_col, text), path)
 
 
-def write_store(stored: DataFrame, path: str, json: str = "json") -> None:
-    """Stored JSON, one document per line; Spark's committer makes the write atomic."""
-    stored.select(F.col(json).alias("value")).write.mode("overwrite").text(path)
+def write_store(stored: DataFrame, path: str, expected: int | None = None) -> int:
+    """Stored JSON as the next version of the store at path: readers have the former one until the new one is there whole, and a
+    writer whose expected version is no longer the latest gets a Conflict. The new version."""
+    return Snapshots(stored.sparkSession, path).write(stored, expected)
+
+
+def read_store(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
+    """What write_store() wrote last, or as a version; None before the first write."""
+    return Snapshots(spark, path).read(version)

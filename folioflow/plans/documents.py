@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import chars, dates
 from ..functions.text import document_title
 from ..operators import extract, layout, store
+from ..operators.stages import scratch
+from ..sources import files, textfiles
+from ..sources.snapshots import Snapshots
 from . import sqltext as q
 from .sources import table
 
@@ -235,7 +241,37 @@ def store_roundtrip(spark, sf_dir):
 
 STORE_ROUNDTRIP = f"select conv_id, id, title, text, created, source from {_LOADED}"
 
+def store_versions(spark, sf_dir):
+    """Every version of a store that was written, added to and replaced, as its readers see it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    store = Snapshots(spark, scratch(spark, "versions"))
+    store.write(docs.where("doc_id % 3 <> 0"))
+    store.append(docs.where("doc_id % 3 = 0"))
+    store.write(store.read().where("doc_id % 7 <> 2").withColumn("n_chars", F.col("n_chars") + 1))
+    seen = [store.read(v).select(F.lit(v).cast("bigint").alias("version"), "*") for v in store.versions()]
+    return reduce(DataFrame.unionAll, seen).groupBy("version", "source").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"), F.bit_xor("doc_id").alias("ids"))
+
+
+STORE_VERSIONS = """with v as (select 1 as version, * from documents where doc_id % 3 <> 0 union all select 2, * from documents union all select 3, * replace (n_chars + 1 as n_chars) from documents where doc_id % 7 <> 2)
+select version, source, count(*) as documents, sum(n_chars)::bigint as chars, bit_xor(doc_id) as ids from v group by version, source"""
+
+
+def text_files(spark, sf_dir):
+    """Documents as files of their own and read again: names shared by many, names in brackets, texts with any line ends."""
+    docs = table(spark, sf_dir, "documents")
+    title = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("Note ("), F.col("doc_id"), F.lit(")"))).when(F.col("doc_id") % 5 == 1, F.concat(F.lit("a:b "), F.col("doc_id"))).otherwise(F.col("source"))
+    out = scratch(spark, "texts")
+    files.write_texts(docs.select("doc_id", title.alias("title"), F.concat("text", F.lit("\r\nend\n")).alias("text")), out)
+    return textfiles.read(spark, out).select("name", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+TEXT_FILES = """with t as (select doc_id, text || chr(13) || chr(10) || 'end' || chr(10) as text, case doc_id % 5 when 0 then 'Note (' || doc_id || ')' when 1 then 'a_b ' || doc_id else source end as plain from documents)
+select case when count(*) over (partition by lower(plain)) > 1 or doc_id % 5 = 0 then plain || ' (' || doc_id || ')' else plain end as name, md5(text) as digest from t"""
+
+
 QUERIES = {
+    "store_versions": (store_versions, STORE_VERSIONS),
+    "text_files": (text_files, TEXT_FILES),
     "join_sections": (join_sections, JOIN_SECTIONS),
     "format_blocks": (format_blocks, FORMAT_BLOCKS),
     "text_layer_vs_ocr": (text_layer_vs_ocr, TEXT_LAYER),

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import functions as F
 
 from ..operators import quota
+from ..operators.stages import scratch
+from ..streaming import tracker
 from .sources import table
 
 _OPS = {"view": "ocr", "click": "pdf", "purchase": "export"}
@@ -116,7 +120,35 @@ union all select c.u, c.seq, c.rn, case when f.n + 1 >= 3 and (f.last_ is null o
 from f join c on c.u = f.u and c.rn = f.rn + 1)
 select u as "user", seq, shown from f"""
 
+@contextlib.contextmanager
+def _rocks(spark):
+    before = spark.conf.get(tracker.PROVIDER)
+    spark.conf.set(tracker.PROVIDER, tracker.ROCKS)
+    yield
+    spark.conf.set(tracker.PROVIDER, before)
+
+
+def usage_stream(spark, sf_dir):
+    """The tracker's decisions from a stream that brings every operation twice and out of order, and is stopped and started again
+    half way. A last file moves the watermark behind all of them."""
+    path, rows = scratch(spark, "usage"), usage(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.col("seq") * 60 + 86400))
+    log = rows.select("device", "seq", "ts", "now", "op", "success")
+    half = log.agg(F.expr("(min(seq) + max(seq)) div 2")).first()[0]
+    parts = [log.where(F.col("seq") <= half), log.where(F.col("seq") > half), log.where(F.col("seq") == half).withColumns({"device": F.lit(-1).cast("bigint"), "ts": F.lit("2100-01-01").cast("timestamp")})]
+    with _rocks(spark):
+        for part in parts:
+            part.unionAll(part).repartition(2, F.xxhash64("seq")).write.mode("append").parquet(f"{path}/in")
+            stream = spark.readStream.schema(log.schema).parquet(f"{path}/in")
+            out = tracker.track_usage(stream, late="1 minute").writeStream
+            out.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out").where("device >= 0").select("device", "seq", "rollback", "day", "used", "admitted")
+
+
+USAGE_STREAM = f"""with {_USAGE}, n as (select *, count(*) filter (where success) over (partition by device, "day", op order by seq rows between unbounded preceding and current row) as used from d)
+select device, seq, rollback, "day"::varchar as "day", used, used - success::int < {_LIMIT} as admitted from n"""
+
 QUERIES = {
+    "usage_stream": (usage_stream, USAGE_STREAM),
     "clock_rollback": (clock_rollback, CLOCK_ROLLBACK),
     "usage_by_day": (usage_by_day, USAGE_BY_DAY),
     "quota_admission": (quota_admission, QUOTA_ADMISSION),

@@ -142,6 +142,12 @@ def ruling_boundaries(spark, sf_dir):
     return tables.ruled(tables.Analysis(words(spark, sf_dir)).laid, grid(spark, sf_dir)).select("page", F.explode("lines").alias("x"))
 
 
+def line_score(spark, sf_dir):
+    """How well drawn lines agree with the columns and rows of words, for pages where any line is a border."""
+    found = tables.columns(tables.Analysis(words(spark, sf_dir)).laid, grid(spark, sf_dir))
+    return found.where("line_score is not null").select("page", F.round("line_score", 6).alias("line_score"))
+
+
 def table_cells(spark, sf_dir):
     c = tables.Analysis(words(spark, sf_dir)).table_cells()
     return c.select("page", F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"), "text", F.round("l", 6).alias("l"), F.round("r", 6).alias("r"))
@@ -182,6 +188,7 @@ QUERIES = {
     "coverage_histogram": (coverage_histogram, f"{_SQL} select page, bin, k as n from hs"),
     "column_separators": (column_separators, f"{_SQL} select page, round(x, 6) as x from se"),
     "ruling_boundaries": (ruling_boundaries, f"{_SQL}{_RULED_SQL} select page, x from ac"),
+    "line_score": (line_score, f"{_SQL}{_RULED_SQL} select page, round(line_score, 6) as line_score from ls"),
     "table_cells": (table_cells, f'{_SQL}{_cells_sql(_PLAIN)} select page, rw as "row", col, text, round(l, 6) as l, round(r, 6) as r from tc'),
     "table_confidence": (table_confidence, f"{_SQL}{_cells_sql(_PLAIN)} {_DECIDE}"),
     "table_confidence_ruled": (table_confidence_ruled, f"{_SQL}{_RULED_SQL}{_cells_sql(_WITH_GRID)} {_DECIDE}"),

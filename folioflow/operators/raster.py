@@ -1,9 +1,9 @@
 """Gray rasters: local means, conditioning, thresholds, tilt, ruling lines and document corners.
 
 A raster is a row (img_id, w, h, px), px an array of w*h values from 0 to 1, row by row. Each is
-worked on by itself with numpy in Arrow batches; one raster is in memory at a time. Resampling,
-rotation and warping belong to image codecs and are not done here, so inputs must not be wider
-than the analysis widths (640 for means, 500 for tilt, 480 for corners, 900 for lines).
+worked on by itself with numpy in Arrow batches; one raster is in memory at a time. What is wider than an
+analysis width (640 for means, 500 for tilt, 480 for corners, 900 for lines) is measured on a smaller copy, and
+places found there are mapped back. Averages stay doubles; they are not rounded to levels in between.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from .shipping import shipped
 MEAN_RATIO, MEAN_RADIUS, MIN_LOCAL, CLIP_SHARE, MIN_RANGE, DARK_BIAS = 0.06, 3, 0.02, 0.02, 16, 0.90
 SKEW_MAX, SKEW_STEP, SKEW_DARK, SKEW_PIXELS, SKEW_ROTATE = 4.0, 0.5, 0.8, 50, 0.75
 LINE_BIAS, LINE_RADIUS, LINE_COVER, LINE_MERGE, LINE_MOST, LINE_MARGIN_X, LINE_MARGIN_Y, LINE_MIN = 0.92, 4, 0.55, 6, 40, 0.06, 0.10, 40
+MEAN_WIDTH, SKEW_WIDTH, QUAD_WIDTH, LINE_WIDTH = 640, 500, 480, 900
 QUAD_MIN, QUAD_SHARE_LOW, QUAD_SHARE_HIGH = 32, 0.35, 0.97
 
 
@@ -44,8 +45,42 @@ def local_mean(v: np.ndarray, radius: int) -> np.ndarray:
     return (s[np.ix_(y1, x1)] - s[np.ix_(y0, x1)] - s[np.ix_(y1, x0)] + s[np.ix_(y0, x0)]) / np.outer(y1 - y0, x1 - x0)
 
 
-def mean_map(v: np.ndarray) -> np.ndarray:
-    return local_mean(v, max(MEAN_RADIUS, int(nearest(min(v.shape) * MEAN_RATIO))))
+def _averaged(v: np.ndarray, n: int) -> np.ndarray:
+    """Rows of v averaged down to n: each takes len(v) / n of them, the ones at its ends in part. A part of a row is the
+    way between two of its prefix sums."""
+    sums = np.zeros((len(v) + 1, v.shape[1]))
+    v.cumsum(axis=0, out=sums[1:])
+    edges = np.arange(n + 1) * (len(v) / n)
+    whole = np.minimum(edges.astype(int), len(v) - 1)
+    at = sums[whole] + v[whole] * (edges - whole)[:, None]
+    return np.diff(at, axis=0) * (n / len(v))
+
+
+def shrink(v: np.ndarray, width: int) -> np.ndarray:
+    """Area means at a width, the height in proportion (1 at least); what is not wider stays."""
+    h, w = v.shape
+    if w <= width:
+        return v
+    return _averaged(_averaged(v, max(1, int(nearest(h * width / w)))).T, width).T
+
+
+def thin(v: np.ndarray, width: int) -> np.ndarray:
+    """Every pixel that a smaller grid's corners fall into; what is not wider stays."""
+    h, w = v.shape
+    if w <= width:
+        return v
+    rows = max(1, int(nearest(h * width / w)))
+    return v[np.ix_(np.arange(rows) * h // rows, np.arange(width) * w // width)]
+
+
+def mean_map(v: np.ndarray, width: int = MEAN_WIDTH) -> np.ndarray:
+    """Mean around each pixel; wide images look theirs up in the map of their shrunken copy."""
+    small = shrink(v, width)
+    means = local_mean(small, max(MEAN_RADIUS, int(nearest(min(small.shape) * MEAN_RATIO))))
+    if small is v:
+        return means
+    y, x = (np.minimum(nearest(np.arange(n) * (width / v.shape[1])), m - 1).astype(int) for n, m in zip(v.shape, small.shape, strict=True))
+    return means[np.ix_(y, x)]
 
 
 def levels(v: np.ndarray) -> np.ndarray:
@@ -113,8 +148,9 @@ def otsu(v: np.ndarray) -> float:
     return (int(between.argmax()) if between.max() > 0 else 127) / 255
 
 
-def skew(v: np.ndarray) -> float:
+def skew(v: np.ndarray, width: int = SKEW_WIDTH) -> float:
     """Tilt of text lines in degrees: the angle whose row profile is sharpest, the first of equals."""
+    v = thin(v, width)
     h, w = v.shape
     if min(h, w) < 8:
         return 0.0
@@ -147,21 +183,22 @@ def _longest_runs(mask: np.ndarray) -> np.ndarray:
     return best
 
 
-def ruling_lines(v: np.ndarray, box: tuple[float, float, float, float]) -> tuple[list[float], list[float]]:
+def ruling_lines(v: np.ndarray, box: tuple[float, float, float, float], width: int = LINE_WIDTH) -> tuple[list[float], list[float]]:
     """Horizontal and vertical ruling lines around a box (left, top, right, bottom)."""
     mx, my = (box[2] - box[0]) * LINE_MARGIN_X, (box[3] - box[1]) * LINE_MARGIN_Y
     left, top = max(0, math.floor(box[0] - mx)), max(0, math.floor(box[1] - my))
     right, bottom = min(v.shape[1], math.ceil(box[2] + mx)), min(v.shape[0], math.ceil(box[3] + my))
     if right - left < LINE_MIN or bottom - top < LINE_MIN:
         return [], []
-    part = v[top:bottom, left:right]
+    part = shrink(v[top:bottom, left:right], width)
     h, w = part.shape
+    scale = w / (right - left)
     mask = part < local_mean(part, max(LINE_RADIUS, int(nearest(min(h, w) * MEAN_RATIO)))) * LINE_BIAS
     rows = _merged(np.flatnonzero(_longest_runs(mask) >= int(nearest(w * LINE_COVER))))
     cols = _merged(np.flatnonzero(_longest_runs(mask.T) >= int(nearest(h * LINE_COVER))))
     if len(rows) > LINE_MOST or len(cols) > LINE_MOST:
         return [], []
-    return [top + y for y in rows], [left + x for x in cols]
+    return [top + y / scale for y in rows], [left + x / scale for x in cols]
 
 
 def largest_component(mask: np.ndarray) -> tuple[int, list[tuple[int, int]]]:
@@ -199,16 +236,18 @@ def largest_component(mask: np.ndarray) -> tuple[int, list[tuple[int, int]]]:
     return best
 
 
-def document_quad(v: np.ndarray) -> list[tuple[int, int]] | None:
+def document_quad(v: np.ndarray, width: int = QUAD_WIDTH) -> list[tuple[float, float]] | None:
     """Corners of the bright page, unless bright pixels or their largest component are too few or
     too many. Plausibility is a rule over columns (functions.geometry)."""
+    scale = min(1.0, width / v.shape[1])
+    v = shrink(v, width)
     if min(v.shape) < QUAD_MIN:
         return None
     bright = v > otsu(v)
     if not v.size * QUAD_SHARE_LOW <= bright.sum() <= v.size * QUAD_SHARE_HIGH:
         return None
     n, corners = largest_component(bright)
-    return corners if n >= v.size * QUAD_SHARE_LOW else None
+    return [(x / scale, y / scale) for x, y in corners] if n >= v.size * QUAD_SHARE_LOW else None
 
 
 def _map(rasters: DataFrame, schema: str, row: Callable[[dict, np.ndarray], dict]) -> DataFrame:

@@ -56,6 +56,32 @@ INTEGRAL_MEAN = f"select img_id, x, y, round(m, 6) as mean from {_box(_PIXELS, 3
 _FLAT = f"select img_id, x, y, w, h, round(least(greatest(v / greatest(m, 0.02::double) * 255, 0), 255)) as level from {_box(_PIXELS, 3)}"
 
 
+def area_means(spark, sf_dir):
+    """32 x 32 pixels at a width of 20, so that most pixels belong to two means."""
+    shrunk = raster.filtered(stacked(spark, sf_dir), lambda v: raster.shrink(v, 20)).withColumns({"w": F.lit(20), "h": F.lit(20)})
+    return _pixels(shrunk).select("img_id", "x", "y", F.round("v", 6).alias("mean"))
+
+
+def _part(px: str, axis: str) -> str:
+    """Means over 1.6 pixels along an axis, pixels weighted by what a mean covers of them."""
+    other = "y" if axis == "x" else "x"
+    return f"""(select img_id, {other}, i as {axis}, sum(v * (least({axis} + 1, (i + 1) * 1.6::double) - greatest({axis}, i * 1.6::double))) / 1.6::double as v, 20 as w, 20 as h
+ from ({px}), range(20) as r(i) where {axis} + 1 > i * 1.6::double and {axis} < (i + 1) * 1.6::double group by img_id, {other}, i)"""
+
+
+_AREA = f"select * from {_part('select * from ' + _part(_STACKED, 'x'), 'y')}"
+AREA_MEANS = f"select img_id, x, y, round(v, 6) as mean from ({_AREA})"
+
+
+def wide_mean_map(spark, sf_dir):
+    """Local means of 32 x 32 pixels, looked up in the map of a copy 20 wide."""
+    return _pixels(raster.filtered(stacked(spark, sf_dir), lambda v: raster.mean_map(v, 20))).select("img_id", "x", "y", F.round("v", 6).alias("mean"))
+
+
+WIDE_MEAN_MAP = f"""select m.img_id, a.x, b.y, round(m.m, 6) as mean from {_box(_AREA, 3)} m
+join (select i as x, least(round(i * 0.625::double), 19) as at from range(32) as r(i)) a on a.at = m.x join (select i as y, least(round(i * 0.625::double), 19) as at from range(32) as r(i)) b on b.at = m.y"""
+
+
 def illumination(spark, sf_dir):
     return _levels(raster.filtered(small(spark, sf_dir), raster.flatten_light))
 
@@ -192,6 +218,8 @@ select img_id, x0, y0, x1, y1, x2, y2, x3, y3, plausible, plausible and not full
 
 QUERIES = {
     "integral_mean": (integral_mean, INTEGRAL_MEAN),
+    "area_means": (area_means, AREA_MEANS),
+    "wide_mean_map": (wide_mean_map, WIDE_MEAN_MAP),
     "illumination": (illumination, ILLUMINATION),
     "contrast_stretch": (contrast_stretch, CONTRAST_STRETCH),
     "median3": (median3, MEDIAN3),

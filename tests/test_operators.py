@@ -201,6 +201,37 @@ def test_document_corners():
     assert raster.document_quad(np.full((64, 64), 0.5)) is None
 
 
+def test_area_means_are_overlaps_weighted():
+    v = np.random.default_rng(1).random((7, 11))
+    assert raster.shrink(v, 11) is v and np.allclose(raster.shrink(np.kron(v, np.ones((3, 3))), 11), v)
+    for width in (1, 4, 10):
+        rows = max(1, math.floor(7 * width / 11 + 0.5))
+        parts = [np.array([[max(0.0, min(k + 1, (i + 1) * n / m) - max(k, i * n / m)) for k in range(n)] for i in range(m)]) * m / n for n, m in ((7, rows), (11, width))]
+        assert np.allclose(raster.shrink(v, width), parts[0] @ v @ parts[1].T, atol=1e-12)
+        assert raster.thin(v, width).shape == (rows, width)
+
+
+def test_wide_rasters_are_measured_on_smaller_copies():
+    v = np.ones((700, 1100))
+    for base in range(100, 600, 60):
+        for x in range(1100):
+            v[round(base + x * math.tan(math.radians(2.0))) :][:8, x] = 0.1
+    assert abs(raster.skew(v) - 2.0) <= 0.75
+    lined = np.full((1300, 2000), 0.9)
+    for y in (140, 700, 1200):
+        lined[y - 4 : y + 5, 140:1860] = 0.1
+    for x in (140, 900, 1860):
+        lined[140:1200, x - 4 : x + 5] = 0.1
+    rows, cols = raster.ruling_lines(lined, (200.0, 180.0, 1800.0, 1160.0))
+    assert np.allclose(rows, (140, 700, 1200), atol=8) and np.allclose(cols, (140, 900, 1860), atol=8)
+    y, x = np.mgrid[0:900, 0:1200]
+    page = np.where((x > 150 + y * 0.1) & (x < 1050 + y * 0.1) & (y > 90) & (y < 780), 0.9, 0.1)
+    assert np.allclose(raster.document_quad(page), [(159, 91), (1059, 91), (1127, 779), (228, 779)], atol=14)
+    wide = np.random.default_rng(2).random((30, 1500))
+    small = raster.local_mean(raster.shrink(wide, 640), 3)
+    assert raster.mean_map(wide)[29, 1499] == small[12, 639] and raster.mean_map(wide)[0, 3] == small[0, 1]
+
+
 def test_image_size(spark):
     png = bytes.fromhex("89504E470D0A1A0A0000000D49484452000002800000012C")
     def jpeg(w, h, before=b""):

@@ -14,7 +14,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions.geometry import Quad
 from .shipping import shipped
 
 # The rules' constants.
@@ -250,6 +252,50 @@ def document_quad(v: np.ndarray, width: int = QUAD_WIDTH) -> list[tuple[float, f
     return [(x / scale, y / scale) for x, y in corners] if n >= v.size * QUAD_SHARE_LOW else None
 
 
+def bilinear(v: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Values between pixels; places outside count as the nearest border."""
+    h, w = v.shape
+    x, y = np.clip(x, 0, w - 1), np.clip(y, 0, h - 1)
+    x0, y0 = np.minimum(x.astype(int), max(0, w - 2)), np.minimum(y.astype(int), max(0, h - 2))
+    x1, y1, fx, fy = np.minimum(x0 + 1, w - 1), np.minimum(y0 + 1, h - 1), x - x0, y - y0
+    return (v[y0, x0] * (1 - fx) + v[y0, x1] * fx) * (1 - fy) + (v[y1, x0] * (1 - fx) + v[y1, x1] * fx) * fy
+
+
+def warp(v: np.ndarray, corners: list[tuple[float, float]], width: int, height: int) -> np.ndarray:
+    """The quadrilateral (clockwise from the top left) as an upright image: the perspective map that takes the image's corner
+    pixels to its corners, undone by looking every pixel up. Corners of which three lie on a line have no such map: an error."""
+    system, known = [], []
+    for (u, t), (x, y) in zip([(0, 0), (width - 1, 0), (width - 1, height - 1), (0, height - 1)], corners, strict=True):
+        system += [[u, t, 1, 0, 0, 0, -u * x, -t * x], [0, 0, 0, u, t, 1, -u * y, -t * y]]
+        known += [x, y]
+    a = np.append(np.linalg.solve(np.array(system, float), known), 1.0).reshape(3, 3)
+    t, u = np.mgrid[0:height, 0:width]
+    x, y, z = np.tensordot(a, np.stack([u, t, np.ones_like(u)]), 1)
+    return bilinear(v, x / z, y / z)
+
+
+def untilt(v: np.ndarray, degrees: float) -> np.ndarray:
+    """Turned so that rows which fall by an angle come level, on a canvas that holds all of it; what the image does not cover is white."""
+    h, w = v.shape
+    c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+    width, height = (math.ceil(a * c + b * abs(s) - 1e-9) for a, b in ((w, h), (h, w)))
+    y, x = np.mgrid[0:height, 0:width]
+    x, y = x - (width - 1) / 2, y - (height - 1) / 2
+    x, y = (w - 1) / 2 + x * c - y * s, (h - 1) / 2 + x * s + y * c
+    return np.where((x >= 0) & (x <= w - 1) & (y >= 0) & (y <= h - 1), bilinear(v, x, y), 1.0)
+
+
+def upright(v: np.ndarray) -> np.ndarray:
+    """Levels of the handwriting profile, turned where text lines are clearly tilted."""
+    out = handwriting(v)
+    tilt = skew(out / 255)
+    return nearest(untilt(out / 255, tilt) * 255) if abs(tilt) >= SKEW_ROTATE else out
+
+
+RASTER = "img_id bigint, w int, h int, px array<double>"
+CORNERS = [f"{a}{k}" for k in range(4) for a in "xy"]
+
+
 def _map(rasters: DataFrame, schema: str, row: Callable[[dict, np.ndarray], dict]) -> DataFrame:
     names = [f.split()[0] for f in schema.split(", ")]
 
@@ -267,7 +313,12 @@ def _map(rasters: DataFrame, schema: str, row: Callable[[dict, np.ndarray], dict
 
 def filtered(rasters: DataFrame, step: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """Rasters with px replaced by a step's result (levels 0 to 255, or means)."""
-    return _map(rasters, "img_id bigint, w int, h int, px array<double>", lambda r, v: {"px": step(v).ravel()})
+
+    def row(r: dict, v: np.ndarray) -> dict:
+        out = step(v)
+        return {"px": out.ravel(), "w": out.shape[1], "h": out.shape[0]}
+
+    return _map(rasters, RASTER, row)
 
 
 def measured(rasters: DataFrame, name: str, measure: Callable[[np.ndarray], float]) -> DataFrame:
@@ -287,10 +338,37 @@ def lines(rasters: DataFrame) -> DataFrame:
 
 def quads(rasters: DataFrame) -> DataFrame:
     """Corners x0, y0 (top left) to x3, y3 (bottom left), clockwise, of rasters with a page; others go."""
+    return _cornered(rasters, "img_id bigint, w int, h int").where("x0 is not null")
 
+
+def _cornered(rasters: DataFrame, schema: str) -> DataFrame:
     def row(r: dict, v: np.ndarray) -> dict:
         corners = document_quad(v)
-        flat = [float(c) for xy in corners for c in xy] if corners else [None] * 8
-        return dict(zip(["x0", "y0", "x1", "y1", "x2", "y2", "x3", "y3"], flat, strict=True))
+        return dict(zip(CORNERS, [float(c) for xy in corners for c in xy] if corners else [None] * 8, strict=True)) | {"px": v.ravel()}
+
+    return _map(rasters, ", ".join([schema, *(f"{c} double" for c in CORNERS)]), row)
+
+
+def warped(rasters: DataFrame) -> DataFrame:
+    """Rasters that carry corners x0 to y3 and a target_width and target_height, warped to that size; without a target they stay."""
+
+    def row(r: dict, v: np.ndarray) -> dict:
+        if r["target_width"] is not None:
+            v = warp(v, [(r[f"x{k}"], r[f"y{k}"]) for k in range(4)], r["target_width"], r["target_height"])
+        return {"px": v.ravel(), "w": v.shape[1], "h": v.shape[0]}
+
+    return _map(rasters, RASTER, row)
+
+
+def rectified(rasters: DataFrame) -> DataFrame:
+    """Rasters with a plausible page that does not fill them anyway cut to it and straightened; others stay. No shuffle."""
+    quad = Quad(*[(F.col(f"x{k}"), F.col(f"y{k}")) for k in range(4)])
+    w, h = F.col("w").cast("double"), F.col("h").cast("double")
+    sure = quad.plausible(w, h) & ~quad.nearly_full(w, h)
+    sizes = dict(zip(("target_width", "target_height"), (F.when(sure, size) for size in quad.target_size(w, h)), strict=True))
+    return warped(_cornered(rasters, RASTER).withColumns(sizes))
+
 
-    return _map(rasters, "img_id bigint, w int, h int, x0 double, y0 double, x1 double, y1 double, x2 double, y2 double, x3 double, y3 double", row).where("x0 is not null")
+def handwriting_pages(rasters: DataFrame) -> DataFrame:
+    """The handwriting profile whole: rectified, light flattened, contrast stretched, turned level (levels 0 to 255)."""
+    return filtered(rectified(rasters), upright)

@@ -58,7 +58,7 @@ _FLAT = f"select img_id, x, y, w, h, round(least(greatest(v / greatest(m, 0.02::
 
 def area_means(spark, sf_dir):
     """32 x 32 pixels at a width of 20, so that most pixels belong to two means."""
-    shrunk = raster.filtered(stacked(spark, sf_dir), lambda v: raster.shrink(v, 20)).withColumns({"w": F.lit(20), "h": F.lit(20)})
+    shrunk = raster.filtered(stacked(spark, sf_dir), lambda v: raster.shrink(v, 20))
     return _pixels(shrunk).select("img_id", "x", "y", F.round("v", 6).alias("mean"))
 
 
@@ -216,6 +216,32 @@ d as (select *, t >= 64*0.3::double and b >= 64*0.3::double and l >= 48*0.3::dou
  greatest(abs(x0), abs(y0), abs(x1-63), abs(y1), abs(x2-63), abs(y2-47), abs(x3), abs(y3-47)) <= 48*0.02::double as full_frame from s)
 select img_id, x0, y0, x1, y1, x2, y2, x3, y3, plausible, plausible and not full_frame as rectify, least(greatest(cast(round((t+b)/2) as bigint), 32), 64) as target_width, least(greatest(cast(round((l+r)/2) as bigint), 32), 48) as target_height from d"""
 
+def warped(spark, sf_dir):
+    """Slanted parts of 32 x 32 pixels, straightened to 20 x 16."""
+    k = F.col("img_id") % 3
+    places = [(2 + k, F.lit(1)), (26 + k, F.lit(3)), (28 + k, F.lit(29)), (4 + k, F.lit(27))]
+    corners = {f"{a}{n}": c.cast("double") for n, place in enumerate(places) for a, c in zip("xy", place, strict=True)}
+    rows = stacked(spark, sf_dir).withColumns(corners | {"target_width": F.lit(20), "target_height": F.lit(16)})
+    return _pixels(raster.warped(rows)).select("img_id", "x", "y", F.round("v", 6).alias("value"))
+
+
+def untilted(spark, sf_dir):
+    """32 x 32 pixels turned by five degrees, white where nothing is."""
+    return _pixels(raster.filtered(stacked(spark, sf_dir), lambda v: raster.untilt(v, 5.0))).select("img_id", "x", "y", F.round("v", 6).alias("value"))
+
+
+def _between(grid: str) -> str:
+    """Pixels looked up at the places (sx, sy) of a grid (img_id, x, y, sx, sy); none outside."""
+    return f"""(with p as ({_STACKED}) select g.img_id, g.x, g.y, sum(p.v * (1 - abs(p.x - g.sx)) * (1 - abs(p.y - g.sy))) as v from {grid} g join p on p.img_id = g.img_id
+ and p.x in (floor(g.sx), floor(g.sx) + 1) and p.y in (floor(g.sy), floor(g.sy) + 1) where g.sx between 0 and 31 and g.sy between 0 and 31 group by g.img_id, g.x, g.y)"""
+
+
+_IDS = f"(select distinct img_id from ({_STACKED}))"
+_SLANTED = f"(select img_id, i as x, j as y, 2 + img_id % 3 + 24 * i / 19::double + 2 * j / 15::double as sx, 1 + 2 * i / 19::double + 26 * j / 15::double as sy from {_IDS}, range(20) as a(i), range(16) as b(j))"
+WARPED = f"select img_id, x, y, round(v, 6) as value from {_between(_SLANTED)}"
+_TURNED = f"(select img_id, i as x, j as y, 15.5::double + (i - 17) * cos(radians(5)) - (j - 17) * sin(radians(5)) as sx, 15.5::double + (i - 17) * sin(radians(5)) + (j - 17) * cos(radians(5)) as sy from {_IDS}, range(35) as a(i), range(35) as b(j))"
+UNTILTED = f"select img_id, x, y, round(coalesce(v, 1), 6) as value from {_TURNED} left join {_between(_TURNED)} using (img_id, x, y)"
+
 QUERIES = {
     "integral_mean": (integral_mean, INTEGRAL_MEAN),
     "area_means": (area_means, AREA_MEANS),
@@ -228,5 +254,7 @@ QUERIES = {
     "otsu": (otsu, OTSU),
     "skew_estimate": (skew_estimate, SKEW),
     "ruling_lines": (ruling_lines, RULING),
+    "warped": (warped, WARPED),
+    "untilted": (untilted, UNTILTED),
     "document_quads": (document_quads, DOCUMENT_QUADS),
 }

@@ -232,6 +232,49 @@ def test_wide_rasters_are_measured_on_smaller_copies():
     assert raster.mean_map(wide)[29, 1499] == small[12, 639] and raster.mean_map(wide)[0, 3] == small[0, 1]
 
 
+def test_planted_perspective_is_undone():
+    t, u = np.mgrid[0:120, 0:160]
+    flat = 0.5 + 0.4 * np.sin(u / 9) * np.cos(t / 7)
+    corners = [(30.0, 20.0), (170.0, 35.0), (185.0, 150.0), (18.0, 138.0)]
+    seen = raster.warp(flat, _inverse(corners, 160, 120), 200, 170)
+    assert np.abs(raster.warp(seen, corners, 160, 120) - flat)[2:-2, 2:-2].max() < 0.03
+    assert np.array_equal(raster.warp(flat, [(0, 0), (159, 0), (159, 119), (0, 119)], 160, 120).round(9), flat.round(9))
+
+
+def _inverse(corners, w, h):
+    """Where the corners of a 200 x 170 picture lie on the flat page, if the page's corners are seen at these places."""
+    rows, known = [], []
+    for (x, y), (u, t) in zip(corners, [(0, 0), (w - 1, 0), (w - 1, h - 1), (0, h - 1)], strict=True):
+        rows += [[x, y, 1, 0, 0, 0, -x * u, -y * u], [0, 0, 0, x, y, 1, -x * t, -y * t]]
+        known += [u, t]
+    a = np.append(np.linalg.solve(np.array(rows), known), 1).reshape(3, 3)
+    return [tuple((a @ [x, y, 1])[:2] / (a @ [x, y, 1])[2]) for x, y in ((0, 0), (199, 0), (199, 169), (0, 169))]
+
+
+@pytest.mark.parametrize("degrees", [3.0, -2.0])
+def test_tilted_lines_come_level(degrees):
+    v = np.ones((200, 300))
+    for base in range(30, 180, 25):
+        for x in range(300):
+            y = round(base + x * math.tan(math.radians(degrees)))
+            v[max(0, y) : max(0, y + 3), x] = 0.1
+    out = raster.upright(v)
+    assert out.shape > v.shape and out[0, 0] == out[-1, -1] == 255 and abs(raster.skew(out / 255)) < raster.SKEW_ROTATE
+
+
+def test_handwriting_pages(spark):
+    y, x = np.mgrid[0:120, 0:160]
+    page = np.where((x > 20 + y * 0.1) & (x < 140 + y * 0.1) & (y > 12) & (y < 104), 0.9, 0.1)
+    rows = [(1, 160, 120, page.ravel().tolist()), (2, 64, 64, [0.5] * 4096), (3, 1, 1, [0.5])]
+    table = spark.createDataFrame(rows, "img_id long, w int, h int, px array<double>")
+    got = {r.img_id: r for r in raster.handwriting_pages(table).collect()}
+    assert (got[2].w, got[2].h, got[3].w, got[3].h) == (64, 64, 1, 1)
+    cut = {r.img_id: r for r in raster.rectified(table).collect()}
+    assert abs(cut[1].w - 119) <= 1 and abs(cut[1].h - 90) <= 1 and np.array_equal(got[1].px, raster.upright(np.array(cut[1].px).reshape(cut[1].h, cut[1].w)).ravel())
+    assert np.mean(np.array(cut[1].px) > 0.8) > 0.97 and cut[2].px == rows[1][3]
+    assert raster.handwriting_pages(table.limit(0)).count() == 0
+
+
 def test_image_size(spark):
     png = bytes.fromhex("89504E470D0A1A0A0000000D49484452000002800000012C")
     def jpeg(w, h, before=b""):

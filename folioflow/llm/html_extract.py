@@ -15,7 +15,8 @@
 Inside a main container (article, main) only containers are deleted as template: a plain
 paragraph, heading or list item there is the page's own text even if other pages share it. An element that
 only looks like boilerplate (a form, or a class such as `sidebar`) stays if it holds `main` or
-most of the page's text. Parsing takes time in proportion to the page, broken or not.
+most of the page's text. Names that authors also give to their own sections (`discussion`, `related`, `share`, `comment`)
+remove no element that alone holds text of a main container beside headings. Parsing takes time in proportion to the page, broken or not.
 """
 
 from __future__ import annotations
@@ -51,8 +52,11 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 STRONG = frozenset("ad ads advert adverts advertisement advertising adsense adbox sponsor sponsored promo cookie cookies consent gdpr breadcrumb breadcrumbs comment comments commentlist reply replies respond discussion disqus related recommended recommendations share sharing newsletter subscribe login search searchbox popup pagination pager skiplink tagcloud byline copyright".split())
 MARKS = STRONG | frozenset("promotion banner notice notices alert nav navbar navigation menu menus submenu sidebar side footer header masthead topbar toolbar social follow subscription signup widget modal overlay skip toc tags metadata legal disclaimer".split())
 #: In a compound name (cookie-banner, comment_list): words that say what a mark is a part of, and words that only name a state or layout.
-PARTS = frozenset("area bar block body bottom box button buttons container content form holder inner item items left link links list menu outer panel right row section slot top unit widget wrap wrapper".split())
-STATES = frozenset("has have is no not with without hide hidden show js layout theme page post entry article story".split())
+PARTS = frozenset("area bar block body bottom box button buttons container content form holder inner item items left link links list menu outer panel right row section slot thread top unit widget wrap wrapper".split())
+STATES = frozenset("has have is no not with without hide hidden js".split())
+#: Marks that authors also give to the page's own sections: what bears one stays where nothing else of a main container is text.
+SOFT = frozenset("comment comments reply replies respond discussion related recommended share sharing byline".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: On article and main, only these count.
 OWN = frozenset("comment comments reply replies related promo ad ads teaser".split())
 _CLOSED_BY = {
@@ -65,12 +69,13 @@ _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+
 _NAME = re.compile(r"/?[A-Za-z][A-Za-z0-9:-]*")
 _STOP = re.compile(r"""[>"']""")
 _PART = re.compile(r"[a-z]+")
+_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in RAW}
 
 
 class Node:
-    """drop: 0 stays, 1 goes unless it holds the page, 2 goes."""
+    """drop: 0 stays, 1 goes unless it holds the page, 2 goes, 3 goes unless it alone holds text of a main container."""
 
     __slots__ = ("children", "drop", "hash", "tag")
 
@@ -89,24 +94,25 @@ def _marks(name: str, marks: frozenset[str]) -> bool:
 
 
 def _boilerplate(tag: str, attributes: str) -> int:
-    found = (1 if tag == "form" else 2) if tag in DROP else 0
+    found, soft = (1 if tag == "form" else 2) if tag in DROP else 0, False
     if found == 2 or not attributes or tag in ("html", "body"):
         return found
+    own = tag in ("article", "main")
     for m in _ATTR.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or (name == "aria-hidden" and value.strip() == "true") or (name == "style" and _HIDDEN.search(value)):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and _HIDDEN.search(value)):
             return 2
-        if name == "role" and value.strip() in ROLES:
+        if name == "role" and value.strip().lower() in ROLES:
             found = max(found, 1)
         elif name in ("class", "id"):
-            names = value.split()
-            if tag in ("article", "main"):
-                found = max(found, 2 * any(_marks(x, OWN) for x in names))
-            elif any(_marks(x, STRONG) for x in names):
-                return 2
-            elif any(_marks(x, MARKS) for x in names):
-                found = 1
-    return found
+            names = [_CAMEL.sub("-", x).lower() for x in value.split()]
+            if any(_marks(x, (OWN if own else STRONG) - SOFT) for x in names):
+                found = 2
+            elif any(_marks(x, OWN & SOFT if own else SOFT) for x in names):
+                soft = True
+            elif not own and any(_marks(x, MARKS) for x in names):
+                found = max(found, 1)
+    return 3 if soft and found < 2 else found
 
 
 def _pieces(page: str) -> Iterator[tuple[str, str, str, int, int]]:
@@ -331,6 +337,45 @@ def blocks(root: Node) -> list[str]:
     return out
 
 
+def _prose(root: Node) -> int:
+    """Characters of what stays below an element, headings and white space not counted."""
+    size, todo = 0, [root]
+    while todo:
+        node = todo.pop()
+        size += sum(len("".join(c.split())) for c in node.children if type(c) is str)
+        todo += [c for c in node.children if type(c) is Node and not c.drop and c.tag not in HEADINGS]
+    return size
+
+
+def _holds_article(root: Node) -> bool:
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if node.tag in ("article", "main"):
+            return True
+        todo += [c for c in node.children if type(c) is Node and not c.drop]
+    return False
+
+
+def _rescue(root: Node) -> None:
+    """Where nothing but headings stays, the softly marked element with the most text stays after all, if it lies in
+    a main container, is one or holds one."""
+    if any(_prose(x) for x in _main(root)):
+        return
+    best, most, todo = None, 0, [(root, False)]
+    while todo:
+        node, inside = todo.pop()
+        inside = inside or node.tag in ("article", "main")
+        if node.drop == 3:
+            size = _prose(node) if inside or _holds_article(node) else 0
+            if size > most:
+                best, most = node, size
+        elif not node.drop:
+            todo += [(c, inside) for c in reversed(node.children) if type(c) is Node]
+    if best is not None:
+        best.drop = 0
+
+
 def main_text(page: str, template: set[int] | frozenset[int] = frozenset()) -> str:
     """Main text of one page, given its host's template subtrees."""
     root = parse(page, bool(template))
@@ -338,6 +383,7 @@ def main_text(page: str, template: set[int] | frozenset[int] = frozenset()) -> s
         for node, inside in _walk(root):
             if node.hash in template and _may_go(node, inside):
                 node.drop = 2
+    _rescue(root)
     return "\n".join(b for x in _main(root) for b in blocks(x))
 
 

@@ -203,39 +203,74 @@ def ruling_lines(v: np.ndarray, box: tuple[float, float, float, float], width: i
     return [top + y / scale for y in rows], [left + x / scale for x in cols]
 
 
+def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends (exclusive) of the rows' runs of marked pixels, as places in rows one pixel wider than the mask,
+    so that no run goes on in the next row."""
+    wide = np.zeros((mask.shape[0], mask.shape[1] + 1), np.int8)
+    wide[:, :-1] = mask
+    steps = np.diff(wide.ravel(), prepend=0)
+    return np.flatnonzero(steps > 0), np.flatnonzero(steps < 0)
+
+
+def run_labels(starts: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
+    """For each run the first run of its 4-connected component: runs that overlap one of the row above take the
+    lesser label, both ways, until no two of them differ."""
+    low = np.searchsorted(ends, starts - width, side="right")
+    n = np.maximum(np.searchsorted(starts, ends - width, side="left") - low, 0)
+    below = np.repeat(np.arange(len(starts)), n)
+    above = np.arange(n.sum()) + np.repeat(low - (n.cumsum() - n), n)
+    label = np.arange(len(starts))
+    while (label[above] != label[below]).any():
+        least = np.minimum(label[above], label[below])
+        np.minimum.at(label, label[above], least)
+        np.minimum.at(label, label[below], least)
+        while (label[label] != label).any():
+            label = label[label]
+    return label
+
+
+def _met_first(mask: np.ndarray, start: tuple[int, int], sought: list[set[tuple[int, int]]]) -> list[tuple[int, int]]:
+    """Of each set of pixels (x, y) the one that a depth-first walk comes to first, the walk ending once all are known.
+    Fixed by the rule for equal corners: of the neighbours put aside the newest goes first, put aside left, right, up, down."""
+    w = mask.shape[1] + 2
+    free = bytearray(np.pad(mask, 1).astype(np.uint8).tobytes())
+    wanted: dict[int, list[int]] = {}
+    for k, places in enumerate(sought):
+        for x, y in places:
+            wanted.setdefault((y + 1) * w + x + 1, []).append(k)
+    met: dict[int, tuple[int, int]] = {}
+    aside = [(start[1] + 1) * w + start[0] + 1]
+    free[aside[0]] = 0
+    while len(met) < len(sought):
+        at = aside.pop()
+        for k in wanted.get(at, ()):
+            met.setdefault(k, (at % w - 1, at // w - 1))
+        news = [to for to in (at - 1, at + 1, at - w, at + w) if free[to]]
+        for to in news:
+            free[to] = 0
+        aside += news
+    return [met[k] for k in range(len(sought))]
+
+
 def largest_component(mask: np.ndarray) -> tuple[int, list[tuple[int, int]]]:
     """Pixels of the largest 4-connected component, the first of equals, and its corners: least and
-    greatest x + y and x - y (top left, top right, bottom right, bottom left). Of equal corners the
-    one a depth-first walk meets first counts: newest neighbour first, queued left, right, up, down."""
-    h, w = mask.shape
-    open_ = mask.ravel().tolist()
-    best: tuple[int, list[tuple[int, int]]] = (0, [])
-    for start in np.flatnonzero(mask).tolist():
-        if not open_[start]:
-            continue
-        open_[start] = False
-        stack, n = [start], 0
-        sums, diffs = [math.inf, -math.inf], [-math.inf, math.inf]
-        corners = [(0, 0)] * 4
-        while stack:
-            at = stack.pop()
-            y, x = divmod(at, w)
-            n += 1
-            if x + y < sums[0]:
-                sums[0], corners[0] = x + y, (x, y)
-            if x + y > sums[1]:
-                sums[1], corners[2] = x + y, (x, y)
-            if x - y > diffs[0]:
-                diffs[0], corners[1] = x - y, (x, y)
-            if x - y < diffs[1]:
-                diffs[1], corners[3] = x - y, (x, y)
-            for ok, to in ((x > 0, at - 1), (x < w - 1, at + 1), (y > 0, at - w), (y < h - 1, at + w)):
-                if ok and open_[to]:
-                    open_[to] = False
-                    stack.append(to)
-        if n > best[0]:
-            best = n, corners
-    return best
+    greatest x + y and x - y (top left, top right, bottom right, bottom left). An empty mask has 0 and none.
+    Corners lie at ends of runs; only where several are equal the component is walked, until they are told apart."""
+    starts, ends = runs(mask)
+    if not len(starts):
+        return 0, []
+    width = mask.shape[1] + 1
+    label = run_labels(starts, ends, width)
+    sizes = np.bincount(label, ends - starts)
+    own = label == sizes.argmax()
+    y, left, right = starts[own] // width, starts[own] % width, ends[own] % width - 1
+    sought = []
+    for x, far in ((left, -left - y), (right, right - y), (right, right + y), (left, y - left)):
+        best = far == far.max()
+        sought.append(set(zip(x[best].tolist(), y[best].tolist(), strict=True)))
+    if all(len(places) == 1 for places in sought):
+        return int(sizes.max()), [min(places) for places in sought]
+    return int(sizes.max()), _met_first(mask, (int(left[0]), int(y[0])), sought)
 
 
 def document_quad(v: np.ndarray, width: int = QUAD_WIDTH) -> list[tuple[float, float]] | None:
@@ -349,6 +384,16 @@ def _cornered(rasters: DataFrame, schema: str) -> DataFrame:
     return _map(rasters, ", ".join([schema, *(f"{c} double" for c in CORNERS)]), row)
 
 
+def bright_components(rasters: DataFrame) -> DataFrame:
+    """img_id, pixels n and corners x0, y0 to x3, y3 of the largest bright component; none: 0 and null corners."""
+
+    def row(r: dict, v: np.ndarray) -> dict:
+        n, corners = largest_component(v > otsu(v))
+        return {"n": n} | dict(zip(CORNERS, [float(c) for xy in corners for c in xy] or [None] * 8, strict=True))
+
+    return _map(rasters, ", ".join(["img_id bigint, n bigint", *(f"{c} double" for c in CORNERS)]), row)
+
+
 def warped(rasters: DataFrame) -> DataFrame:
     """Rasters that carry corners x0 to y3 and a target_width and target_height, warped to that size; without a target they stay."""
 

@@ -216,6 +216,27 @@ d as (select *, t >= 64*0.3::double and b >= 64*0.3::double and l >= 48*0.3::dou
  greatest(abs(x0), abs(y0), abs(x1-63), abs(y1), abs(x2-63), abs(y2-47), abs(x3), abs(y3-47)) <= 48*0.02::double as full_frame from s)
 select img_id, x0, y0, x1, y1, x2, y2, x3, y3, plausible, plausible and not full_frame as rectify, least(greatest(cast(round((t+b)/2) as bigint), 32), 64) as target_width, least(greatest(cast(round((l+r)/2) as bigint), 32), 48) as target_height from d"""
 
+# places (x, y) of a picture k: the page, a smaller sheet beside it, a bridge between both in every fifth
+_PAGE = "(x between 14 + k % 5 and 56 - k % 3 and y between 5 + k % 4 and 35 - k % 2)"
+_SHEET = "(x between 2 and 3 + k % 6 and y between 4 and 20 + k % 12)"
+_BRIDGE = "(k % 5 = 1 and y = 12 and x between 2 and 20)"
+
+
+def page_components(spark, sf_dir):
+    """Largest bright component of 64 x 40 pixels for each vector: a page, a smaller sheet that some bridges tie to it (with equal
+    corners among them), and noise by the vector's signs, in components of all sizes, right of a gap."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("img_id"), F.col("vec_id").alias("k"), F.col("embedding").alias("e"))
+    bright = f"{_PAGE} or {_SHEET} or {_BRIDGE} or (x >= 59 and e[(x * 5 + y * 3) % 64] > 0)"
+    value = bright.replace("x", "(i % 64)").replace("y", "(i div 64)")
+    px = F.expr(f"transform(sequence(0, 64 * 40 - 1), i -> case when {value} then 0.85D else 0.2D end)")
+    return raster.bright_components(e.select("img_id", F.lit(64).alias("w"), F.lit(40).alias("h"), px.alias("px")))
+
+
+PAGE_COMPONENTS = f"""with b as (select k as img_id, x, y from (select vec_id as k, i % 64 as x, i // 64 as y from embeddings, range(64 * 40) as r(i)) where {_PAGE} or (k % 5 = 1 and ({_SHEET} or {_BRIDGE})))
+select img_id, count(*) as n, arg_min(x, 100 * (x + y) - y)::double as x0, arg_min(y, 100 * (x + y) - y)::double as y0, arg_max(x, 100 * (x - y) + y)::double as x1, arg_max(y, 100 * (x - y) + y)::double as y1,
+arg_max(x, 100 * (x + y) + y)::double as x2, arg_max(y, 100 * (x + y) + y)::double as y2, arg_min(x, 100 * (x - y) + x)::double as x3, arg_min(y, 100 * (x - y) + x)::double as y3 from b group by img_id"""
+
+
 def warped(spark, sf_dir):
     """Slanted parts of 32 x 32 pixels, straightened to 20 x 16."""
     k = F.col("img_id") % 3
@@ -254,6 +275,7 @@ QUERIES = {
     "otsu": (otsu, OTSU),
     "skew_estimate": (skew_estimate, SKEW),
     "ruling_lines": (ruling_lines, RULING),
+    "page_components": (page_components, PAGE_COMPONENTS),
     "warped": (warped, WARPED),
     "untilted": (untilted, UNTILTED),
     "document_quads": (document_quads, DOCUMENT_QUADS),

@@ -6,7 +6,9 @@ those that equal a known license sentence become its identifier; so do consecuti
 together equal one, as license texts are wrapped and commented out (not over a sentence mark or
 a blank line); their place is the first line's. A document's identifiers in
 order are matched against rules, ordered lists of identifiers: a rule holds if its sentences
-occur in that order, with anything between them. The two tables are small, fixed and broadcast
+occur in that order, with anything between them. A rule whose sentences are part of a longer one's
+(two clauses of three, the notice in a license's appendix) counts only where it occurs more often
+than that one does. The two tables are small, fixed and broadcast
 (runs of words by their 64-bit hash); sentences of no license end at the join.
 """
 
@@ -96,6 +98,7 @@ SENTENCES: dict[str, str] = {
 # Rules, (license, its sentences in order).
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("AGPL-3.0-only", ("agpl-title", "agpl-3-version", "verbatim")),
+    ("AGPL-3.0-only", ("agpl-title", "agpl-3-version", "verbatim", "agpl-notice")),
     ("AGPL-3.0-or-later", ("agpl-notice",)),
     ("AGPL-3.0-or-later", ("spdx-agpl-3-later",)),
     ("Apache-2.0", ("apache-2-short",)),
@@ -118,11 +121,13 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("GPL-2.0-only", ("gpl-2-short",)),
     ("GPL-2.0-only", ("program-free", "gpl-2-redistribute")),
     ("GPL-2.0-only", ("gpl-title", "gpl-2-version", "verbatim")),
+    ("GPL-2.0-only", ("gpl-title", "gpl-2-version", "verbatim", "program-free", "gpl-redistribute", "either-2")),
     ("GPL-2.0-only", ("spdx-gpl-2",)),
     ("GPL-2.0-or-later", ("program-free", "gpl-redistribute", "either-2")),
     ("GPL-2.0-or-later", ("spdx-gpl-2-later",)),
     ("GPL-3.0-only", ("gpl-3-short",)),
     ("GPL-3.0-only", ("gpl-title", "gpl-3-version", "verbatim")),
+    ("GPL-3.0-only", ("gpl-title", "gpl-3-version", "verbatim", "gpl-notice", "gpl-hope", "gpl-received")),
     ("GPL-3.0-only", ("spdx-gpl-3",)),
     ("GPL-3.0-or-later", ("gpl-notice", "gpl-hope", "gpl-received")),
     ("GPL-3.0-or-later", ("program-free", "gpl-redistribute", "either-3")),
@@ -130,6 +135,7 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("ISC", ("isc-grant", "isc-warranty")),
     ("ISC", ("spdx-isc",)),
     ("LGPL-2.1-only", ("lgpl-title", "lgpl-2.1-version", "verbatim")),
+    ("LGPL-2.1-only", ("lgpl-title", "lgpl-2.1-version", "verbatim", "library-free", "lgpl-redistribute", "either-2.1")),
     ("LGPL-2.1-or-later", ("library-free", "lgpl-redistribute", "either-2.1")),
     ("LGPL-2.1-or-later", ("spdx-lgpl-2.1-later",)),
     ("LGPL-3.0-only", ("lgpl-3-short",)),
@@ -166,6 +172,16 @@ def rules() -> list[tuple[str, int, list[int]]]:
     return [(name, place[ids[0]], [place[x] for x in ids]) for name, ids in RULES]
 
 
+def covers() -> list[list[int]]:
+    """For each rule the longer rules of other licenses that hold all its sentences in the same order."""
+
+    def inside(short: tuple[str, ...], long: tuple[str, ...]) -> bool:
+        rest = iter(long)
+        return len(short) < len(long) and all(x in rest for x in short)
+
+    return [[k for k, (other, long) in enumerate(RULES) if other != name and inside(ids, long)] for name, ids in RULES]
+
+
 def fragments() -> list[tuple[int, list[tuple[int, int, int]]]]:
     """(hash of a run of words, its occurrences in known sentences as (identifier, first word, number of
     words of the sentence)). The hash is what F.xxhash64 gives for the run."""
@@ -188,15 +204,18 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(barred, "\n"), lambda s: F.trim(s)), lambda s: ~s.isin("", "|"))
 
 
-def in_order(sequence: Column, ids: Column) -> Column:
-    """Whether the identifiers occur in the sequence in that order, with anything between them: one
-    pass that looks for one identifier after the other."""
-    return F.aggregate(sequence, F.lit(0), lambda k, x: F.when(x == F.get(ids, k), k + 1).otherwise(k)) == F.size(ids)
+def times_in_order(sequence: Column, ids: Column) -> Column:
+    """How often the identifiers occur in the sequence in that order, with anything between them and one
+    occurrence behind the other: one pass that looks for one identifier after the other."""
+    n = F.size(ids)
+    steps = F.aggregate(sequence, F.lit(0), lambda k, x: F.when(x == F.get(ids, k % n), k + 1).otherwise(k))
+    return F.floor(steps / n).cast("int")
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """One row per document row and license: doc_id, license, first_sentence and last_sentence (places
     among the document's sentences of the first and last known sentence), n_known (known sentences).
+    What a longer rule covers is not reported: three-clause BSD is not two-clause BSD as well, unless both stand there.
 
     Null and empty texts have no sentences; a repeated row reports again; a license that several
     rules name, or one rule finds twice, is reported once; an empty table gives no rows. Other
@@ -204,7 +223,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     known = spark.createDataFrame(fragments(), "code bigint, at array<struct<sid: int, first: int, n: int>>")
-    rule = spark.createDataFrame(rules(), "license string, first int, ids array<int>")
+    rule = spark.createDataFrame([(k, *r, c) for k, (r, c) in enumerate(zip(rules(), covers(), strict=True))], "rule int, license string, first int, ids array<int>, covers array<int>")
     # rows are numbered before their sentences are dealt out
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", sentences(F.col("text")).alias("sentences"))
     cut = numbered.select("row", "doc_id", F.posexplode("sentences").alias("place", "line"))
@@ -221,20 +240,26 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     known_of = whole.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "sid"))).alias("known"))
     sequence = known_of.select("row", "doc_id", F.transform("known", lambda x: x["sid"]).alias("sids"), F.col("known")[0]["place"].alias("lo"), F.element_at("known", -1)["place"].alias("hi"))
     marked = sequence.select("*", F.explode(F.array_distinct("sids")).alias("first"))
-    found = marked.join(F.broadcast(rule), "first").where(in_order(F.col("sids"), F.col("ids")))
-    return found.groupBy("row", "doc_id", "license").agg(F.min("lo").alias("first_sentence"), F.max("hi").alias("last_sentence"), F.max(F.size("sids")).cast("bigint").alias("n_known")).drop("row")
+    found = marked.join(F.broadcast(rule), "first").withColumn("n", times_in_order(F.col("sids"), F.col("ids"))).where("n > 0")
+    # a document's rules are at most as many as there are
+    held_rules = found.groupBy("row", "doc_id").agg(F.collect_list(F.struct("rule", "license", "covers", "n")).alias("rules"), F.min("lo").alias("first_sentence"), F.max("hi").alias("last_sentence"), F.max(F.size("sids")).cast("bigint").alias("n_known"))
+    own = "filter(rules, r -> r.n > aggregate(filter(rules, o -> array_contains(r.covers, o.rule)), 0, (n, o) -> n + o.n))"
+    licenses = F.array_distinct(F.expr(f"transform({own}, r -> r.license)"))
+    return held_rules.select("doc_id", F.explode(licenses).alias("license"), "first_sentence", "last_sentence", "n_known")
 
 
 def oracle() -> str:
     """The same scan in DuckDB SQL, found another way: the words of every line are counted on, a known
     sentence that begins with a line must end with the line so many words on and read the same, and a
-    rule advances from each sentence to the first later one that it names next."""
+    rule advances from each sentence to the first later one that it names next, and starts again behind its last."""
     quote = lambda x: "'" + str(x).replace("'", "''") + "'"
     known = ", ".join(f"({quote(s)}, {k}, {len(s.split(' '))})" for s, k in known_sentences())
     steps = ", ".join(f"({r}, {quote(name)}, {k}, {sid}, {len(ids)})" for r, (name, _, ids) in enumerate(rules()) for k, sid in enumerate(ids))
+    covered = ", ".join(f"({r}, {c})" for r, cs in enumerate(covers()) for c in cs)
     return f"""
 with recursive known(sentence, sid, n) as (values {known}),
 steps(rule, license, step, sid, n_steps) as (values {steps}),
+covered(rule, cover) as (values {covered}),
 doc as (select row_number() over () as row_id, doc_id, replace(regexp_replace(regexp_replace(lower(text), '[.!?;](?:[ \t\r\f]+|\n)', chr(10) || chr(10), 'g'), '[^a-z0-9\n]+', ' ', 'g'), chr(10), ' ' || chr(10) || ' ') as t from documents),
 raw as (select row_id, doc_id, unnest(ss) as line, unnest(range(len(ss))) as k from (select row_id, doc_id, string_split(t, chr(10)) as ss from doc)),
 full_ as (select row_id, doc_id, k, trim(line) as line from raw where trim(line) <> ''),
@@ -248,7 +273,8 @@ walk as (
   select h.row_id, h.doc_id, s.rule, s.step, min(h.place) as place from hits h join steps s on s.sid = h.sid and s.step = 0 group by all
   union all
   select w.row_id, w.doc_id, w.rule, w.step + 1, (select min(h.place) from hits h where h.row_id = w.row_id and h.sid = s.sid and h.place > w.place) as place
-  from walk w join steps s on s.rule = w.rule and s.step = w.step + 1 where w.place is not null)
-select distinct on (w.row_id, s.license) w.doc_id, s.license, cast(lo as integer) as first_sentence, cast(hi as integer) as last_sentence, n_known
-from walk w join steps s on s.rule = w.rule and s.step = w.step and s.n_steps = w.step + 1 join span using (row_id) where w.place is not null
+  from walk w join steps s on s.rule = w.rule and s.step = (w.step + 1) % s.n_steps where w.place is not null),
+held as (select w.row_id, w.doc_id, w.rule, s.license, (max(w.step) + 1) // s.n_steps as n from walk w join steps s on s.rule = w.rule and s.step = 0 where w.place is not null group by w.row_id, w.doc_id, w.rule, s.license, s.n_steps having n > 0)
+select distinct on (h.row_id, h.license) h.doc_id, h.license, cast(lo as integer) as first_sentence, cast(hi as integer) as last_sentence, n_known
+from held h join span using (row_id) where h.n > (select coalesce(sum(o.n), 0) from held o join covered c on c.cover = o.rule where o.row_id = h.row_id and c.rule = h.rule)
 """

@@ -85,3 +85,14 @@ def test_a_notices_file_of_many_sentences(spark):
     s = license_scan.SENTENCES
     body = [s["bsd-use"], *[s["bsd-source"]] * 20_000, s["mit-short"], *[s["bsd-use"]] * 5_000, s["bsd-binary"]]
     assert scan(spark, ["\n".join(body), "\n".join(reversed(body))]) == {(0, "BSD-2-Clause"), (0, "MIT"), (1, "MIT")}
+
+
+def test_a_covered_rule_goes_unless_it_stands_there_too(spark):
+    body = {ids: "\n".join(license_scan.SENTENCES[x] for x in ids) for _, ids in RULES}
+    two, three = (body[ids] for name, ids in RULES if name.startswith("BSD") and len(ids) > 1)
+    whole = next(body[ids] for name, ids in RULES if name == "GPL-3.0-only" and "gpl-notice" in ids)
+    notice = next(body[ids] for name, ids in RULES if name == "GPL-3.0-or-later" and "gpl-notice" in ids)
+    texts = [three, two, three + "\n" + three, two + "\n" + three, three + "\n" + two, whole, notice + "\n" + whole, notice]
+    bsd, gpl = {"BSD-2-Clause", "BSD-3-Clause"}, {"GPL-3.0-only", "GPL-3.0-or-later"}
+    want = [{"BSD-3-Clause"}, {"BSD-2-Clause"}, {"BSD-3-Clause"}, bsd, bsd, {"GPL-3.0-only"}, gpl, {"GPL-3.0-or-later"}]
+    assert scan(spark, texts) == {(k, name) for k, names in enumerate(want) for name in names}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import extract, pdfplan, pipeline
+from ..operators import extract, pagination, pdfplan, pipeline
 from ..sources import files
 from . import words
 from . import sqltext as q
@@ -128,6 +128,34 @@ PDF_PAGE_MARKS = """select conv_id, turn + 1 as page, case when turn = 0 and con
 case when conv_id % 4 = 0 then 'Folio' else 'Belge: ' || conv_id end as title, case when conv_id % 4 = 0 then 'Folio' else 'Belge_ ' || conv_id end || ' 11.09.2026' as file_name from conversations"""
 
 
+def _paged(spark, sf_dir):
+    """Lines of documents with their pages, some without a title; chunks so short that most documents have several."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit(". "), F.lit(".\n \n")).alias("text"))
+    plan = pdfplan.text_plan(d, "doc_id", "text")
+    return pagination.paginate(plan, "doc_id", F.when(F.col("doc_id") % 3 != 0, "Belge"), chunk=64)
+
+
+def pdf_pages(spark, sf_dir):
+    """Page of each line, its header and its footer."""
+    marked = pdfplan.page_marks(_paged(spark, sf_dir), "page", F.when(F.col("doc_id") % 3 != 0, "Belge"))
+    return marked.select("doc_id", F.col("line").cast("bigint").alias("line"), F.col("page").cast("bigint").alias("page"), "header", "footer")
+
+
+def pdf_page_counts(spark, sf_dir):
+    return pagination.page_counts(_paged(spark, sf_dir), "doc_id", 3)
+
+
+#: pages one after the other: each starts with the first line that the one before has no room for
+_PAGED = f"""with recursive li as (select doc_id, line - 1 as line, case when {q.trim('text')} = '' then 6 else 11 end as h from (select doc_id, unnest(string_split(t, chr(10))) as text, generate_subscripts(string_split(t, chr(10)), 1) as line
+ from (select doc_id, replace(text, '. ', '.' || chr(10) || ' ' || chr(10)) as t from documents where {q.trim('text')} <> ''))),
+su as materialized (select *, sum(h) over (partition by doc_id order by line) - h as before, sum(h) over (partition by doc_id order by line) as upto from li),
+pg as (select doc_id, 1 as page, 0::hugeint as base, {pagination.ROOM} - case when doc_id % 3 <> 0 then {pagination.HEADER} else 0 end as room from su where line = 0
+ union all select p.doc_id, p.page + 1, min(s.before), {pagination.ROOM} from pg p join su s on s.doc_id = p.doc_id and s.upto > p.base + p.room group by p.doc_id, p.page),
+paged as (select s.doc_id, s.line, p.page from su s asof join pg p on s.doc_id = p.doc_id and s.before >= p.base)"""
+PDF_PAGES = f"{_PAGED} select doc_id, line, page::bigint as page, case when page = 1 and doc_id % 3 <> 0 then 'Belge' end as header, page::varchar as footer from paged"
+PDF_PAGE_COUNTS = f"{_PAGED} select doc_id, max(page)::bigint as n_pages, max(page) <= 3 as exportable from paged group by doc_id"
+
+
 def result_flags(spark, sf_dir):
     """Whether a document of photographed pages can become a searchable one, and its first table (-1: none)."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, F.col("text")).otherwise(" \t").alias("text"))
@@ -161,6 +189,8 @@ QUERIES = {
     "image_headers": (image_headers, IMAGE_HEADERS),
     "share_routes": (share_routes, SHARE_ROUTES),
     "pdf_page_marks": (pdf_page_marks, PDF_PAGE_MARKS),
+    "pdf_pages": (pdf_pages, PDF_PAGES),
+    "pdf_page_counts": (pdf_page_counts, PDF_PAGE_COUNTS),
     "result_flags": (result_flags, RESULT_FLAGS),
     "page_pipeline": (page_pipeline, None),
 }

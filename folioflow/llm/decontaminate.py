@@ -108,7 +108,11 @@ class Items:
         self.bitmap = np.zeros(1 << _BITS, bool)
         self.bitmap[self.known >> np.uint64(64 - _BITS)] = True
         self.lengths = np.array([n for _, n, _ in group], np.int64)
-        self.sizes = sorted({min(SHINGLE, int(n)) for n in self.lengths})
+        short = np.minimum(self.lengths, SHINGLE)
+        self.sizes = np.unique(short).tolist()
+        # items of each shingle size, and the most words of one
+        self.own = {k: short == k for k in self.sizes}
+        self.longest = {k: int(self.lengths[own].max()) for k, own in self.own.items()}
         self.prints = np.array([simhashes(c, self.weights(c), len(c))[0] for _, _, c in group], np.uint64)
         self.totals = np.array([float(self.weights(c).sum()) for _, _, c in group])
         # postings: for each known shingle the items that hold it, and what its occurrences weigh there
@@ -164,8 +168,7 @@ class Items:
 
     def _slices(self, codes: np.ndarray, hits: np.ndarray, size: int, found: dict) -> None:
         """Slices of the document that could hold items, each with the windows of one item length."""
-        own = np.array([min(SHINGLE, int(n)) == size for n in self.lengths])
-        at, longest = self.places(codes[hits]), int(self.lengths[own].max())
+        at, own, longest = self.places(codes[hits]), self.own[size], self.longest[size]
         for first in range(0, len(codes), WINDOWS):
             # windows that begin in this slice reach longest - size shingles beyond it
             a, b = np.searchsorted(hits, [first, first + WINDOWS + longest - size])

@@ -33,18 +33,25 @@ def words(spark, sf_dir):
     c = F.col
     order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
     li = table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("page"), F.row_number().over(order).alias("rn"), c("l_partkey").alias("pk"), F.concat("l_returnflag", "l_linestatus").alias("fl"), c("l_quantity").cast("bigint").alias("q"), F.floor("l_extendedprice").alias("pr"))
-    cell = lambda row, col, text, pk: F.struct(row.alias("rn"), F.lit(col).alias("col"), text.alias("txt"), pk.alias("pk"))
-    own = F.array(*[cell(c("rn"), k, x, c("pk")) for k, x in enumerate((F.concat(F.lit("Part"), c("pk").cast("string")), c("fl"), c("q").cast("string"), c("pr").cast("string")))])
-    head = F.array(*[cell(F.lit(0), k, F.lit(x), F.lit(0).cast("bigint")) for k, x in enumerate(("Part", "Flag", "Qty", "Price"))])
-    cells = li.select("page", F.explode(F.when((c("rn") == 1) & (c("page") % 5 != 4), F.concat(own, head)).otherwise(own)).alias("x")).select("page", "x.*")
-    wide = cells.withColumn("k", F.explode(F.when(c("page") % 40 == 7, F.sequence(F.lit(0), F.lit(3))).otherwise(F.array(F.lit(0))))).withColumn("col", c("col") + 4 * c("k"))
+    # words of a line in one generator: expressions copied into each other, or all in one method, make code too long to be compiled
+    cols = F.when(c("page") % 40 == 7, F.sequence(F.lit(0), F.lit(15))).otherwise(F.sequence(F.lit(0), F.lit(3)))
+    cells = lambda rn, pk, *texts: F.transform(cols, lambda k: F.struct(rn.alias("rn"), k.alias("col"), F.when(k % 4 == 0, texts[0]).when(k % 4 == 1, texts[1]).when(k % 4 == 2, texts[2]).otherwise(texts[3]).alias("txt"), pk.alias("pk")))
+    own = cells(c("rn"), c("pk"), F.concat(F.lit("Part"), c("pk").cast("string")), c("fl"), c("q").cast("string"), c("pr").cast("string"))
+    head = cells(F.lit(0), F.lit(0).cast("bigint"), *map(F.lit, ("Part", "Flag", "Qty", "Price")))
+    both = F.when((c("rn") == 1) & (c("page") % 5 != 4), F.concat(own, head)).otherwise(own)
+    placed = F.transform(both, lambda x: F.struct(x["rn"].alias("rn"), x["col"].alias("col"), x["txt"].alias("txt"), _left(c("page"), x["rn"], x["col"], x["txt"], x["pk"]).alias("l")))
+    wide = li.select("page", F.inline(placed))
     page, rn, col = c("page"), c("rn"), c("col")
     kept = wide.where(~((rn > 0) & ((page + rn * 3 + col * 5) % 11 == 0)) & ~((page % 6 == 3) & ((page * 7 + rn * 5 + col * 3) % 4 < 2)))
-    left = F.when(page % 6 == 5, col * 62 + (rn % 4) * 23).when(page % 6 == 3, col * 200 + (rn * 37) % 90).when(col % 4 == 3, col * 200 + 160 - 10 * F.length("txt")).otherwise(col * 200 + c("pk") % 7).cast("double")
     tilt = F.when(page % 5 == 1, 0.02).when(page % 5 == 2, -0.03).when(page % 5 == 3, 0.05).otherwise(0.0)
-    boxed = kept.withColumn("l", left).withColumn("t", (rn * 40).cast("double") + tilt * c("l"))
+    top = (rn * 40).cast("double") + tilt * c("l")
     conf = F.when(page % 4 == 0, ((page + rn + col) % 10).cast("double") / 10)
-    return boxed.select("page", (rn * 100 + col).alias("word_no"), c("txt").alias("text"), "l", "t", (c("l") + 10 * F.length("txt")).alias("r"), (c("t") + 20).alias("b"), conf.alias("conf"))
+    return kept.select("page", (rn * 100 + col).alias("word_no"), c("txt").alias("text"), "l", top.alias("t"), (c("l") + 10 * F.length("txt")).alias("r"), (top + 20).alias("b"), conf.alias("conf"))
+
+
+def _left(page, rn, col, text, pk):
+    """Left edge of a word, by its page's kind."""
+    return F.when(page % 6 == 5, col * 62 + (rn % 4) * 23).when(page % 6 == 3, col * 200 + (rn * 37) % 90).when(col % 4 == 3, col * 200 + 160 - 10 * F.length(text)).otherwise(col * 200 + pk % 7).cast("double")
 
 
 def grid(spark, sf_dir):

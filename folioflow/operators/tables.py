@@ -1,8 +1,8 @@
 """Tables from word boxes: tilt, rows, free strips, columns, cells and confidence.
 
-A page is the unit: words are gathered by page once, one Arrow pass over pages gives tilt, rows, coverage and free
-strips, and columns are functions of a page's row. From there cells and scores are groupings of a page's
-words. What several branches read, the pages and their cells, is computed once and cuts the lineage.
+A page is the unit: words are gathered by page once, and from there on every stage is a column of the page's row, so nothing is
+shuffled again or written between stages. Tilt, rows, coverage and free strips come from one Arrow function, cells and what scores
+count of them from a second one. Both take the pages of a batch at once: their arrays hold the words of all, and pages are told apart by offsets.
 
 words: page, word_no, text, l, t, r, b, conf (null where unknown). Ties of equal row keys go to
 the left word, then to word_no.
@@ -16,14 +16,14 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ..functions.chars import trim
+from ..functions.chars import TRIM_CHARS, trim
 from .shipping import shipped
-from .stages import settled
 
 # The detector's constants.
 MIN_CONFIDENCE, NEAR_MISS, MIN_ROWS, MIN_COLUMNS, MAX_COLUMNS = 0.6, 0.35, 2, 2, 12
@@ -42,201 +42,369 @@ def page_stats(words: DataFrame) -> DataFrame:
     return words.groupBy("page").agg(F.count("*").alias("n"), F.median(F.abs(F.col("b") - F.col("t"))).alias("h"), F.min("l").alias("x_min"), F.max("r").alias("x_max"), F.avg("conf").alias("mean_conf"))
 
 
-def _fullest(x: np.ndarray, y: np.ndarray, bucket: float) -> int:
-    """Step of the tilt with the largest sum of squared bucket counts, the first of equals."""
-    v = (y - (MAX_SLOPE * np.arange(-SLOPE_STEPS, SLOPE_STEPS + 1) / SLOPE_STEPS)[:, None] * x) / bucket
-    whole = np.trunc(v)
-    keys = whole + np.where(np.abs(v - whole) >= 0.5, np.sign(v), 0.0)
-    if len(x) <= 64:
-        scores = (keys[:, :, None] == keys[:, None, :]).sum(axis=(1, 2))
-    else:
-        scores = np.array([(np.unique(k, return_counts=True)[1] ** 2).sum() for k in keys])
-    return int(scores.argmax()) - SLOPE_STEPS
+#: Pages up to this size have their tilts' buckets compared in pairs, and their rows found word by word side by side.
+PAIRED, CHAINED, BLOCK = 40, 256, 128
+_TILTS = MAX_SLOPE * np.arange(-SLOPE_STEPS, SLOPE_STEPS + 1) / SLOPE_STEPS
 
 
-def _tilt(x: np.ndarray, y: np.ndarray, h: float) -> int | None:
-    return _fullest(x, y, max(h * ROW_TOLERANCE, 0.001)) if len(x) >= MIN_SLOPE_WORDS else None
+def _buckets(x: np.ndarray, y: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """Bucket of each word under each tilt (last axis), halves away from zero."""
+    v = (y[..., None] - _TILTS * x[..., None]) / bucket[..., None]
+    whole = np.trunc(v)
+    return whole + np.where(np.abs(v - whole) >= 0.5, np.sign(v), 0.0)
+
+
+def _fullest(x: np.ndarray, y: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """Of pages of one size (words x pages) the step of the tilt with the largest sum of squared bucket counts, the first of equals."""
+    keys = _buckets(x, y, bucket).reshape(len(x), -1)
+    pairs, some, same = np.zeros(keys.shape[1], np.int32), np.zeros(keys.shape[1], np.uint8), np.zeros(keys.shape[1], bool)
+    for i in range(1, len(keys)):
+        some[:] = 0
+        for j in range(i):
+            np.add(some, np.equal(keys[i], keys[j], out=same).view(np.uint8), out=some)
+        pairs += some
+    return pairs.reshape(-1, len(_TILTS)).argmax(axis=1) - SLOPE_STEPS
+
+
+def _fullest_of(x: np.ndarray, y: np.ndarray, bucket: float) -> int:
+    """The same of one page of any size."""
+    keys = np.sort(_buckets(x, y, np.full(len(x), bucket)).T, axis=1)
+    scores = [(np.diff(np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1], [True])))) ** 2).sum() for k in keys]
+    return int(np.argmax(scores)) - SLOPE_STEPS
+
+
+def _tilts(x: np.ndarray, y: np.ndarray, first: np.ndarray, n: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Step of each page's tilt; pages of few words have none (0)."""
+    out, bucket = np.zeros(len(n), int), np.maximum(h * ROW_TOLERANCE, 0.001)
+    for size in np.unique(n[n >= MIN_SLOPE_WORDS]):
+        alike = np.flatnonzero(n == size)
+        if size > PAIRED:
+            for k in alike:
+                out[k] = _fullest_of(x[first[k] : first[k] + size], y[first[k] : first[k] + size], bucket[k])
+            continue
+        for some in np.split(alike, np.arange(BLOCK, len(alike), BLOCK)):
+            at = first[some] + np.arange(size)[:, None]
+            out[some] = _fullest(x[at], y[at], bucket[some])
+    return out
 
 
-def _rows(keys: list[float], order: list[int], tolerance: float) -> list[int]:
-    """Row of each word: in the given order, a word joins the row if it is within the tolerance of the row's mean so far."""
-    out, row, total, n = [0] * len(keys), -1, 0.0, 0
-    for k in order:
-        key = keys[k]
+def _row_chain(keys: list[float], tolerance: float) -> list[int]:
+    """Row of each word, in order: a word joins the row if it is within the tolerance of the row's mean so far."""
+    out, row, total, n = [], -1, 0.0, 0
+    for key in keys:
         if n and abs(key - total / n) <= tolerance:
             total, n = total + key, n + 1
         else:
             row, total, n = row + 1, key, 1
-        out[k] = row
+        out.append(row)
+    return out
+
+
+def _rows(keys: np.ndarray, first: np.ndarray, n: np.ndarray, tolerance: np.ndarray) -> np.ndarray:
+    """Rows of the words of many pages, each page's in order: their next words are taken together."""
+    out = np.zeros(len(keys), np.int32)
+    for k in np.flatnonzero(n > CHAINED):
+        out[first[k] : first[k] + n[k]] = _row_chain(keys[first[k] : first[k] + n[k]].tolist(), float(tolerance[k]))
+    small = np.flatnonzero(n <= CHAINED)
+    small = small[np.argsort(-n[small], kind="stable")]
+    total, count, row = np.zeros(len(small)), np.ones(len(small)), np.full(len(small), -1, np.int32)
+    for i in range(int(n[small[0]]) if len(small) else 0):
+        m = int(np.searchsorted(-n[small], -i))  # pages that have another word
+        at = first[small[:m]] + i
+        key = keys[at]
+        joins = (np.abs(key - total[:m] / count[:m]) <= tolerance[small[:m]]) & (row[:m] >= 0)
+        total[:m] = np.where(joins, total[:m] + key, key)
+        count[:m] = np.where(joins, count[:m] + 1, 1)
+        row[:m] += ~joins
+        out[at] = row[:m]
     return out
 
 
-def _coverage(rows: list[int], left: list[float], right: list[float], pad: float, x_min: float, bw: float, bins: int) -> list[tuple[int, int, int]]:
-    """Steps (from, to, count): how many merged word intervals, over all rows, cover the bins from to to."""
-    change: dict[int, int] = {}
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Whether a place in sorted keys begins a new group."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return new
 
-    def add(a: float, z: float) -> None:
-        lo, hi = max(0, math.floor((a - x_min) / bw)), min(bins - 1, math.floor((z - x_min) / bw))
-        change[lo] = change.get(lo, 0) + 1
-        change[hi + 1] = change.get(hi + 1, 0) - 1
 
-    held: tuple[int, float, float] | None = None
-    for row, a, z in sorted((r, x - pad, y + pad) for r, x, y in zip(rows, left, right, strict=True)):
-        if held and held[0] == row and a <= held[2]:
-            held = row, held[1], max(held[2], z)
-        else:
-            if held:
-                add(*held[1:])
-            held = row, a, z
-    if held:
-        add(*held[1:])
-    starts, out, count = sorted(x for x in change if x < bins), [], 0
-    for x, nxt in zip(starts, [*starts[1:], bins], strict=True):
-        count += change[x]
-        out.append((x, nxt - 1, count))
-    return out
+def _coverage(page: np.ndarray, row: np.ndarray, a: np.ndarray, z: np.ndarray, x_min: np.ndarray, bw: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Steps (page, from, to, count): how many merged word intervals, over all rows of a page, cover the bins from to to."""
+    order = np.lexsort((z, a, row, page))
+    page, row, a, z = page[order], row[order], a[order], z[order]
+    new = _starts(page, row)
+    # furthest end so far within a row, by ranks, so that rows cannot mix and no end is rounded
+    by_end, rank, group = np.argsort(z, kind="stable"), np.empty(len(z), np.int64), new.cumsum() * len(z)
+    rank[by_end] = np.arange(len(z))
+    ends = z[by_end[np.maximum.accumulate(group + rank) - group]]
+    begins = new.copy()
+    begins[1:] |= a[1:] > ends[:-1]
+    at = np.flatnonzero(begins)
+    page, a, z = page[at], a[at], ends[np.append(at[1:], len(z)) - 1]
+    lo = np.maximum(0, np.floor((a - x_min[page]) / bw[page])).astype(np.int64)
+    hi = np.minimum(bins[page] - 1, np.floor((z - x_min[page]) / bw[page])).astype(np.int64)
+    width = int(bins.max()) + 2
+    owner, x, change = np.concatenate((page, page)), np.concatenate((lo, hi + 1)), np.repeat([1, -1], len(page))
+    inside = (x < bins[owner]) & (x >= 0)
+    places, which = np.unique(owner[inside] * width + x[inside], return_inverse=True)
+    upto = np.bincount(which, weights=change[inside], minlength=len(places)).astype(np.int64).cumsum()
+    of, start = places // width, places % width
+    new = _starts(of)
+    before = np.maximum.accumulate(np.where(new, np.arange(len(of)), 0))
+    count = upto - np.where(before > 0, upto[before - 1], 0)
+    last = np.append(new[1:], True)
+    return of, start, np.where(last, bins[of], np.append(start[1:], 0)) - 1, count
 
 
-def _strips(steps: list[tuple[int, int, int]], free: int, pad: float, h: float, x_min: float, bw: float, bins: int) -> list[float]:
-    """Middles of free strips wide enough to part columns, not at the table's edge."""
-    out, first = [], None
-    for lo, hi, count in [*steps, (bins, bins, free + 1)]:
-        if count <= free:
-            first = lo if first is None else first
-        elif first is not None:
-            left, right = x_min + first * bw, x_min + lo * bw
-            if first > 0 and lo < bins and (right - left) + pad * 2 >= h * SEPARATOR:
-                out.append((left + right) / 2)
-            first = None
-    return out
+def _strips(of: np.ndarray, start: np.ndarray, count: np.ndarray, free: np.ndarray, pad: np.ndarray, h: np.ndarray, x_min: np.ndarray, bw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(page, middle) of free strips wide enough to part columns, not at the table's edge."""
+    new, empty = _starts(of), count <= free[of]
+    begins = empty & (new | ~np.append(False, empty[:-1]))
+    first = start[np.maximum.accumulate(np.where(begins, np.arange(len(of)), 0))]
+    closes = np.flatnonzero(~empty & ~new & np.append(False, empty[:-1]))
+    page, first, lo = of[closes], first[closes], start[closes]
+    left, right = x_min[page] + first * bw[page], x_min[page] + lo * bw[page]
+    wide = (first > 0) & ((right - left) + pad[page] * 2 >= h[page] * SEPARATOR)
+    return page[wide], ((left + right) / 2)[wide]
 
 
-LAYOUT = "struct<step:int,slope:double,rows:array<int>,n_rows:int,bw:double,bins:int,free:int,pad:double,steps:array<struct<from:int,to:int,count:int>>,strips:array<double>>"
+def _listed(sizes: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, sizes.cumsum()), pa.int32()), values)
+
+
+def _struct(**fields: pa.Array) -> pa.Array:
+    return pa.StructArray.from_arrays(list(fields.values()), list(fields))
+
+
+def _spread(values, at: np.ndarray, n: int, kind: pa.DataType, known: np.ndarray | None = None) -> pa.Array:
+    """n values, null but at the places given (of these, but for unknown ones)."""
+    out, none = np.zeros(n, kind.to_pandas_dtype()), np.ones(n, bool)
+    out[at] = values
+    none[at] = False if known is None else ~known
+    return pa.array(out, kind, mask=none)
+
+
+def _flat(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False)
+
+
+LAYOUT = "struct<n:bigint,h:double,x_min:double,x_max:double,mean_conf:double,step:int,slope:double,rows:array<int>,n_rows:int,bw:double,bins:int,free:int,pad:double,steps:array<struct<from:int,to:int,count:int>>,strips:array<double>>"
 
 
 def _layout(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-    kind = pa.struct(
-        [("step", pa.int32()), ("slope", pa.float64()), ("rows", pa.list_(pa.int32())), ("n_rows", pa.int32()), ("bw", pa.float64()), ("bins", pa.int32()), ("free", pa.int32()), ("pad", pa.float64()),
-         ("steps", pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32()), ("count", pa.int32())]))), ("strips", pa.list_(pa.float64()))]
-    )
-    for words, heights, lefts, rights in batches:
-        ends, flat = words.offsets.to_pylist(), words.values
-        number, box = flat.field("word_no").to_pylist(), {c: flat.field(c).to_numpy(zero_copy_only=False) for c in "ltrb"}
-        out = []
-        for k, (h, x_min, x_max) in enumerate(zip(heights.to_pylist(), lefts.to_pylist(), rights.to_pylist(), strict=True)):
-            at = slice(ends[k], ends[k + 1])
-            l, t, r, b = (box[c][at] for c in "ltrb")
-            if h is None or h <= 0 or len(l) < MIN_ROWS * MIN_COLUMNS:
-                out.append(None)
-                continue
-            x, y = (l + r) / 2, (t + b) / 2
-            step = _tilt(x, y, h)
-            slope = None if step is None else MAX_SLOPE * step / SLOPE_STEPS
-            keys, left, right, no = (y - (slope or 0.0) * x).tolist(), l.tolist(), r.tolist(), number[at]
-            rows = _rows(keys, sorted(range(len(keys)), key=lambda i: (keys[i], left[i], no[i])), h * ROW_TOLERANCE)
-            n_rows, pad = max(rows) + 1, h * PAD
-            bw = max(h * BIN, (x_max - x_min) / 4000, 0.001)
-            bins, free = max(1, math.floor((x_max - x_min) / bw) + 1), math.floor(n_rows * FREE_SHARE)
-            steps = _coverage(rows, left, right, pad, x_min, bw, bins)
-            named = [dict(zip(("from", "to", "count"), s, strict=True)) for s in steps]
-            out.append({"step": step, "slope": slope, "rows": rows, "n_rows": n_rows, "bw": bw, "bins": bins, "free": free, "pad": pad, "steps": named, "strips": _strips(steps, free, pad, h, x_min, bw, bins)})
-        yield pa.array(out, kind)
+    for number, lefts, tops, rights, bottoms, confs in batches:
+        n = np.diff(lefts.offsets.to_numpy())
+        many, some = len(n), np.flatnonzero(n)
+        no, l, t, r, b = map(_flat, (number, lefts, tops, rights, bottoms))
+        first = np.append(0, n.cumsum())[:-1]
+        heights = np.abs(b - t)
+        heights = heights[np.lexsort((heights, np.repeat(np.arange(many), n)))]
+        h, x_min, x_max, mean = (np.zeros(many) for _ in range(4))
+        h[some] = heights[first[some] + (n[some] - 1) // 2] * 0.5 + heights[first[some] + n[some] // 2] * 0.5
+        known = np.zeros(many, int)
+        if len(some):
+            conf = confs.flatten()
+            x_min[some], x_max[some] = np.minimum.reduceat(l, first[some]), np.maximum.reduceat(r, first[some])
+            known[some] = np.add.reduceat(conf.is_valid().to_numpy(zero_copy_only=False).astype(int), first[some])
+            mean[some] = np.add.reduceat(conf.fill_null(0.0).to_numpy(), first[some]) / np.maximum(known[some], 1)
+        # from here on pages with enough words
+        use = np.flatnonzero((n >= MIN_ROWS * MIN_COLUMNS) & (h > 0))
+        mine = np.repeat(np.isin(np.arange(many), use), n)
+        no, l, t, r, b = (x[mine] for x in (no, l, t, r, b))
+        size, hh, lo = n[use], h[use], x_min[use]
+        first, page = np.append(0, size.cumsum())[:-1], np.repeat(np.arange(len(use)), size)
+        x, y = (l + r) / 2, (t + b) / 2
+        step = _tilts(x, y, first, size, hh)
+        tilted = size >= MIN_SLOPE_WORDS
+        slope = np.where(tilted, MAX_SLOPE * step / SLOPE_STEPS, 0.0)
+        keys = y - slope[page] * x
+        order = np.lexsort((no, l, keys, page))
+        rows = np.zeros(len(keys), np.int32)
+        rows[order] = ranked = _rows(keys[order], first, size, hh * ROW_TOLERANCE)
+        n_rows, pad = ranked[first + size - 1] + 1, hh * PAD
+        bw = np.maximum(np.maximum(hh * BIN, (x_max[use] - lo) / 4000), 0.001)
+        bins, free = np.maximum(1, np.floor((x_max[use] - lo) / bw) + 1).astype(np.int64), np.floor(n_rows * FREE_SHARE).astype(int)
+        if len(use):
+            of, start, end, count = _coverage(page, rows, l - pad[page], r + pad[page], lo, bw, bins)
+            owner, strips = _strips(of, start, count, free, pad, hh, lo, bw)
+        else:
+            of = start = end = count = owner = np.zeros(0, int)
+            strips = np.zeros(0)
+        deal = lambda pages: np.bincount(use[pages], minlength=many)
+        steps = _struct(**{"from": pa.array(start, pa.int32()), "to": pa.array(end, pa.int32()), "count": pa.array(count, pa.int32())})
+        whole, real = (lambda v, known=None: _spread(v, use, many, pa.int32(), known)), (lambda v, known=None: _spread(v, use, many, pa.float64(), known))
+        stat = lambda v, known=None: _spread(v[some], some, many, pa.float64(), known)
+        yield _struct(
+            n=pa.array(n, pa.int64()), h=stat(h), x_min=stat(x_min), x_max=stat(x_max), mean_conf=stat(mean, known[some] > 0), step=whole(step, tilted), slope=real(slope, tilted),
+            rows=_listed(deal(page), pa.array(rows, pa.int32())), n_rows=whole(n_rows), bw=real(bw), bins=whole(bins), free=whole(free), pad=real(pad), steps=_listed(deal(of), steps), strips=_listed(deal(owner), pa.array(strips)),
+        )
 
 
 def laid_out(words: DataFrame) -> DataFrame:
-    """One row per page, those without a usable word too: the statistics of page_stats(), words (the usable ones as an array) and, if
+    """One row per page, those without a usable word too: words (the usable ones as an array), the statistics of page_stats() and, if
     they suffice for a table, step and slope (the tilt whose horizontal buckets are fullest; of equals the most negative; null for few words),
-    rows (of each word, from 0), n_rows, the bins of coverage (bw, bins, free, pad), its steps, and strips, the middles of free strips."""
+    rows (of each word, from 0), n_rows (null where they do not suffice), the bins of coverage (bw, bins, free, pad), its steps, and strips, the middles of free strips."""
     use = (trim(F.col("text")) != "") & (F.col("r") != F.col("l")) & (F.col("b") != F.col("t"))
-    own = lambda c: F.when(use, c)
-    pages = shipped(words).groupBy("page").agg(
-        F.count_if(use).alias("n"), F.median(own(F.abs(F.col("b") - F.col("t")))).alias("h"), F.min(own(F.col("l"))).alias("x_min"), F.max(own(F.col("r"))).alias("x_max"),
-        F.avg(own(F.col("conf"))).alias("mean_conf"), F.collect_list(own(F.struct("word_no", "text", "l", "t", "r", "b", "conf"))).alias("words"),
-    )
-    return pages.withColumn("_", arrow_udf(_layout, LAYOUT)("words", "h", "x_min", "x_max")).select(*pages.columns, "_.*")
+    pages = shipped(words).groupBy("page").agg(F.collect_list(F.when(use, F.struct("word_no", "text", "l", "t", "r", "b", "conf"))).alias("words"))
+    # not deterministic by name only: a filter on what it gives must not compute it again
+    found = arrow_udf(_layout, LAYOUT).asNondeterministic()(*[F.col("words")[c] for c in ("word_no", "l", "t", "r", "b", "conf")])
+    return pages.withColumn("_", found).select(*pages.columns, "_.*")
 
 
-def ruled(pages: DataFrame, grid: DataFrame) -> DataFrame:
-    """(page, lines, n_vertical, n_horizontal): of laid-out pages the vertical ruling lines that fall on free bins inside the
-    extent, in order; pages with fewer than two vertical lines have none. grid: page, vertical, horizontal (arrays)."""
-    met = pages.join(grid.select("page", "vertical", "horizontal"), "page")
+def _accepted(x: Column) -> Column:
+    """Whether a vertical line falls on a free bin inside the extent of its page."""
+    at = F.floor((x - F.col("x_min")) / F.col("bw"))
+    return (x > F.col("x_min")) & (x < F.col("x_max")) & F.exists("steps", lambda s: (at >= s["from"]) & (at <= s["to"]) & (s["count"] <= F.col("free")))
 
-    def accepted(x: Column) -> Column:
-        at = F.floor((x - F.col("x_min")) / F.col("bw"))
-        return (x > F.col("x_min")) & (x < F.col("x_max")) & F.exists("steps", lambda s: (at >= s["from"]) & (at <= s["to"]) & (s["count"] <= F.col("free")))
 
-    lines = F.when(F.size("vertical") >= 2, F.array_sort(F.filter("vertical", accepted)))
-    return met.select("page", lines.alias("lines"), F.size("vertical").alias("n_vertical"), F.size("horizontal").alias("n_horizontal"))
+def ruled(pages: DataFrame, grid: DataFrame, how: str = "inner") -> DataFrame:
+    """Adds to laid-out pages (lines, n_vertical, n_horizontal): the vertical ruling lines that fall on free bins inside the
+    extent, in order; pages with fewer than two vertical lines have none. grid: page, vertical, horizontal (arrays), one row a page."""
+    met = pages.join(grid.select("page", "vertical", "horizontal"), "page", how)
+    lines = F.when(F.col("n_rows").isNotNull() & (F.size("vertical") >= 2), F.array_sort(F.filter("vertical", _accepted)))
+    return met.select(*pages.columns, lines.alias("lines"), F.size("vertical").alias("n_vertical"), F.size("horizontal").alias("n_horizontal"))
 
 
 def columns(pages: DataFrame, grid: DataFrame | None = None) -> DataFrame:
-    """Laid-out pages with their column edges, from accepted ruling lines if any, else from free strips, and the
+    """Pages with their column edges (n_cols is null where there is no layout), from accepted ruling lines if any, else from free strips, and the
     share of ruling evidence (null without)."""
-    out = pages.where("rows is not null")
+    out = pages
     if grid is None:
         out = out.withColumn("line_score", F.lit(None).cast("double"))
         inner = F.col("strips")
     else:
-        out = out.join(ruled(out, grid), "page", "left")
+        out = ruled(out, grid, "left")
         clamp = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
         fit = F.when(F.col("n_vertical") > 0, clamp(F.size("lines") / F.col("n_vertical"))).otherwise(0.0)
         rows = F.when(F.col("n_horizontal") > 0, clamp(F.col("n_horizontal") / (F.col("n_rows") + 1))).otherwise(0.0)
         out = out.withColumn("line_score", F.when(F.size("lines") >= 1, fit * 0.6 + rows * 0.4))
         inner = F.coalesce(F.when(F.size("lines") >= MIN_COLUMNS - 1, F.col("lines")), F.col("strips"))
-    return out.withColumn("edges", F.concat(F.array(F.col("x_min") - 1), inner, F.array(F.col("x_max") + 1))).withColumn("n_cols", F.size("edges") - 1)
-
-
-def allowed(cols: DataFrame) -> DataFrame:
-    """Pages with an allowed number of columns."""
-    return cols.where((F.col("n_cols") >= MIN_COLUMNS) & (F.col("n_cols") <= MAX_COLUMNS))
-
-
-def cells(cols: DataFrame) -> DataFrame:
-    """Filled cells (page, row, col, text, l, t, r, b). Words with narrow gaps form a segment; a
-    segment goes to the column it overlaps most, the first of equals. Dealt out by page and row once."""
-    met = allowed(cols).select("page", "edges", "h", F.inline(F.arrays_zip(F.col("rows").alias("row"), F.col("words").alias("word")))).select("page", "edges", "h", "row", "word.*")
-    order = W.partitionBy("page", "row").orderBy("l", "word_no")
-    new = F.when(F.col("l") - F.lag("r").over(order) < F.col("h") * SEPARATOR, 0).otherwise(1)
-    parts = met.withColumn("new", new).withColumn("segment", F.sum("new").over(order))
-    joined = lambda items: trim(F.array_join(F.transform(F.array_sort(items), lambda x: x["text"]), " "))
-    segments = parts.groupBy("page", "row", "segment").agg(
-        joined(F.collect_list(F.struct("l", "word_no", trim(F.col("text")).alias("text")))).alias("text"), F.min("l").alias("l"), F.max("r").alias("r"), F.min("t").alias("t"), F.max("b").alias("b"), F.first("edges").alias("edges")
-    )
-    overlap = F.transform(F.slice("edges", 2, F.size("edges") - 1), lambda end, i: F.least(F.col("r"), end) - F.greatest(F.col("l"), F.get(F.col("edges"), i)))
-    placed = segments.withColumn("_o", overlap).withColumn("col", (F.array_position("_o", F.array_max("_o")) - 1).cast("int"))
-    return placed.groupBy("page", "row", "col").agg(joined(F.collect_list(F.struct("l", "segment", "text"))).alias("text"), F.min("l").alias("l"), F.min("t").alias("t"), F.max("r").alias("r"), F.max("b").alias("b"))
-
-
-def has_digit(s: Column) -> Column:
-    return s.rlike("[0-9]")
-
-
-def scores(found: DataFrame, cols: DataFrame) -> DataFrame:
-    """Per page with an allowed number of columns: confidence and the header rule."""
-    shape = allowed(cols).select("page", "h", "n_rows", "n_cols", "line_score", "mean_conf")
-    by_row = found.groupBy("page", "row").agg(F.count("*").alias("k"), F.bool_or(has_digit(F.col("text"))).alias("digit"), F.collect_list(F.struct("col", "l")).alias("lefts"))
-    rows = by_row.groupBy("page").agg(
-        F.sum("k").alias("filled"), F.count(F.when(F.col("k") >= MIN_COLUMNS, 1)).alias("consistent"), F.max(F.when(F.col("row") == 0, F.col("k"))).alias("first_filled"),
-        F.bool_or(F.when(F.col("row") == 0, F.col("digit"))).alias("first_digit"), F.coalesce(F.bool_or(F.when(F.col("row") > 0, F.col("digit"))), F.lit(False)).alias("body_digit"),
-        F.flatten(F.collect_list("lefts")).alias("lefts"),
-    )
-    met = shape.join(rows, "page")
-    # of each column the left edges of its cells, at most one in a row
-    of_column = F.transform(F.sequence(F.lit(0), F.col("n_cols") - 1), lambda c: F.transform(F.filter("lefts", lambda x: x["col"] == c), lambda x: x["l"]))
-    fit = F.transform(F.filter(F.col("columns"), lambda x: F.size(x) >= 2), lambda x: F.greatest(F.lit(0.0), 1.0 - (F.array_max(x) - F.array_min(x)) / F.col("h") / 3.0))
-    need = F.greatest(F.lit(2), F.ceil(F.col("n_rows") * F.lit(0.6)))
-    met = met.withColumn("columns", of_column).withColumn("fit", fit).withColumn("used", F.size(F.filter("columns", lambda x: F.size(x) >= need)))
-    alignment = F.when(F.size("fit") > 0, F.aggregate("fit", F.lit(0.0), lambda total, x: total + x) / F.size("fit")).otherwise(0.0)
+    return out.withColumn("edges", F.concat(F.array(F.col("x_min") - 1), inner, F.array(F.col("x_max") + 1))).withColumn("n_cols", F.when(F.col("n_rows").isNotNull(), F.size("edges") - 1))
+
+
+_CELL = "struct<row:int,col:int,text:string,l:double,t:double,r:double,b:double>"
+_COUNTS = "filled:bigint,consistent:bigint,first_filled:bigint,first_digit:boolean,body_digit:boolean,alignment:double,used:bigint"
+
+
+def _columns_of(page: np.ndarray, l: np.ndarray, r: np.ndarray, edges: np.ndarray, first: np.ndarray, n_cols: np.ndarray) -> np.ndarray:
+    """The column that a segment overlaps most, the first of equals."""
+    best, col = np.full(len(page), -np.inf), np.zeros(len(page), int)
+    for c in range(int(n_cols.max())):
+        at = np.flatnonzero(c < n_cols[page])
+        edge = first[page[at]] + c
+        more = np.minimum(r[at], edges[edge + 1]) - np.maximum(l[at], edges[edge])
+        win = more > best[at]
+        best[at[win]], col[at[win]] = more[win], c
+    return col
+
+
+def _cells(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    """Of pages with an allowed number of columns (null edges: none) all cells, row by row, texts of empty ones null, and what
+    scores count. Words with narrow gaps form a segment; a segment goes to the column it overlaps most."""
+    for number, texts, lefts, tops, rights, bottoms, rowed, edged, heights, depths in batches:
+        valid, n = edged.is_valid().to_numpy(zero_copy_only=False), np.diff(lefts.offsets.to_numpy())
+        many, use = len(n), np.flatnonzero(valid)
+        if not len(use):
+            yield pa.nulls(many, pa.struct([("cells", pa.list_(_cell_type())), *_count_types()]))
+            continue
+        mine = np.flatnonzero(np.repeat(valid, n))
+        no, l, t, r, b = (_flat(x)[mine] for x in (number, lefts, tops, rights, bottoms))
+        row = _flat(rowed.filter(edged.is_valid()))
+        h, depth = heights.to_numpy(zero_copy_only=False)[use], depths.to_numpy(zero_copy_only=False)[use].astype(int)
+        page = np.repeat(np.arange(len(use)), n[use])
+        kept = edged.drop_null()
+        edges, n_cols = _flat(kept), np.diff(kept.offsets.to_numpy()) - 1
+        order = np.lexsort((no, l, row, page))
+        page, row, l, t, r, b = (x[order] for x in (page, row, l, t, r, b))
+        new = _starts(page, row)
+        new[1:] |= ~(l[1:] - r[:-1] < h[page[1:]] * SEPARATOR)
+        at = np.flatnonzero(new)
+        sizes = np.diff(np.append(at, len(page)))
+        page, row, l, t, r, b = page[at], row[at], np.minimum.reduceat(l, at), np.minimum.reduceat(t, at), np.maximum.reduceat(r, at), np.maximum.reduceat(b, at)
+        col = _columns_of(page, l, r, edges, np.append(0, (n_cols + 1).cumsum())[:-1], n_cols)
+        seg = np.lexsort((np.arange(len(page)), l, col, row, page))
+        page, row, col, l, t, r, b = (x[seg] for x in (page, row, col, l, t, r, b))
+        # words in the order of their segments, then one text for each cell
+        ends = sizes[seg].cumsum()
+        word = np.arange(len(order)) + np.repeat(at[seg] - (ends - sizes[seg]), sizes[seg])
+        cell = np.flatnonzero(_starts(page, row, col))
+        held = np.append(np.append(0, ends)[cell], len(order))
+        trimmed = pc.utf8_trim(texts.flatten().take(pa.array(mine[order[word]])), characters=TRIM_CHARS)
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array(held, pa.int32()), trimmed), " ")
+        page, row, col, l, t, r, b = page[cell], row[cell], col[cell], np.minimum.reduceat(l, cell), np.minimum.reduceat(t, cell), np.maximum.reduceat(r, cell), np.maximum.reduceat(b, cell)
+        area = depth * n_cols
+        place = np.append(0, area.cumsum())[:-1][page] + row * n_cols[page] + col
+        total, owner = int(area.sum()), np.repeat(np.arange(len(use)), area)
+        k = np.arange(total) - np.append(0, area.cumsum())[:-1][owner]
+        at_cell = np.full(total, -1)
+        at_cell[place] = np.arange(len(place))
+        box = lambda v: pa.array(np.where(at_cell < 0, 0.0, v[at_cell]))
+        full = _struct(row=pa.array(k // n_cols[owner], pa.int32()), col=pa.array(k % n_cols[owner], pa.int32()), text=text.take(pa.array(at_cell, mask=at_cell < 0)), l=box(l), t=box(t), r=box(r), b=box(b))
+        sized = np.zeros(many, int)
+        sized[use] = area
+        yield _struct(cells=_listed(sized, full), **_counts(use, many, page, row, col, l, pc.match_substring_regex(text, "[0-9]").to_numpy(zero_copy_only=False), h, depth))
+
+
+def _counts(use: np.ndarray, many: int, page: np.ndarray, row: np.ndarray, col: np.ndarray, l: np.ndarray, digit: np.ndarray, h: np.ndarray, depth: np.ndarray) -> dict[str, pa.Array]:
+    """What scores count of filled cells, which come by page, row and column."""
+    pages = len(use)
+    at = np.flatnonzero(_starts(page, row))
+    of, k, digits, top = page[at], np.diff(np.append(at, len(page))), np.logical_or.reduceat(digit, at), row[at] == 0
+    first, first_digit, begun = np.zeros(pages, int), np.zeros(pages, bool), np.zeros(pages, bool)
+    first[of[top]], first_digit[of[top]], begun[of[top]] = k[top], digits[top], True
+    # left edges by column, at most one in a row
+    order = np.lexsort((col, page))
+    at = np.flatnonzero(_starts(page[order], col[order]))
+    owner, size = page[order][at], np.diff(np.append(at, len(page)))
+    fit = np.maximum(0.0, 1.0 - (np.maximum.reduceat(l[order], at) - np.minimum.reduceat(l[order], at)) / h[owner] / 3.0)
+    paired = np.bincount(owner[size >= 2], minlength=pages)
+    alignment = np.bincount(owner[size >= 2], weights=fit[size >= 2], minlength=pages) / np.maximum(paired, 1)
+    used = np.bincount(owner[size >= np.maximum(2, np.ceil(depth * 0.6))[owner]], minlength=pages)
+    count = lambda v, known=None: _spread(v, use, many, pa.int64(), known)
+    flag = lambda v, known=None: _spread(v, use, many, pa.bool_(), known)
+    return {
+        "filled": count(np.bincount(page, minlength=pages)), "consistent": count(np.bincount(of[k >= MIN_COLUMNS], minlength=pages)), "first_filled": count(first, begun),
+        "first_digit": flag(first_digit, begun), "body_digit": flag(np.bincount(of[~top & digits], minlength=pages) > 0), "alignment": _spread(alignment, use, many, pa.float64()), "used": count(used),
+    }
+
+
+def _cell_type() -> pa.DataType:
+    return pa.struct([("row", pa.int32()), ("col", pa.int32()), ("text", pa.string()), *[(c, pa.float64()) for c in "ltrb"]])
+
+
+def _count_types() -> list[tuple[str, pa.DataType]]:
+    return [*[(c, pa.int64()) for c in ("filled", "consistent", "first_filled")], ("first_digit", pa.bool_()), ("body_digit", pa.bool_()), ("alignment", pa.float64()), ("used", pa.int64())]
+
+
+def _scored(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    """What scores count, without the cells."""
+    for found in _cells(batches):
+        kinds = _count_types()
+        yield _struct(**{c: pc.struct_field(found, c).cast(kind) for c, kind in kinds})
+
+
+def celled(cols: DataFrame, keep: bool = True) -> DataFrame:
+    """Adds to pages what scores count of their cells, and on demand the cells of the whole grid (row, col, text, l, t, r, b; text null where
+    empty); null where the number of columns is not allowed."""
+    inside = (F.col("n_cols") >= MIN_COLUMNS) & (F.col("n_cols") <= MAX_COLUMNS)
+    kind = f"struct<cells:array<{_CELL}>,{_COUNTS}>" if keep else f"struct<{_COUNTS}>"
+    of = arrow_udf(_cells if keep else _scored, kind).asNondeterministic()
+    found = of(*[F.col("words")[c] for c in ("word_no", "text", "l", "t", "r", "b")], "rows", F.when(inside, F.col("edges")), "h", "n_rows")
+    return cols.withColumn("_", found).select(*[c for c in cols.columns if c not in ("words", "rows", "steps")], "_.*")
+
+
+def scored(found: DataFrame) -> DataFrame:
+    """Adds confidence and the header rule to pages with their counts."""
     n, m = F.col("n_rows"), F.col("n_cols")
     score = (
-        F.col("filled") / (n * m) * WEIGHTS["fill"] + F.col("consistent") / n * WEIGHTS["consistency"] + alignment * WEIGHTS["alignment"]
+        F.col("filled") / (n * m) * WEIGHTS["fill"] + F.col("consistent") / n * WEIGHTS["consistency"] + F.col("alignment") * WEIGHTS["alignment"]
         + F.col("used") / m * WEIGHTS["columns"] + F.least(F.lit(1.0), (n - 1) / F.lit(3.0)) * WEIGHTS["depth"]
     )
     score = F.when(F.col("line_score").isNotNull(), score + (1 - score) * F.col("line_score") * 0.5).otherwise(score)
     trust = F.least(F.greatest(F.col("mean_conf"), F.lit(0.0)), F.lit(1.0))
     score = score * F.when(F.col("mean_conf").isNull(), 1.0).otherwise(0.85 + trust * 0.15)
+    bounded = F.when(F.col("filled").isNotNull(), F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)))
     header = (n >= 2) & (F.col("first_filled") == m) & ~F.col("first_digit") & F.col("body_digit")
-    return met.select("page", F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)).alias("confidence"), header.alias("header"))
+    return found.withColumns({"confidence": bounded, "header": header})
 
 
 class Analysis:
@@ -247,12 +415,12 @@ class Analysis:
 
     @cached_property
     def pages(self) -> DataFrame:
-        return settled(laid_out(self.words))
+        return laid_out(self.words)
 
-    @cached_property
+    @property
     def laid(self) -> DataFrame:
         """Pages with enough words for a table."""
-        return self.pages.where("rows is not null")
+        return self.pages.where("n_rows is not null")
 
     @property
     def slopes(self) -> DataFrame:
@@ -270,35 +438,33 @@ class Analysis:
     def separators(self) -> DataFrame:
         return self.laid.select("page", F.explode("strips").alias("x"))
 
-    @cached_property
-    def columns(self) -> DataFrame:
-        return columns(self.pages, self.grid)
-
-    @cached_property
-    def cells(self) -> DataFrame:
-        return settled(cells(self.columns))
-
     @property
-    def scores(self) -> DataFrame:
-        return scores(self.cells, self.columns)
+    def cells(self) -> DataFrame:
+        """Filled cells (page, row, col, text, l, t, r, b)."""
+        return self._decided(True).select("page", F.inline("cells")).where("text is not null")
 
-    def decisions(self) -> DataFrame:
-        """Per page: rows, columns, confidence, why there is no table (null if there is), near miss and header."""
-        met = self.pages.select("page", "n", "h").join(self.columns.select("page", "n_rows", "n_cols"), "page", "left").join(self.scores, "page", "left")
+    def _decided(self, keep: bool) -> DataFrame:
+        """Pages with n_rows, n_cols, confidence, header and the reason why there is no table (null if there is)."""
+        met = scored(celled(columns(self.pages, self.grid), keep))
         few = F.coalesce(F.col("n"), F.lit(0)) < MIN_ROWS * MIN_COLUMNS
         reason = (
             F.when(few | F.coalesce(F.col("h") <= 0, F.lit(False)), "tooFewWords").when(F.col("n_rows") < MIN_ROWS, "tooFewRows").when(F.col("n_cols") < MIN_COLUMNS, "tooFewColumns")
             .when(F.col("n_cols") > MAX_COLUMNS, "tooManyColumns").when(F.col("confidence") < MIN_CONFIDENCE, "lowConfidence")
         )
-        low = reason == "lowConfidence"
-        return met.select("page", "n_rows", "n_cols", F.when(~few & (F.col("n_rows") >= MIN_ROWS), F.col("confidence")).alias("confidence"), reason.alias("reason"), F.coalesce(low & (F.col("confidence") >= NEAR_MISS), F.lit(False)).alias("near_miss"), F.when(reason.isNull(), F.col("header")).alias("has_header"))
+        return met.withColumns({"few": few, "reason": reason})
+
+    def decisions(self) -> DataFrame:
+        """Per page: rows, columns, confidence, why there is no table (null if there is), near miss and header."""
+        low = F.col("reason") == "lowConfidence"
+        return self._decided(False).select(
+            "page", "n_rows", "n_cols", F.when(~F.col("few") & (F.col("n_rows") >= MIN_ROWS), F.col("confidence")).alias("confidence"), "reason",
+            F.coalesce(low & (F.col("confidence") >= NEAR_MISS), F.lit(False)).alias("near_miss"), F.when(F.col("reason").isNull(), F.col("header")).alias("has_header"),
+        )
 
     def table_cells(self) -> DataFrame:
         """Every cell of every accepted table, empty ones with '' and zero boxes."""
-        shape = self.decisions().where("reason is null").select("page", "n_rows", "n_cols", "has_header")
-        grid = shape.select("page", "n_cols", "has_header", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)).alias("row")).select("page", "has_header", "row", F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1)).alias("col"))
-        full = grid.join(self.cells, ["page", "row", "col"], "left")
-        return full.select("page", "row", "col", "has_header", F.coalesce("text", F.lit("")).alias("text"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in "ltrb"])
+        full = self._decided(True).where("reason is null").select("page", F.col("header").alias("has_header"), F.inline("cells"))
+        return full.select("page", "row", "col", "has_header", F.coalesce("text", F.lit("")).alias("text"), *"ltrb")
 
 
 def aligned_text(table_cells: DataFrame) -> DataFrame:

@@ -22,6 +22,8 @@ from .shipping import shipped
 MARGIN, FOOTER, HEADER, MAX_PAGES = 56.692913385827, 17.0, 28, 500
 ROOM = int(A4_H - 2 * MARGIN - FOOTER)
 CHUNK = 1024
+#: Tables that a Python worker holds at once.
+TABLES = 256
 
 
 def page_starts(heights: np.ndarray, used: np.ndarray, room: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -46,7 +48,7 @@ def chunk_table(heights: np.ndarray, room: int = ROOM) -> np.ndarray:
         last[which] = at
         pages[which] += 1
     upto = np.append(0, heights.cumsum())
-    return np.append(np.where(last < 0, used + upto[-1], upto[-1] - upto[np.maximum(last, 0)]), pages)
+    return np.append(np.where(last < 0, used + upto[-1], upto[-1] - upto[np.maximum(last, 0)]), pages).astype(np.int32)
 
 
 def chunk_pages(heights: np.ndarray, used: int, page: int, room: int = ROOM) -> np.ndarray:
@@ -57,15 +59,16 @@ def chunk_pages(heights: np.ndarray, used: int, page: int, room: int = ROOM) ->
     return page + begun.cumsum()
 
 
-def followed(tables: list[np.ndarray], used: int) -> list[tuple[int, int]]:
-    """(used height, page) behind each table's lines, from page 1 on."""
-    out, page = [], 1
-    for t in tables:
-        half = len(t) // 2
-        page += int(t[half + used])
-        used = int(t[used])
-        out.append((used, page))
-    return out
+def followed(tables: Column, start: Column) -> Column:
+    """(used height, page) behind each of a document's tables, from page 1 on. Tables stay in the JVM: of each, two numbers are looked up."""
+    half = (F.size(F.get(tables, F.lit(0))) / 2).cast("int")
+    first = F.struct(start.cast("int").alias("used"), F.lit(1).alias("page"), F.array().cast("array<array<int>>").alias("ends"))
+
+    def step(so_far: Column, table: Column) -> Column:
+        used, page = F.get(table, so_far["used"]), so_far["page"] + F.get(table, half + so_far["used"])
+        return F.struct(used.alias("used"), page.alias("page"), F.array_append(so_far["ends"], F.array(used, page)).alias("ends"))
+
+    return F.aggregate(tables, first, step, lambda so_far: so_far["ends"])
 
 
 def paginate(plan: DataFrame, key: str, title: Column | None = None, room: int = ROOM, chunk: int = CHUNK) -> DataFrame:
@@ -83,12 +86,10 @@ def paginate(plan: DataFrame, key: str, title: Column | None = None, room: int =
     chunks = once.groupBy(F.col(key).alias("_key"), F.floor(at / chunk).alias("_chunk")).agg(held.alias("heights"), start.alias("start"))
 
     @F.pandas_udf("array<int>")
-    def table(heights: pd.Series) -> pd.Series:
-        return pd.Series([chunk_table(np.asarray(h), room) for h in heights])
-
-    @F.pandas_udf("array<array<int>>")
-    def walk(tables: pd.Series, first: pd.Series) -> pd.Series:
-        return pd.Series([followed(list(t), int(u)) for t, u in zip(tables, first, strict=True)])
+    def table(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for heights in batches:
+            for k in range(0, len(heights), TABLES):
+                yield pd.Series([chunk_table(np.asarray(h), room) for h in heights[k : k + TABLES]])
 
     @F.pandas_udf("array<int>")
     def numbers(heights: pd.Series, used: pd.Series, page: pd.Series) -> pd.Series:
@@ -97,7 +98,7 @@ def paginate(plan: DataFrame, key: str, title: Column | None = None, room: int =
     # only chunks that another one may follow need a table, so short documents take no part here
     full = chunks.where(F.size("heights") == chunk).select("_key", "_chunk", "start", table("heights").alias("table"))
     chains = full.groupBy("_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("_chunk", "table"))), lambda x: x["table"]).alias("tables"), F.max("start").alias("start"))
-    ends = chains.select(F.col("_key").alias("_k"), F.posexplode(walk("tables", "start")).alias("n", "end")).select("_k", (F.col("n") + 1).cast("bigint").alias("_c"), F.get("end", F.lit(0)).alias("used"), F.get("end", F.lit(1)).alias("page"))
+    ends = chains.select(F.col("_key").alias("_k"), F.posexplode(followed(F.col("tables"), F.col("start"))).alias("n", "end")).select("_k", (F.col("n") + 1).cast("bigint").alias("_c"), F.get("end", F.lit(0)).alias("used"), F.get("end", F.lit(1)).alias("page"))
     begun = chunks.join(ends, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_chunk") == F.col("_c")), "left")
     numbered = begun.select("_key", "_chunk", F.posexplode(numbers("heights", F.coalesce("used", "start"), F.coalesce("page", F.lit(1)))).alias("n", "page"))
     pages = numbered.select("_key", (F.col("_chunk") * chunk + F.col("n")).alias("_line"), "page")

@@ -31,8 +31,10 @@ _BOXES = f"{_WORDS}, wd as (select page, rn * 100 + col as word_no, txt as text,
 def words(spark, sf_dir):
     """Words of pages: page, word_no, text, l, t, r, b, conf."""
     c = F.col
-    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
-    li = table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("page"), F.row_number().over(order).alias("rn"), c("l_partkey").alias("pk"), F.concat("l_returnflag", "l_linestatus").alias("fl"), c("l_quantity").cast("bigint").alias("q"), F.floor("l_extendedprice").alias("pr"))
+    # dealt out as pages, so that what is gathered by page needs no second shuffle
+    lines = table(spark, sf_dir, "lineitem").withColumn("page", c("l_orderkey"))
+    order = W.partitionBy("page").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
+    li = lines.select("page", F.row_number().over(order).alias("rn"), c("l_partkey").alias("pk"), F.concat("l_returnflag", "l_linestatus").alias("fl"), c("l_quantity").cast("bigint").alias("q"), F.floor("l_extendedprice").alias("pr"))
     # words of a line in one generator: expressions copied into each other, or all in one method, make code too long to be compiled
     cols = F.when(c("page") % 40 == 7, F.sequence(F.lit(0), F.lit(15))).otherwise(F.sequence(F.lit(0), F.lit(3)))
     cells = lambda rn, pk, *texts: F.transform(cols, lambda k: F.struct(rn.alias("rn"), k.alias("col"), F.when(k % 4 == 0, texts[0]).when(k % 4 == 1, texts[1]).when(k % 4 == 2, texts[2]).otherwise(texts[3]).alias("txt"), pk.alias("pk")))

@@ -14,14 +14,22 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the small tables")
 
 
-def test_words_are_made_by_methods_that_the_jvm_compiles(spark):
+@pytest.fixture
+def fixed_plans(spark):
+    """Plans as they are run, whole from the start."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_words_are_made_by_methods_that_the_jvm_compiles(spark, fixed_plans):
     plan = exports.searchable_words(spark, SF)._jdf.queryExecution().executedPlan()
     code = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenString(plan)
     sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", code)]
     assert sizes and max(sizes) < 8000
 
 
-def test_decisions_write_no_tables_and_shuffle_words_once(spark):
+def test_decisions_write_no_tables_and_shuffle_words_once(spark, fixed_plans):
     before = len(stages._TABLES)
     some = tables.Analysis(words.words(spark, SF)).decisions()
     plan = some._jdf.queryExecution().executedPlan().toString()

@@ -1,6 +1,9 @@
-"""Near copies by exact Jaccard similarity of five-word shingles, without comparing all pairs.
+"""Near copies by SimHash and exact Jaccard similarity of five-word shingles, without comparing all pairs.
 
-1. Every text becomes its set of shingle hashes; texts of equal sets share a key and count once.
+1. Every text becomes its set of shingle hashes; texts of equal sets share a key and count once. A set has a SimHash fingerprint.
+   Fingerprints within `simhash.RADIUS` bits are found by pivot distance tables, discarded and verified there (`simhash.links`), and
+   their sets compared. What that links is one component. Copies of similarity `THRESHOLD` may lie further apart
+   (some 10 bits are to be expected at 0.8), so an exact way for the rest follows, between texts of different components only:
 2. Shingles have one global order: those that a sample shows to be common come last, the rest go
    by hash. Two sets of similarity `THRESHOLD` or more share a shingle among the first
    n - ceil(THRESHOLD n) + 1 of each, whatever the order, so only those are posted and no such
@@ -30,6 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from . import simhash
 from ._runtime import discard_since, release, ship_package, tables, written
 from .components import connected_components
 from .decontaminate import shingle_hashes, word_hashes
@@ -102,25 +106,26 @@ def set_column(text: Column) -> Column:
 
 
 def posting_column(text: Column, common: np.ndarray, counts: np.ndarray) -> Column:
-    """(key, n, first, sketch, parity): key and size of a text's shingle set, what is posted of it, its sketch and its parity."""
+    """(key, n, fp, first, sketch, parity): key, size and fingerprint of a text's shingle set, what is posted of it, its sketch and its parity."""
 
     def lists(parts: list[np.ndarray], size: int, kind: type) -> pa.Array:
         flat = pa.array(np.concatenate([np.zeros(0, kind), *parts]))
         return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, size, dtype=np.int32)), flat)
 
-    @arrow_udf("struct<key:bigint,n:int,first:array<bigint>,sketch:array<int>,parity:array<bigint>>")
+    @arrow_udf("struct<key:bigint,n:int,fp:bigint,first:array<bigint>,sketch:array<int>,parity:array<bigint>>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            keys, sizes, parts, sketches, parities = [], [], [], [], []
+            keys, sizes, fps, parts, sketches, parities = [], [], [], [], [], []
             for x in batch:
                 codes = shingle_set(_bytes(x))
                 keys.append(key_of(codes))
                 sizes.append(len(codes))
+                fps.append(simhash.signed(simhash.majority(codes)))
                 parts.append(posted(codes, common, counts).copy())
                 sketches.append(sketch_of(codes))
                 parities.append(parity_of(codes))
-            made = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), _lists(parts), lists(sketches, BUCKETS, np.int32), lists(parities, PARITY, np.int64)]
-            yield pa.StructArray.from_arrays(made, ["key", "n", "first", "sketch", "parity"])
+            made = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), _lists(parts), lists(sketches, BUCKETS, np.int32), lists(parities, PARITY, np.int64)]
+            yield pa.StructArray.from_arrays(made, ["key", "n", "fp", "first", "sketch", "parity"])
 
     return run(text.cast("binary"))
 
@@ -203,6 +208,18 @@ def _linked(links: DataFrame | None, pairs: DataFrame, prints: DataFrame, docs:
     return out
 
 
+def by_fingerprint(prints: DataFrame, crowd: int = simhash.CROWD) -> DataFrame:
+    """Pairs (a, b) of keys whose fingerprints lie within simhash.RADIUS bits, found by the pivot distance tables: the least keys of either
+    fingerprint, and under one fingerprint its least key and each other."""
+    keys = prints.select("fp", "key").distinct()
+    least = written(keys.groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("keys")), "leasts")
+    same = keys.join(least.where("keys > 1"), "fp").where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"))
+    near = simhash.links(written(simhash.pivot_table(least.select("fp")), "pivots"), crowd)
+    x, y = (least.select(F.col("fp").alias(k), F.col("least").alias(f"k{k}")) for k in "ab")
+    met = near.join(x, "a").join(y, "b").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
+    return same.unionAll(met)
+
+
 def _led(rows: DataFrame, members: DataFrame, turn: int = 0) -> DataFrame:
     """Pairs (a, b) of each member (key, sh, c) and those leaders of its shingle in rows that are of another component. Every turn
     has other leaders."""
@@ -236,11 +253,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     postings = _met(prints, again, "row", "left_anti").select("key", "n", F.posexplode("first").alias("pos", "sh"))
     # counted and joined, not windowed: counts are combined in the map tasks, and a join's hot shingle can be split
     sizes = postings.groupBy("sh").agg(F.count("*").alias("size")).where("size > 1")
-    met = written(postings.join(sizes, "sh").withColumn("c", F.col("key")), "postings")
-    heavy = met.groupBy("key", "c").agg(F.max_by("sh", F.struct("size", "sh")).alias("sh"))
-    links = _linked(None, _led(met, heavy), prints, read, named)
+    met = written(postings.join(sizes, "sh"), "postings")
+    mark = tables()
+    links = _linked(None, by_fingerprint(prints), prints, read, named)
+    discard_since(mark, links)
     groups = connected_components(links, "links")
     apart = _apart(met, groups)
+    heavy = apart.groupBy("key", "c").agg(F.max_by("sh", F.struct("size", "sh")).alias("sh"))
+    links = _linked(links, _led(apart, heavy), prints, read, named)
+    groups = connected_components(links, "links")
+    apart = _apart(apart, groups)
     crowded = lambda: apart.where(F.col("size") > crowd)
     some, turn, before, now = apart, 0, None, crowded().count()
     while some.head(1) and (before is None or 2 * now <= before):

@@ -68,11 +68,15 @@ def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
     digest, m = xxhash.xxh64_intdigest, n - shingle + 1
-    hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:m].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, m)
+    return majority(np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:m].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, m))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have; none of no hashes."""
     ones = np.zeros(64, np.int64)
-    for k in range(0, m, 1 << 15):
+    for k in range(0, len(hashes), 1 << 15):
         ones += np.unpackbits(hashes[k : k + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > m, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
 def fingerprint_column(text: Column, shingle: int = SHINGLE) -> Column:
@@ -132,7 +136,7 @@ def shared(table: DataFrame) -> DataFrame:
     return posted.join(sizes, "key").select("fp", "near", "key", "size")
 
 
-def _links(table: DataFrame, crowd: int) -> DataFrame:
+def links(table: DataFrame, crowd: int) -> DataFrame:
     """Links (a, b) between fingerprints within RADIUS bits."""
     met = written(shared(table), "postings")
     pairs = met_pairs(met.where(F.col("size") <= crowd)).where("near and same").select("a", "b")
@@ -168,7 +172,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = written(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), shingle).alias("fp")), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("id").alias("rep"))
     table = written(pivot_table(distinct.select("fp")), "pivots")
-    groups = connected_components(_links(table, crowd), "links")
+    groups = connected_components(links(table, crowd), "links")
     # only linked fingerprints take another id than their own smallest
     linked = distinct.join(groups, F.col("fp") == F.col("node")).select("fp", "component", "rep")
     named = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
@@ -179,7 +183,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Filter: of each component of near copies (five words, similarity 0.8 or more: `copies`) one
-    row stays. The radius and the shingles of near_duplicates() do not bind it."""
+    row stays. Fingerprints of five-word shingles within RADIUS bits are found by the pivot tables and
+    compared by their whole sets; what lies further apart, or is not alike in spite of it, `copies` finds by shingles."""
     from . import copies
 
     return copies.keep_one(docs, id_col, text_col)

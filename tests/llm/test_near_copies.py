@@ -104,3 +104,34 @@ def test_parity_never_exceeds_what_two_sets_do_not_share():
         b = np.unique(np.concatenate([a[:kept], rng.integers(0, 1 << 64, n - kept, dtype=np.uint64)]))
         turned = sum(int(x & 0xFFFFFFFFFFFFFFFF).bit_count() for x in (copies.parity_of(np.unique(a)) ^ copies.parity_of(b)).tolist())
         assert len(copies.parity_of(b)) == copies.PARITY and turned <= len(np.setxor1d(a, b)) and (n == kept) == (turned == 0)
+
+
+def test_stage_takes_fingerprints_through_the_pivot_tables(spark, monkeypatch):
+    from folioflow.llm import copies
+
+    rng = random.Random(23)
+    base = [f"b{k}" for k in range(900)]
+    texts = [" ".join(base), None, ""]
+    for _ in range(12):  # one word of 900: few bits turn
+        copy = list(base)
+        copy[rng.randrange(900)] = "edit"
+        texts.append(" ".join(copy))
+    texts += [" ".join(rng.choice(base) for _ in range(60)) for _ in range(20)]
+    sets = {copies.key_of(s): simhash.majority(s) for s in (copies.shingle_set((t or "").encode()) for t in texts)}
+    seen, pivots = [], simhash.pivot_table
+    monkeypatch.setattr(simhash, "pivot_table", lambda prints: seen.extend(r.fp % (1 << 64) for r in prints.collect()) or pivots(prints))
+    table = docs(spark, list(enumerate(texts)))
+    classes = {r.id: r.component for r in copies.near_copies(table).collect()}
+    assert sorted(seen) == sorted(set(sets.values()))
+    assert len({classes[i] for i in (0, *range(3, 15))}) == 1 and len(set(classes.values())) == 22
+    prints = spark.createDataFrame([(k, simhash.signed(f)) for k, f in sets.items()], "key bigint, fp bigint")
+    for crowd in (1, 64):
+        root = {k: k for k in sets}
+        for r in copies.by_fingerprint(prints, crowd).collect():
+            assert (sets[r.a] ^ sets[r.b]).bit_count() <= simhash.RADIUS
+            a, b = root[r.a], root[r.b]
+            root = {k: a if v == b else v for k, v in root.items()}
+        for a in sets:
+            for b in sets:
+                assert root[a] == root[b] or (sets[a] ^ sets[b]).bit_count() > simhash.RADIUS
+    assert len(set(root.values())) < len(sets)

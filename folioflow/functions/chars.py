@@ -21,8 +21,10 @@ WIDE = "[\\x{10000}-\\x{10FFFF}]"
 
 TRIM = f"^[{TRIM_WS}]+|[{TRIM_WS}]+\\z"
 TRIM_RIGHT = f"[{TRIM_WS}]+\\z"
-#: The characters of TRIM_WS one by one.
-TRIM_CHARS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff\u0085"
+#: The characters of STATS_WS, REGEX_WS and TRIM_WS one by one.
+STATS_CHARS = "\t\n\x0b\x0c\r \u00a0" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u3000"
+REGEX_CHARS = STATS_CHARS + "\u1680\u205f\ufeff"
+TRIM_CHARS = REGEX_CHARS + "\u0085"
 
 
 def trim(s: Column) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .chars import REGEX_WS, STATS_WS, collapse, trim, trim_right, utf16_clip, utf16_length
+from .chars import REGEX_CHARS, STATS_CHARS, WIDE, collapse, trim, trim_right, utf16_clip, utf16_length
 
 # What folding maps; the last source character is deleted.
 FOLD_FROM, FOLD_TO = "ışğüöçâîû\u0307", "isguocaiu"
@@ -28,12 +28,14 @@ def matches(query: Column, *fields: Column) -> Column:
 
 
 def word_count(s: Column) -> Column:
-    return F.regexp_count(s, F.lit(f"[^{STATS_WS}]+"))
+    # white space becomes plain spaces first: a class of many ranges costs a pattern several times as much a character
+    words = F.btrim(F.translate(s, STATS_CHARS, " " * len(STATS_CHARS)), F.lit(" "))
+    return F.when(words == "", 0).otherwise(F.array_size(F.split(words, " +")))
 
 
 def visible_chars(s: Column) -> Column:
     """UTF-16 length without white space."""
-    return utf16_length(F.regexp_replace(s, f"[{REGEX_WS}]", ""))
+    return F.length(F.translate(s, REGEX_CHARS, "")) + F.regexp_count(s, F.lit(WIDE))
 
 
 def preview(s: Column) -> Column:

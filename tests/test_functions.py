@@ -93,3 +93,23 @@ def test_confidence(spark):
     assert one(spark, normalize.repair, "ME2AR", 0.34) == "ME2AR"
     assert one(spark, normalize.repair, "ME2AR", 0.35) == "MEZAR"
     assert [tuple(c) for c in one(spark, normalize.changes, "ME2AR x ME2AR", 0.9)] == [("ME2AR", "MEZAR")] * 2
+
+
+def test_counts_equal_the_patterns_without_a_pattern_a_word(spark):
+    """Every white-space character at the ends, alone and between words; no list of matches is built to count words."""
+    import re
+
+    from folioflow.functions import chars, text
+
+    own = lambda ws: re.compile("[" + ws.replace("\\x0B", "\x0b") + "]")
+    rows = [None, "", " ", "a", "a\x00b \x1c c", "🙂 🙂\u200b🙂", "\u0085x\u1680y", *[f"{w}a{w}{w}b{w}é{w}" for w in chars.TRIM_CHARS], chars.TRIM_CHARS]
+    table = spark.createDataFrame([(r,) for r in rows], "s string")
+    found = table.select("s", text.word_count(F.col("s")).alias("w"), text.visible_chars(F.col("s")).alias("v"))
+    for r in found.collect():
+        if r.s is None:
+            assert r.w is None and r.v is None
+        else:
+            assert r.w == len([x for x in own(chars.STATS_WS).split(r.s) if x]), repr(r.s)
+            assert r.v == len(own(chars.REGEX_WS).sub("", r.s).encode("utf-16-le")) // 2, repr(r.s)
+    plan = table.select(text.word_count(F.col("s")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan.lower()

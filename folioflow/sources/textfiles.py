@@ -4,6 +4,7 @@
     path/part-00000/<name>.txt              once the job has committed: one rename for each task
     path/_SUCCESS                           behind the last rename
 
+Memory of a task is a batch, whatever its number of files: rows come sorted by name, so that equal names meet, and are read back `BATCH_BYTES` at a time.
 A failed task's folder is named by no commit message and goes with the job's staged folder; a failed job leaves nothing. Only a task's
 number and folder pass the driver, never names or texts. Names are made unique by Spark before anything is written.
 """
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..functions.chars import utf16_clip
 from ..functions.text import sanitize
@@ -26,6 +27,8 @@ from ..operators.shipping import shipped
 FORMAT = "folio_texts"
 #: UTF-16 units of a name that gets a mark; with it, it stays under 255 bytes.
 MARKED = 60
+#: Bytes of text, and files, after which a reader gives a batch away.
+BATCH_BYTES, BATCH_FILES = 1 << 22, 1000
 
 
 def name_of(title: Column) -> Column:
@@ -61,7 +64,7 @@ class TaskFiles(WriterCommitMessage):
     files: int
 
 
-class TextWriter(DataSourceWriter):
+class TextWriter(DataSourceArrowWriter):
     def __init__(self, path: str) -> None:
         self.path, self.job = path.rstrip("/"), uuid.uuid4().hex
 
@@ -69,15 +72,17 @@ class TextWriter(DataSourceWriter):
         from pyspark import TaskContext
 
         store, root = _files(self.path)
-        folder, made, n = f"{root}/_staged/{self.job}/{uuid.uuid4().hex}", set(), 0
+        folder, before, n = f"{root}/_staged/{self.job}/{uuid.uuid4().hex}", None, 0
         store.create_dir(folder, recursive=True)
-        for name, text in iterator:
-            if name in made:
-                raise ValueError(f"two documents are named {name!r}")
-            made.add(name)
-            with store.open_output_stream(f"{folder}/{name}.txt") as out:
-                out.write((text or "").encode("utf-8"))
-            n += 1
+        for batch in iterator:
+            for name, text in zip(batch["name"], batch["text"], strict=True):
+                name = name.as_py()
+                if name == before:
+                    raise ValueError(f"two documents are named {name!r}")
+                before, n = name, n + 1
+                with store.open_output_stream(f"{folder}/{name}.txt") as out:
+                    if text.is_valid:
+                        out.write(text.as_buffer())
         context = TaskContext.get()
         return TaskFiles(context.partitionId() if context else 0, folder, n)
 
@@ -114,13 +119,27 @@ class TextReader(DataSourceReader):
             raise ValueError(f"no job has finished at {self.path}")
         return [InputPartition(i.base_name) for i in store.get_file_info(fs.FileSelector(root)) if i.base_name.startswith("part-")]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def read(self, partition: InputPartition) -> Iterator:
+        import pyarrow as pa
         from pyarrow import fs
 
         store, root = _files(self.path)
+        names, texts, held = [], [], 0
         for info in store.get_file_info(fs.FileSelector(f"{root}/{partition.value}")):
             with store.open_input_stream(info.path) as file:
-                yield info.base_name.removesuffix(".txt"), file.read().decode("utf-8")
+                texts.append(file.read())
+            names.append(info.base_name.removesuffix(".txt"))
+            held += len(texts[-1])
+            if held >= BATCH_BYTES or len(names) >= BATCH_FILES:
+                yield _batch(pa, names, texts)
+                names, texts, held = [], [], 0
+        if names:
+            yield _batch(pa, names, texts)
+
+
+def _batch(pa, names: list[str], texts: list[bytes]):
+    columns = [pa.array(names, pa.string()), pa.array(texts, pa.binary()).cast(pa.string())]
+    return pa.RecordBatch.from_arrays(columns, ["name", "text"])
 
 
 class TextFiles(DataSource):
@@ -136,7 +155,7 @@ class TextFiles(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return TextReader(self.options["path"])
 
-    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         from pyarrow import fs
 
         path = self.options["path"]
@@ -149,7 +168,7 @@ class TextFiles(DataSource):
 def write(rows: DataFrame, path: str) -> None:
     """Rows (name, text), names unique, as path/part-…/<name>.txt."""
     rows.sparkSession.dataSource.register(TextFiles)
-    shipped(rows).select("name", "text").write.format(FORMAT).mode("append").save(path)
+    shipped(rows).select("name", "text").sortWithinPartitions("name").write.format(FORMAT).mode("append").save(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

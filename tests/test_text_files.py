@@ -49,3 +49,18 @@ def test_no_documents(spark, tmp_path):
 def test_the_same_name_twice_is_an_error(spark, tmp_path):
     with pytest.raises(Exception, match="two documents are named"):
         textfiles.write(spark.createDataFrame([("a", "x"), ("a", "y")], "name string, text string").coalesce(1), f"{tmp_path}/out")
+
+
+def test_a_task_holds_a_batch_and_not_its_files(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(textfiles, "BATCH_FILES", 10)
+    monkeypatch.setattr(textfiles, "BATCH_BYTES", 5000)
+    writer = textfiles.TextWriter(f"{tmp_path}/out")
+    batches = [pa.RecordBatch.from_pydict({"name": [f"n{k:04}" for k in range(a, a + 50)], "text": ["é" * k if k % 7 else None for k in range(a, a + 50)]}) for a in range(0, 500, 50)]
+    writer.commit([writer.write(iter(batches))])
+    reader = textfiles.TextReader(f"{tmp_path}/out")
+    (part,) = reader.partitions()
+    back = list(reader.read(part))
+    assert max(b.num_rows for b in back) <= 10 and max(b.nbytes for b in back) <= 5000 + 1000 + 20 * 10
+    assert {n: t for b in back for n, t in zip(*b.to_pydict().values(), strict=True)} == {f"n{k:04}": "é" * k if k % 7 else "" for k in range(500)}

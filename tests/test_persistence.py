@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +53,42 @@ def test_index_reads_posting_lists_alone(spark, indexed):
     assert {r.doc_id for r in index.search("", version=1).collect()} == set(range(200))
 
 
+@pytest.mark.parametrize("block", [7, 50, 8_000_000])
+def test_posting_lists_hold_every_trigram_of_every_row(monkeypatch, block):
+    monkeypatch.setattr(search_index, "BLOCK", block)
+    rng = random.Random(3)
+    wide = "".join(map(chr, rng.sample(range(0x4E00, 0x9FFF), 3000)))
+    texts = ["", "ab", "abc", "abcabcabcd", "🙂x🙂x a", wide, *("".join(rng.choice("abı 🙂") for _ in range(rng.randint(0, 40))) for _ in range(60))]
+    batch = lambda of: pa.RecordBatch.from_pylist([{"row": (k % 2 << 33) + k, "folded": texts[k].encode()} for k in of], schema=pa.schema([("row", pa.int64()), ("folded", pa.binary())]))
+    found = [r for b in search_index.posting_lists(iter([batch(range(9)), batch(range(9, len(texts)))])) for r in b.to_pylist()]
+    want = {(t[i : i + 3], (k % 2 << 33) + k) for k, t in enumerate(texts) for i in range(len(t) - 2)}
+    assert {(r["gram"], row) for r in found for row in r["rows"]} == want
+    assert all(r["n"] == len(set(r["rows"])) and [r["bucket"]] == search_index.buckets_of([r["gram"]]) for r in found)
+    assert block < 8_000_000 or len(found) == len({g for g, _ in want})
+
+
+def test_trigrams_in_many_rows_are_no_candidates_and_texts_may_be_cut(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search_index, "FEW", 20)
+    monkeypatch.setattr(search_index, "BLOCK", 5)
+    docs = table(spark, 60, seed=4).coalesce(1)
+    index = search_index.SearchIndex(spark, f"{tmp_path}/i")
+    joined = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(joined, "false")
+    try:
+        index.add(docs, "title", "text")
+    finally:
+        spark.conf.unset(joined)
+    (key,) = os.listdir(f"{tmp_path}/i/rows")
+    assert len([n for n in os.listdir(f"{tmp_path}/i/rows/{key}") if n.startswith("slot=")]) > 1  # dealt out, though the source has one split
+    plans = []
+    for query in ("abc", "sirket", "cabcab the", "abcbcacab", "🙂xkag"):
+        got = index.search(query)
+        plans.append("rows#" in got._jdf.queryExecution().optimizedPlan().toString())
+        want = docs.where(text.matches(F.lit(query), *[F.coalesce(F.col(c), F.lit("")) for c in ("title", "text")]))
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert set(plans) == {False, True}
+
+
 def test_store_is_readable_when_a_writer_dies(spark, tmp_path):
     store = snapshots.Snapshots(spark, f"{tmp_path}/s")
     assert store.read() is None and store.version() == 0

@@ -137,7 +137,7 @@ def usage_stream(spark, sf_dir):
     parts = [log.where(F.col("seq") <= half), log.where(F.col("seq") > half), log.where(F.col("seq") == half).withColumns({"device": F.lit(-1).cast("bigint"), "ts": F.lit("2100-01-01").cast("timestamp")})]
     with _rocks(spark):
         for part in parts:
-            part.unionAll(part).repartition(2, F.xxhash64("seq")).write.mode("append").parquet(f"{path}/in")
+            part.unionAll(part).repartition(F.xxhash64("seq")).write.mode("append").parquet(f"{path}/in")
             stream = spark.readStream.schema(log.schema).parquet(f"{path}/in")
             out = tracker.track_usage(stream, late="1 minute").writeStream
             out.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import random
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +98,88 @@ def test_state_store_is_asked_for(spark):
             tracker.track_usage(spark.createDataFrame([], EVENTS))
     finally:
         spark.conf.set(tracker.PROVIDER, before)
+
+
+class Kept:
+    """A value or map state in memory that counts how often it is read by key."""
+
+    def __init__(self):
+        self.held, self.read = {}, 0
+
+    def exists(self):
+        return bool(self.held)
+
+    def get(self):
+        return self.held[()]
+
+    def update(self, value):
+        self.held[()] = value
+
+    def getValue(self, key):
+        self.read += 1
+        return self.held[key]
+
+    def updateValue(self, key, value):
+        self.held[key] = value
+
+    def iterator(self):
+        return iter(list(self.held.items()))
+
+    def clear(self):
+        self.held.clear()
+
+
+class Handle:
+    def __init__(self):
+        self.states, self.timers = {}, set()
+        self.listTimers, self.deleteTimer, self.registerTimer = lambda: iter(self.timers), self.timers.discard, self.timers.add
+
+    def state(self, name, *_):
+        return self.states.setdefault(name, Kept())
+
+    getMapState = getValueState = state
+
+
+class Mark:
+    def __init__(self, at):
+        self.getCurrentWatermarkInMs = lambda: int(at.timestamp() * 1000)
+
+
+def frames(rows, size):
+    table = pd.DataFrame(rows, columns=["device", "seq", "ts", "now", "op", "success"])
+    table["now"] = pd.to_datetime(table["now"])
+    return (table.iloc[k : k + size] for k in range(0, len(table), size))
+
+
+def test_waiting_operations_are_added_unread_and_let_go_in_parts(monkeypatch):
+    monkeypatch.setattr(tracker, "ROWS", 16)
+    rows = [(1, seq, ts, now, op, ok) for _, seq, ts, now, op, ok in operations(200)]
+    one = tracker.UsageTracker(None)
+    one.init(handle := Handle())
+    waiting, rng = handle.states["waiting"], random.Random(5)
+    twice = rng.sample(rows * 2, 400)
+    for part in (twice[:250], twice[250:]):
+        assert not list(one.handleInputRows((1,), frames(part, 50), None))
+    assert waiting.read == 0 and len(waiting.held) == 8 and len(handle.timers) == 1
+    out = []
+    for at in (rows[90][2], rows[150][2], rows[-1][2]):
+        parts = list(one.handleExpiredTimer((1,), Mark(at.replace(tzinfo=timezone.utc)), None))
+        assert parts and all(len(p) <= 16 for p in parts)
+        out += parts
+        assert len(handle.timers) == (at != rows[-1][2])
+    got = pd.concat(out)
+    assert got["seq"].tolist() == list(range(200)) and not waiting.held
+    whole = tracker.UsageTracker(None)
+    whole.init(Handle())
+    assert not list(whole.handleInputRows((1,), frames(rows, 200), None))
+    assert pd.concat(whole.handleExpiredTimer((1,), Mark(datetime(2100, 1, 1)), None)).values.tolist() == got.values.tolist()
+
+
+def test_a_clock_that_is_null_moves_nothing():
+    day = datetime(2024, 3, 1, 12)
+    rows = [(1, k, day + timedelta(minutes=k), None if k in (0, 2) else day + timedelta(minutes=k), "ocr", True) for k in range(4)]
+    one = tracker.UsageTracker(None)
+    one.init(Handle())
+    assert not list(one.handleInputRows((1,), frames(rows, 4), None))
+    got = pd.concat(one.handleExpiredTimer((1,), Mark(datetime(2100, 1, 1)), None))
+    assert got[["rollback", "day", "used"]].values.tolist() == [[False, "", 1], [False, "2024-03-01", 1], [False, "2024-03-01", 2], [False, "2024-03-01", 3]]

@@ -6,28 +6,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.chars import is_blank
-from .layout import format_blocks
-from .normalize import changes, repair
-from .stages import settled
-from .tables import Analysis
+from .layout import with_page_text
+from .normalize import repaired
+from .tables import outcomes
 
 
 def process(lines: DataFrame, words: DataFrame, raw: DataFrame, grid: DataFrame | None = None) -> DataFrame:
     """One row per page of raw (page, raw_text, conf): text, n_changes, near_miss, has_table.
 
     lines: page, block, line, text, top, bottom, conf. words: as the detector takes them, with conf already
-    the line's where a word has none. Lines and words are repaired by the same rules; changes of lines
-    count. A page without lines has its raw text repaired, under the page's confidence.
+    the line's where a word has none. Lines and words are gathered by page, then process_pages() does the work.
     """
-    fixed = settled(lines.withColumns({"n": F.size(changes(F.col("text"), F.col("conf"))), "text": repair(F.col("text"), F.col("conf"))}))
-    text = format_blocks(fixed)
-    counts = fixed.groupBy("page").agg(F.sum("n").alias("n_changes"))
-    found = Analysis(words.withColumn("text", repair(F.col("text"), F.col("conf")))).decisions()
-    met = raw.join(text, "page", "left").join(counts, "page", "left").join(found.select("page", "near_miss", F.col("reason").isNull().alias("has_table")), "page", "left")
+    gathered = lambda df, name, *c: df.groupBy("page").agg(F.collect_list(F.struct(*c)).alias(name))
+    held = gathered(lines, "lines", "block", "line", "text", "top", "bottom", "conf")
+    boxes = gathered(words, "words", "word_no", "text", "l", "t", "r", "b", "conf")
+    return process_pages(raw.join(held, "page", "left").join(boxes, "page", "left"), grid)
+
+
+def process_pages(pages: DataFrame, grid: DataFrame | None = None) -> DataFrame:
+    """The same for pages that hold their lines and words as arrays: page, raw_text, conf, lines (block, line, text, top, bottom, conf), words
+    (word_no, text, l, t, r, b, conf). A page is a row throughout, so nothing is shuffled or written between.
+
+    Changes of lines count. A page without lines has its raw text repaired, under the page's confidence. Words
+    are not repaired: that leaves blank ones blank and others not, which is all that near_miss and has_table take from their texts.
+    """
+    line = lambda x: F.struct(x["block"].alias("block"), x["line"].alias("line"), x["top"].alias("top"), x["bottom"].alias("bottom"), repaired(x["text"], x["conf"]).alias("fixed"))
+    fixed = pages.select("page", "raw_text", "conf", "words", F.transform("lines", line).alias("lines"))
+    counts = F.filter(F.col("lines")["fixed"]["n"], lambda n: n.isNotNull())
+    changed = F.when(F.size(counts) > 0, F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, n: a + n))
+    met = with_page_text(fixed.withColumn("n_changes", changed), F.col("lines"), F.col("lines")["fixed"]["text"])
     bare = F.col("n_changes").isNull()
-    alone = F.when(is_blank(F.col("raw_text")), "").otherwise(repair(F.col("raw_text"), F.col("conf")))
-    return met.select(
-        "page", F.when(bare, alone).when(F.col("text") == "", F.col("raw_text")).otherwise(F.col("text")).alias("text"),
-        F.when(bare, F.size(changes(F.col("raw_text"), F.col("conf")))).otherwise(F.col("n_changes")).cast("bigint").alias("n_changes"),
-        F.coalesce("near_miss", F.lit(False)).alias("near_miss"), F.coalesce("has_table", F.lit(False)).alias("has_table"),
-    )
+    alone = met.withColumn("alone", F.when(bare, repaired(F.col("raw_text"), F.col("conf"))))
+    text = F.when(bare, F.when(is_blank(F.col("raw_text")), "").otherwise(F.col("alone.text"))).when(F.col("text") == "", F.col("raw_text")).otherwise(F.col("text"))
+    done = alone.select("page", "words", text.alias("text"), F.when(bare, F.col("alone.n")).otherwise(F.col("n_changes")).cast("bigint").alias("n_changes"))
+    return outcomes(done, grid).select("page", "text", "n_changes", "near_miss", "has_table")

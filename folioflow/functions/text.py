@@ -7,11 +7,13 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .chars import REGEX_CHARS, STATS_CHARS, WIDE, collapse, trim, trim_right, utf16_clip, utf16_length
+from .chars import REGEX_CHARS, STATS_CHARS, TRIM_WS, WIDE, collapse, trim, trim_right, utf16_clip, utf16_length
 
 # What folding maps; the last source character is deleted.
 FOLD_FROM, FOLD_TO = "ışğüöçâîû\u0307", "isguocaiu"
 TITLE_MAX, PREVIEW_MAX = 80, 120
+#: Line ends but LF, white space before a line end, and more than one empty line.
+UNTIDY = f"\\r|\\n\\n\\n|[{TRIM_WS.replace(chr(92) + 'n', '')}]\\n"
 
 
 def fold(s: Column) -> Column:
@@ -76,7 +78,8 @@ def normalize_layout(s: Column) -> Column:
     lf = F.regexp_replace(s, "\\r\\n?", "\n")
     # per line, as the class for white space holds the line end itself
     right = F.array_join(F.transform(F.split(lf, "\n"), trim_right), "\n")
-    return trim(F.regexp_replace(right, "\\n{3,}", "\n\n"))
+    # most texts need only be trimmed
+    return F.when(s.rlike(UNTIDY), trim(F.regexp_replace(right, "\\n{3,}", "\n\n"))).otherwise(trim(s))
 
 
 def join_sections(sections: Column, label: str, placeholder: str) -> Column:

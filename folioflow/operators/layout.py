@@ -71,7 +71,7 @@ def _listed(sizes: np.ndarray, values: pa.Array) -> pa.Array:
 
 
 def with_page_text(pages: DataFrame, lines: Column, text: Column, name: str = "text") -> DataFrame:
-    """Adds the text of pages, from the array of their lines (block, line, top, bottom, in any order) and that of the lines' texts."""
+    """Adds the text of pages, from the array of their lines (block, line, top, bottom, in any order) and that of these lines' texts."""
     pages = shipped(pages)
     found = arrow_udf(_joined, "string")(text, *[lines[c] for c in ("block", "line", "top", "bottom")])
     return pages.withColumn(name, normalize_layout(found))

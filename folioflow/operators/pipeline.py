@@ -30,11 +30,10 @@ def process_pages(pages: DataFrame, grid: DataFrame | None = None) -> DataFrame:
     Changes of lines count. A page without lines has its raw text repaired, under the page's confidence. Words
     are not repaired: that leaves blank ones blank and others not, which is all that near_miss and has_table take from their texts.
     """
-    line = lambda x: F.struct(x["block"].alias("block"), x["line"].alias("line"), x["top"].alias("top"), x["bottom"].alias("bottom"), repaired(x["text"], x["conf"]).alias("fixed"))
-    fixed = pages.select("page", "raw_text", "conf", "words", F.transform("lines", line).alias("lines"))
-    counts = F.filter(F.col("lines")["fixed"]["n"], lambda n: n.isNotNull())
+    fixed = pages.withColumn("fixed", F.transform("lines", lambda x: repaired(x["text"], x["conf"])))
+    counts = F.filter(F.col("fixed")["n"], lambda n: n.isNotNull())
     changed = F.when(F.size(counts) > 0, F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, n: a + n))
-    met = with_page_text(fixed.withColumn("n_changes", changed), F.col("lines"), F.col("lines")["fixed"]["text"])
+    met = with_page_text(fixed.withColumn("n_changes", changed), F.col("lines"), F.col("fixed")["text"])
     bare = F.col("n_changes").isNull()
     alone = met.withColumn("alone", F.when(bare, repaired(F.col("raw_text"), F.col("conf"))))
     text = F.when(bare, F.when(is_blank(F.col("raw_text")), "").otherwise(F.col("alone.text"))).when(F.col("text") == "", F.col("raw_text")).otherwise(F.col("text"))

@@ -140,9 +140,10 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
 
 def _coverage(page: np.ndarray, row: np.ndarray, a: np.ndarray, z: np.ndarray, x_min: np.ndarray, bw: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, ...]:
     """Steps (page, from, to, count): how many merged word intervals, over all rows of a page, cover the bins from to to."""
-    order = np.lexsort((z, a, row, page))
-    page, row, a, z = page[order], row[order], a[order], z[order]
-    new = _starts(page, row)
+    at = page * (int(row.max()) + 1) + row
+    order = np.lexsort((z, a, at))
+    page, at, a, z = page[order], at[order], a[order], z[order]
+    new = _starts(at)
     # furthest end so far within a row, by ranks, so that rows cannot mix and no end is rounded
     by_end, rank, group = np.argsort(z, kind="stable"), np.empty(len(z), np.int64), new.cumsum() * len(z)
     rank[by_end] = np.arange(len(z))
@@ -178,6 +179,12 @@ def _strips(of: np.ndarray, start: np.ndarray, count: np.ndarray, free: np.ndarr
     return page[wide], ((left + right) / 2)[wide]
 
 
+def _left_first(page: np.ndarray, no: np.ndarray, l: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Words, which come page by page, by keys, the last first, then from the left, then by number."""
+    numbered = (no[1:] >= no[:-1]) | (page[1:] != page[:-1])
+    return np.lexsort((l, *keys) if numbered.all() else (no, l, *keys))  # the sort is stable
+
+
 def _listed(sizes: np.ndarray, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, sizes.cumsum()), pa.int32()), values)
 
@@ -227,7 +234,7 @@ def _laid(n: np.ndarray, no: np.ndarray, l: np.ndarray, t: np.ndarray, r: np.nda
     tilted = size >= MIN_SLOPE_WORDS
     slope = np.where(tilted, MAX_SLOPE * step / SLOPE_STEPS, 0.0)
     keys = y - slope[page] * x
-    order = np.lexsort((no, l, keys, page))
+    order = _left_first(page, no, l, keys, page)
     rows = np.zeros(len(keys), np.int32)
     rows[order] = ranked = _rows(keys[order], first, size, hh * ROW_TOLERANCE)
     n_rows, pad = ranked[first + size - 1] + 1, hh * PAD
@@ -329,7 +336,7 @@ def _columns_of(page: np.ndarray, l: np.ndarray, r: np.ndarray, edges: np.ndarra
 def _filled(page: np.ndarray, no: np.ndarray, row: np.ndarray, l: np.ndarray, t: np.ndarray, r: np.ndarray, b: np.ndarray, h: np.ndarray, edges: np.ndarray, n_cols: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
     """Filled cells (page, row, col, l, t, r, b) in order, the words in the order of their cells, and where each cell's begin and end. Words with
     narrow gaps form a segment; a segment goes to the column it overlaps most."""
-    order = np.lexsort((no, l, row, page))
+    order = _left_first(page, no, l, page * (int(row.max()) + 1) + row)
     page, row, l, t, r, b = (x[order] for x in (page, row, l, t, r, b))
     new = _starts(page, row)
     new[1:] |= ~(l[1:] - r[:-1] < h[page[1:]] * SEPARATOR)
@@ -337,7 +344,8 @@ def _filled(page: np.ndarray, no: np.ndarray, row: np.ndarray, l: np.ndarray, t:
     sizes = np.diff(np.append(at, len(page)))
     page, row, l, t, r, b = page[at], row[at], np.minimum.reduceat(l, at), np.minimum.reduceat(t, at), np.maximum.reduceat(r, at), np.maximum.reduceat(b, at)
     col = _columns_of(page, l, r, edges, np.append(0, (n_cols + 1).cumsum())[:-1], n_cols)
-    seg = np.lexsort((np.arange(len(page)), l, col, row, page))
+    # segments of a row come from left to right
+    seg = np.argsort((page * (int(row.max()) + 1) + row) * (int(col.max()) + 1) + col, kind="stable")
     page, row, col, l, t, r, b = (x[seg] for x in (page, row, col, l, t, r, b))
     # words in the order of their segments
     ends = sizes[seg].cumsum()

@@ -78,3 +78,15 @@ def test_tilts_against_counting():
         whole = np.trunc(v)
         keys = whole + np.where(np.abs(v - whole) >= 0.5, np.sign(v), 0.0)
         assert got[k] == np.argmax([(np.unique(row, return_counts=True)[1] ** 2).sum() for row in keys]) - tables.SLOPE_STEPS
+
+
+@needs_tables
+def test_order_of_words_does_not_matter(spark):
+    """Words may come in any order; of equal places the number decides."""
+    w = words.words(spark, SF).withColumn("l", F.floor(F.col("l") / 150) * 150.0)  # many equal left edges
+    frames = [w.orderBy(order).coalesce(1) for order in (F.asc("word_no"), F.desc("word_no"))]
+    columns = ("n_rows", "n_cols", "confidence", "reason")
+    first, second = ({r.page: tuple(round(v, 9) if isinstance(v := r[c], float) else v for c in columns) for r in tables.Analysis(f).decisions().collect()} for f in frames)
+    assert first == second
+    pages = frames[1].groupBy("page").agg(F.collect_list(F.struct("word_no", "text", "l", "t", "r", "b", "conf")).alias("words"))
+    assert {r.page: r.has_table for r in tables.outcomes(pages).collect()} == {p: v[3] is None for p, v in first.items()}
